@@ -200,10 +200,16 @@ def _joined(strings: pa.LargeBinaryArray) -> tuple[memoryview, np.ndarray]:
 
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> ByteBpe:
-    """The encoder for the ranks at ``path``."""
+    """The tables for the ranks at ``path``."""
     return ByteBpe(load_ranks(path))
 
 
+@functools.lru_cache(maxsize=4)
+def matrix_encoder(path: str, pattern: str) -> Encode:
+    """Encodes strings by the ranks at ``path``."""
+    return load(path).encoder(pattern)
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of each row's whole ``text``.
 
@@ -211,7 +217,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(ranks_path).encoder(pattern)
+        encode = matrix_encoder(ranks_path, pattern)
         for batch in slices(batches):
             flat, bounds = encode_rows(*text_bytes(batch.column(1)), encode)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=["doc_id", "ids"])
@@ -243,7 +249,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
-        encode = bpe.encoder(pattern)
+        encode = matrix_encoder(ranks_path, pattern)
         for batch in slices(batches):
             ids, bounds = encode_rows(*text_bytes(batch.column(1)), encode)
             first, last = bounds[:-1].tolist(), bounds[1:].tolist()

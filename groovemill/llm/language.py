@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import slices, sums, text_bytes, words
+from .text import Memo, slices, sums, text_bytes, words
 
 ORDER = 4
 #: Training documents per language are at most about this many, chosen by a hash of their ids.
@@ -100,39 +100,48 @@ class Identifier(NamedTuple):
     models: list[Model]
     bounds: np.ndarray | None = None
 
-    def entropies(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def costs(self, tokens: list[bytes]) -> pa.Array:
+        """For each token the nats that each language takes for its words, and their characters."""
+        own = [_letter_words(t) for t in tokens]
+        text = "".join(START * (ORDER - 1) + w + END for ws in own for w in ws)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.array([sum(len(w) + 1 for w in ws) for ws in own], np.int64)
+        out = np.zeros((len(tokens), len(self.languages) + 1))
+        out[:, -1] = lengths
+        if len(codes):
+            real = codes != ord(START)
+            full, where, back = np.unique(_hashes(codes, ORDER)[real], return_index=True, return_inverse=True)
+            at = np.flatnonzero(real)[where]
+            hashes = [_hashes(codes, n)[at] for n in range(1, ORDER)] + [full]
+            codes = np.roll(codes, 1)
+            contexts = [np.zeros(len(at), np.uint64)] + [_hashes(codes, n)[at] for n in range(1, ORDER)]
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            for k, model in enumerate(self.models):
+                out[:, k] = sums(-np.log(model.probability(hashes, contexts))[back], bounds)
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1])
+
+    def memo(self) -> Memo:
+        return Memo(self.costs)
+
+    def entropies(self, data: np.ndarray, ends: np.ndarray, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (rows by languages) and characters of each row."""
         tokens, firsts = words(data, ends)
         if not len(tokens):
             return np.zeros((len(ends) - 1, len(self.languages))), np.zeros(len(ends) - 1, np.int64)
         coded = tokens.dictionary_encode()
-        own = [_letter_words(t) for t in coded.dictionary.to_pylist()]
-        text = "".join(START * (ORDER - 1) + w + END for ws in own for w in ws)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        lengths = np.array([sum(len(w) + 1 for w in ws) for ws in own], np.int64)
-        real = codes != ord(START)
-        full, where, back = np.unique(_hashes(codes, ORDER)[real], return_index=True, return_inverse=True)
-        at = np.flatnonzero(real)[where]
-        hashes = [_hashes(codes, n)[at] for n in range(1, ORDER)] + [full]
-        shifted = np.roll(codes, 1)
-        contexts = [np.zeros(len(at), np.uint64)] + [_hashes(shifted, n)[at] for n in range(1, ORDER)]
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        table = memo(coded.dictionary).flatten().to_numpy().reshape(-1, len(self.languages) + 1)
         which = coded.indices.to_numpy()
-        chars = sums(lengths[which], firsts)
-        out = np.zeros((len(chars), len(self.languages)))
-        for k, model in enumerate(self.models):
-            cost = -np.log(model.probability(hashes, contexts))[back]
-            out[:, k] = sums(sums(cost, bounds)[which], firsts) / np.maximum(chars, 1)
-        return out, chars
+        total = np.stack([sums(table[:, k][which], firsts) for k in range(table.shape[1])], axis=1)
+        return total[:, :-1] / np.maximum(total[:, -1:], 1), total[:, -1].astype(np.int64)
 
     def deviations(self, best: np.ndarray, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """How far above its language's mean each row's lowest entropy is, in deviations for its length."""
         mean, within, between, _ = self.bounds[best].T
         return (entropy - mean) / np.sqrt(within / np.maximum(chars, 1) + between)
 
-    def predict(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self, data: np.ndarray, ends: np.ndarray, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the best language (-1: no letter), score, and whether the row is rejected."""
-        entropy, chars = self.entropies(data, ends)
+        entropy, chars = self.entropies(data, ends, memo)
         if not self.languages:
             return np.full(len(chars), -1), np.zeros(len(chars)), np.ones(len(chars), bool)
         line, best = np.arange(len(chars)), entropy.argmin(axis=1)
@@ -195,8 +204,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
         return learnt
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = learnt.memo()
         for batch in slices(batches):
-            entropy, chars = learnt.entropies(*text_bytes(batch.column(1)))
+            entropy, chars = learnt.entropies(*text_bytes(batch.column(1)), memo)
             own = np.array([languages.index(x) if x in languages else -1 for x in batch.column(0).to_pylist()], np.int64)
             keep = (own >= 0) & (chars > 0)
             yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(entropy[keep, own[keep]]), pa.array(chars[keep])], names=["own", "entropy", "chars"])
@@ -233,9 +243,9 @@ def identify(docs: DataFrame, learnt: Identifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learnt)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*shared.value.languages, UNKNOWN]
+        names, memo = [*shared.value.languages, UNKNOWN], shared.value.memo()
         for batch in slices(batches):
-            best, score, rejected = shared.value.predict(*text_bytes(batch.column(at)))
+            best, score, rejected = shared.value.predict(*text_bytes(batch.column(at)), memo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in best.tolist()]), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

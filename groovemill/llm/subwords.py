@@ -1,4 +1,4 @@
-"""Subword ids of whole texts by a public tokenizer: each distinct chunk of a batch is encoded once."""
+"""Subword ids of whole texts by a public tokenizer: distinct chunks are encoded once, and remembered for a while."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .text import bounds_of, chunks
+from .text import Memo, bounds_of, chunks
 
 #: Encodes byte strings, and returns all ids in a row and the number of ids of each string.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -61,17 +61,24 @@ def rank_encoder(path: str, pattern: str) -> Encode:
     return encode
 
 
+@functools.lru_cache(maxsize=8)
+def _memo(encode: Encode) -> Memo:
+    def compute(strings: list[bytes]) -> pa.Array:
+        ids, lengths = encode(strings)
+        return pa.LargeListArray.from_arrays(pa.array(bounds_of(lengths)), pa.array(ids))
+
+    return Memo(compute)
+
+
 def encode_rows(data: np.ndarray, ends: np.ndarray, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and where each row's ids start and end."""
     pieces, firsts = chunks(data, ends)
     if not len(pieces):
         return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
     coded = pieces.dictionary_encode()
-    ids, lengths = encode(coded.dictionary.to_pylist())
-    which = coded.indices.to_numpy()
-    lists = pa.LargeListArray.from_arrays(pa.array(bounds_of(lengths)), pa.array(ids))
-    flat = lists.take(coded.indices).flatten().to_numpy()
-    return flat, bounds_of(lengths[which])[firsts]
+    lists = _memo(encode)(coded.dictionary)
+    lengths = lists.value_lengths().to_numpy()[coded.indices.to_numpy()]
+    return lists.take(coded.indices).flatten().to_numpy(), bounds_of(lengths)[firsts]
 
 
 def count_rows(data: np.ndarray, ends: np.ndarray, encode: Encode) -> np.ndarray:
@@ -80,5 +87,5 @@ def count_rows(data: np.ndarray, ends: np.ndarray, encode: Encode) -> np.ndarray
     if not len(pieces):
         return np.zeros(len(ends) - 1, np.int64)
     coded = pieces.dictionary_encode()
-    _, lengths = encode(coded.dictionary.to_pylist())
+    lengths = _memo(encode)(coded.dictionary).value_lengths().to_numpy()
     return np.diff(bounds_of(lengths[coded.indices.to_numpy()])[firsts])

@@ -5,14 +5,16 @@ Null texts count as empty everywhere in this module.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most bytes of text that a task works on at once.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,6 +34,20 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns free memory to the system, which an idle worker would keep from those beside it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, or of one row."""
     for batch in batches:
@@ -41,6 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+            give_back()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -97,6 +114,31 @@ def chunks(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return _pieces(data, starts, np.append(starts[1:], len(data))), np.searchsorted(starts, ends)
 
 
+class Memo:
+    """What was computed for distinct strings, kept from one batch to the next.
+
+    Holds at most ``most`` strings, or those of one batch; when it is full, only the strings of the last batch stay.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], pa.Array], most: int = 1 << 19):
+        self.compute, self.most = compute, most
+        self.known, self.values = pa.array([], pa.binary()), None
+
+    def __call__(self, distinct: pa.BinaryArray) -> pa.Array:
+        """The values of the strings, in their order."""
+        at = pc.index_in(distinct, self.known)
+        fresh = distinct.filter(at.is_null())
+        if self.values is None or len(self.known) + len(fresh) > self.most:
+            used = at.drop_null()
+            self.known = self.known.take(used)
+            self.values = None if self.values is None else self.values.take(used)
+        if len(fresh) or self.values is None:
+            got = self.compute(fresh.to_pylist())
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.values = got if self.values is None else pa.concat_arrays([self.values, got])
+        return self.values.take(pc.index_in(distinct, self.known))
+
+
 def bounds_of(lengths: np.ndarray) -> np.ndarray:
     """0 and the running sums of the lengths."""
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])

@@ -29,7 +29,7 @@ HEADER = struct.Struct("<4sIQIQI")
 #: Byte lengths of the four codes of each control byte.
 LENGTHS = np.stack([(np.arange(256) >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 #: Text bytes that a block takes at most, unless one document has more.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
