@@ -90,21 +90,27 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def _judged(docs: DataFrame, columns: list[Column], rules: tuple[Rule, ...]) -> DataFrame:
+    """``columns`` of each row with base_failed and kept.
+
+    Spark moves no filter below a projection that isn't deterministic. Without one it would put the features' whole
+    expressions in place of their columns where a caller filters, and evaluate them again for each use.
+    """
+    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
+    verdicts = with_features(docs).select(*columns, failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept"), F.monotonically_increasing_id().alias("q_at"))
+    return verdicts.where("q_at >= 0").drop("q_at")
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row.
 
     A null or empty text has zero counts and fails. Rows stay as they are, repeated ones as well; further columns of
     ``docs`` are ignored.
     """
-    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
-    return with_features(docs.select("doc_id", "text")).select("doc_id", "q.*", failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept"))
+    return _judged(docs.select("doc_id", "text"), [F.col("doc_id"), F.col("q.*")], rules)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` whose text passes, with their own columns."""
-    own = docs.columns
-    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
-    judged = with_features(docs.select(F.struct(*own).alias("q_row"), F.col("text"))).select("q_row", (~failed & compiled(rules)).alias("q_kept"), F.monotonically_increasing_id().alias("q_at"))
-    # Spark doesn't move a filter below a projection that isn't deterministic; else it would put the features' whole
-    # expressions in place of their columns, and evaluate them again for each use
-    return judged.where((F.col("q_at") >= 0) & F.col("q_kept")).select("q_row.*")
+    own = docs.select(F.struct(*docs.columns).alias("q_row"), F.col("text"))
+    return _judged(own, [F.col("q_row")], rules).where("kept").select("q_row.*")
