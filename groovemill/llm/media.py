@@ -116,7 +116,11 @@ def _cosines() -> np.ndarray:
 
 
 def low_frequencies(samples: np.ndarray) -> bytes:
-    """8 bytes: which of the 8 x 8 lowest frequencies of the image, reduced to 32 x 32 means, exceed their median."""
+    """8 bytes: which of the 8 x 8 lowest frequencies of the image, reduced to 32 x 32 means, exceed their median.
+
+    Slight changes leave most bits as they are where all frequencies have a share, as in texts' bytes; frequencies that
+    an image hardly has all lie at the median, and their bits turn easily.
+    """
     means = samples.astype(np.float64)
     for axis in (0, 1):
         length = means.shape[axis]
