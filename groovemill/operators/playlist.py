@@ -140,13 +140,13 @@ def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int
         raise ValueError(f"a playlist has at most {MOST_TRACKS} tracks")
     keyed = pool.select("review_id", "artist").join(candidates, "review_id").withColumn("key", track_key(F.col("artist"), F.col("title")))
     lists = keyed.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("number", "key", "title", "source"))).alias("t"))
-    rows = pool.where(F.col("place") < MOST_ALBUMS).join(lists, "review_id", "left").select("review_id", "place", F.least("quota", "cap").alias("quota"), "cap", *(F.coalesce(F.transform("t", lambda x, f=f: x[f]), F.array().cast("array<string>")).alias(f"{f}s") for f in ("key", "title", "source")))
+    rows = pool.where(F.col("place") < MOST_ALBUMS).join(lists, "review_id", "left").select("review_id", "place", F.least("quota", "cap").alias("quota"), "cap", *(F.coalesce(f"t.{f}", F.array().cast("array<string>")).alias(f"{f}s") for f in ("key", "title", "source")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         picks = _fill(group, target, seed)
         return pd.DataFrame([(i + 1, *p) for i, p in enumerate(picks)], columns=["position", "review_id", "title", "source"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "position long, review_id long, title string, source string")
+    return rows.groupBy(F.lit("all")).applyInPandas(run, "position long, review_id long, title string, source string")
 
 
 def export_csv(playlist: DataFrame) -> DataFrame:

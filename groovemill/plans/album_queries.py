@@ -219,7 +219,7 @@ SQL = {
         SELECT place, review_id, {_CAPS(((1, 4), (3, 3), (7, 2)))} AS deep, {_CAPS(((2, 3), (11, 2)))} AS balanced FROM n""",
     "weighted_sample": f"{_POOL} SELECT review_id, round(draw, 6) AS draw FROM (SELECT review_id, ln(((review_id * 2654435761 + {SEED}) % 1000003 + 0.5::DOUBLE) / 1000003) / round(w1, 9) AS draw FROM pool) ORDER BY draw DESC, review_id LIMIT 10",
     "track_candidates": f"{with_views('tracks', 'reviews')} SELECT review_id, number, CASE WHEN is_highlight THEN 'highlight' ELSE 'fallback' END AS source, {_KEY} AS key FROM tracks JOIN reviews USING (review_id)",
-    "playlist_export": f"""{with_views("tracks", "reviews")}, {_TRACKS} SELECT position, '"' || artist || ', ""live"""",' || title AS line FROM listed""",
+    "playlist_export": f'''{with_views("tracks", "reviews")}, {_TRACKS} SELECT position, '"' || artist || ', ""live""",' || title AS line FROM listed''',
     "playlist_text": f"{with_views('tracks', 'reviews')}, {_TRACKS} SELECT position, artist || ' - ' || title AS line FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY position) AS nth FROM listed) WHERE nth = 1",
     "integer_percents": """WITH c AS (SELECT c_mktsegment, round(100 * (count(*) / sum(count(*)) OVER ()), 9) AS ideal, ascii(c_mktsegment) * 256 + length(c_mktsegment) AS place FROM customer GROUP BY 1)
         SELECT c_mktsegment, floor(ideal)::BIGINT + CASE WHEN row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, place DESC) <= 100 - (SELECT sum(floor(ideal)) FROM c) THEN 1 ELSE 0 END AS percent FROM c""",
