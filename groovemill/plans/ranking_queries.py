@@ -42,7 +42,8 @@ def breadth_percentile(spark, sf_dir):
 
 def batch_max_norm(spark, sf_dir):
     scores = scoring.album_scores(_affinities(Tables(spark, sf_dir)), PROFILE.selected(spark))
-    return scoring.batch_max_norm(scores, "best", "best_norm").select("review_id", *_r("best_norm"))
+    normed = scoring.batch_max_norm(scores, "best", "best_norm")
+    return normed.select("review_id", F.round(F.round("best_norm", 9), 6).alias("best_norm"))  # sums in another order must not turn a tie
 
 
 def archive_recommendations(spark, sf_dir):
@@ -151,7 +152,7 @@ SQL = {
     "style_diversity": f"{_ALL}, {_SCORES} SELECT review_id, hits, round(style_fit, 6) AS style_fit, round(n_eff, 6) AS n_eff, round(best, 6) AS best FROM scores",
     "style_fit_percentile": f"{_ALL}, {_CORPUS} SELECT review_id, round(fit_pct, 6) AS fit_pct FROM corpus",
     "breadth_percentile": f"{_ALL}, {_CORPUS} SELECT review_id, round(breadth_pct, 6) AS breadth_pct FROM corpus",
-    "batch_max_norm": f"{_ALL}, {_SCORES} SELECT review_id, round(CASE WHEN max(best) OVER () > 0 THEN best / max(best) OVER () ELSE 0 END, 6) AS best_norm FROM scores",
+    "batch_max_norm": f"{_ALL}, {_SCORES} SELECT review_id, round(round(CASE WHEN max(best) OVER () > 0 THEN best / max(best) OVER () ELSE 0 END, 9), 6) AS best_norm FROM scores",
     "archive_recommendations": f"""{_ARCHIVE} SELECT review_id, artist, album, hits, label, release_year, round(style_fit, 6) AS style_fit, round(n_eff, 6) AS n_eff, round(score, 6) AS score, round(breadth, 6) AS breadth,
         round(rating_effective, 6) AS rating_effective, round(rating_norm, 6) AS rating_norm, round(overall_score, 6) AS overall_score FROM archive""",
     "archive_page": f"""{_ARCHIVE} SELECT rank, review_id, artist, round(overall_score, 6) AS overall_score, CAST(CAST(round_even(round(score, 9) * 100, 0) AS INT) AS VARCHAR) || '% Fit' AS display,
