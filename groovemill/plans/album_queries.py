@@ -8,6 +8,7 @@ from groovemill.functions.tags import GENRES, NO_STYLE_PARTS, NO_STYLES
 from groovemill.functions.text import track_key
 from groovemill.operators import batches, genres, names, pages, playlist, quality, recommend
 from groovemill.plans import ranking_queries
+from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
 
 #: Albums of a playlist's pool, its tracks, exponent and seed.
@@ -18,7 +19,8 @@ TAGS = "Indie Rock|post-punk|Hip-Hop/Rap|2004|british|Drum and Bass|Singer/Songw
 
 
 def _pool(t: Tables):
-    top = recommend.page(ranking_queries._archive(t), 0, POOL)
+    # at most POOL rows; each step below uses its input twice, so the plan would double with each of them
+    top = checkpointed(recommend.page(ranking_queries._archive(t), 0, POOL))
     return playlist.album_weights(top.withColumn("place", F.col("rank") - 1))
 
 
