@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groovemill.llm import language, near_dup, packing, quality_rules
+from groovemill.llm import language, near_copies, packing, quality_rules
 from groovemill.llm.scratch import stored
 
 
@@ -23,8 +23,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates."""
-    return near_dup.keep_one(docs)
+    """The document of smallest doc_id of each group of near copies: a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
