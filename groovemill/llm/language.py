@@ -26,8 +26,10 @@ SAMPLE = 2000
 START, END = "\x02", "\x03"
 #: Cross-entropies' spread among training documents is measured in this share of them, which no model learns from.
 CALIBRATION = 5
-#: A document is rejected beyond this many times the largest deviation of calibration documents.
-SLACK = 1.5
+#: A document is rejected beyond the median deviation of calibration documents by so many of their standard deviations, estimated from the median one.
+SLACK = 20.0
+#: Languages of fewer calibration documents take their spread from all languages.
+FEWEST = 20
 UNKNOWN = "und"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -208,7 +210,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
         for batch in slices(batches):
             entropy, chars = learnt.entropies(*text_bytes(batch.column(1)), memo)
             own = np.array([languages.index(x) if x in languages else -1 for x in batch.column(0).to_pylist()], np.int64)
-            keep = (own >= 0) & (chars > 0)
+            keep = (chars > 0) & (own == entropy.argmin(axis=1))  # else the label is doubtful
             yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(entropy[keep, own[keep]]), pa.array(chars[keep])], names=["own", "entropy", "chars"])
 
     seen = sample.where(held).select("lang", "text").mapInArrow(figures, "own long, entropy double, chars long").toPandas()
@@ -216,18 +218,29 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
 
 
 def _calibrated(learnt: Identifier, own: np.ndarray, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Bounds of each language from its calibration documents; too few of them reject nothing."""
+    """Bounds of each language from its calibration documents.
+
+    All are medians, so that a minority of odd documents moves them little. A language of few documents has its own mean
+    and the spread of all; without any, it has the mean of the language of the largest. Too few in all reject nothing.
+    """
     out = np.tile([0.0, 1.0, 1.0, np.inf], (len(learnt.languages), 1))
-    for k in range(len(out)):
-        e, n = entropy[own == k], chars[own == k]
-        if len(e) < 20:
-            continue
-        mean = np.average(e, weights=np.minimum(n, 1000))
-        off = (e - mean) ** 2
+    if len(own) < FEWEST:
+        return out
+    rows = [np.flatnonzero(own == k) for k in range(len(out))]
+    means = np.array([np.median(entropy[r]) if len(r) else -np.inf for r in rows])
+    means[np.isinf(means)] = means.max()
+
+    def spread(r: np.ndarray, widened: float) -> tuple[float, float, float]:
+        off, n = (entropy[r] - means[own[r]]) ** 2, chars[r]
         within = np.median(off * n) / 0.455  # median of a squared normal deviate
-        between = np.median(off[n >= np.median(n)]) / 0.455
-        out[k] = mean, within, between, 0
-        out[k, 3] = SLACK * max(learnt._replace(bounds=out).deviations(np.full(len(e), k), e, n).max(), 1.0)
+        between = max(np.median(off[n >= np.median(n)]) / 0.455, 1e-12)
+        z = (entropy[r] - means[own[r]]) / np.sqrt(within / n + between)
+        middle = np.median(z)
+        return within, between * widened, middle + SLACK * max(np.median(np.abs(z - middle)) / 0.6745, 1.0)
+
+    for k, r in enumerate(rows):
+        few = len(r) < FEWEST
+        out[k] = means[k], *spread(np.arange(len(own)) if few else r, 1 + np.pi / 2 / max(len(r), 1) if few else 1.0)
     return out
 
 
