@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import SEED, components
-from .scratch import checkpointed, stored
+from .scratch import checkpointed
 from .text import slices, text_bytes
 
 SHINGLE = 5
@@ -29,7 +29,7 @@ ALIKE = (4, 5)
 #: 64-bit words of a set's parities.
 WORDS = 16
 #: Documents about which the sample has, and most shingles that it names.
-SAMPLE, FREQUENT = 20_000, 100_000
+SAMPLE, FREQUENT = 4000, 100_000
 #: A group of more pairs than this for each member reports the closest ones only, in at most ROUNDS rounds.
 MANY, ROUNDS = 4, 5
 
@@ -61,11 +61,11 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, parities binary, hashes array<long>")
 
 
-def _frequent(sets: DataFrame, rows: int) -> np.ndarray:
+def _frequent(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
     """Shingles that are in several documents of a sample, ascending, and how often."""
     share = F.lit(min(1.0, SAMPLE / max(1, rows)) * (1 << 30))
-    some = sets.where(F.xxhash64("fp").bitwiseAND(F.lit((1 << 30) - 1)) < share)
-    counted = some.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    some = docs.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < share)
+    counted = shingle_sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     return counted.sort_values("h").to_numpy(np.int64).reshape(-1, 2)
 
 
@@ -171,11 +171,12 @@ def _pairs(rows: DataFrame, most: int | None) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, open_key long")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are alike."""
+def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose sets are alike; the sets of their documents are made again, since those of all would take more room than the texts."""
     a, b = ALIKE
     used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    own = checkpointed(sets.select("fp", "n", "hashes").join(used, "fp", "left_semi").dropDuplicates(["fp"]))
+    ids = prints.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    own = checkpointed(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle).select("fp", "n", "hashes").dropDuplicates(["fp"]))
     end = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"hashes_{x}"))
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return pairs.join(end("a"), "a").join(end("b"), "b").where(F.lit(b) * common >= F.lit(a) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
@@ -187,16 +188,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Documents are connected whose sets of shingles have a Jaccard similarity of 4/5 or more, also through others; texts
     without words are alike.
     """
-    sets = stored(shingle_sets(docs, shingle), "shingle_sets")
-    known = sets.where("doc_id IS NOT NULL")
-    groups = checkpointed(_shared(_prefixes(known, _frequent(known, known.count()))))
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    known = checkpointed(shingle_sets(docs, shingle).select("doc_id", "fp", "n", "parities"))
+    groups = checkpointed(_shared(_prefixes(shingle_sets(docs, shingle), _frequent(docs, known.count(), shingle))))
     marks = known.select("fp", "n", "parities").join(groups.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
     rows = checkpointed(groups.join(marks, "fp"))
     edges, labels = None, None
     for i in range(ROUNDS):
         placed = rows.withColumn("label", F.col("fp")) if labels is None else rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         found = checkpointed(_pairs(placed, MANY if i < ROUNDS - 1 else None))
-        fresh = _alike(checkpointed(found.select("a", "b").distinct()), known)
+        fresh = _alike(checkpointed(found.select("a", "b").distinct()), docs, known, shingle)
         edges = checkpointed(fresh if edges is None else edges.union(fresh).distinct())
         labels = checkpointed(components(edges).select(F.col("id").alias("fp"), F.col("component").alias("label")))
         open_ = found.where("open_key IS NOT NULL").select(F.col("open_key").alias("key")).distinct()
