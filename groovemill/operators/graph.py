@@ -93,13 +93,13 @@ def cluster_quality(edges: DataFrame, memberships: DataFrame, resolution: float
     return terms.crossJoin(sizes).select(F.coalesce("modularity", F.lit(0.0)).alias("modularity"), "num_communities", "num_nodes", "num_edges", "avg_size", "min_size", "max_size", F.coalesce("internal_weight", F.lit(0.0)).alias("internal_weight"), F.coalesce(external, F.lit(0.0)).alias("external_weight"), share(F.col("internal_weight")).alias("internal_share"), share(external).alias("external_share"))
 
 
-def propagate_labels(edges: DataFrame, labels: DataFrame, rounds: int = 5) -> DataFrame:
+def propagate_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """artist, community: artists without a label take that of most outgoing weight, round after round.
 
     Rounds are synchronous; equal weights go to the label that sorts last. Stops when a round labels nobody.
     """
     labels = checkpointed(labels.select("artist", "community"))
-    for _ in range(rounds):
+    while True:
         open_ = edges.join(labels.select(F.col("artist").alias("src")), "src", "left_anti")
         votes = open_.join(labels.select(F.col("artist").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         won = votes.groupBy(F.col("src").alias("artist")).agg(F.max(F.struct("w", "community")).alias("best")).select("artist", F.col("best.community").alias("community"))

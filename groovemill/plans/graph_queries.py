@@ -74,7 +74,7 @@ def cross_community_neighbors(spark, sf_dir):
 
 def label_propagation(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.propagate_labels(_edges(t), t.memberships(), rounds=2)
+    return graph.propagate_labels(_edges(t), t.memberships())
 
 
 def bfs_distances(spark, sf_dir):
