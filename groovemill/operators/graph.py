@@ -130,6 +130,16 @@ def community_distances(hops: DataFrame, members: DataFrame) -> DataFrame:
     return hops.join(members, "artist").groupBy("source", "community").agg(F.min("hops").alias("min_hops"), F.avg("hops").alias("mean_hops"))
 
 
+def community_matrix(hops: DataFrame, centroids: DataFrame) -> DataFrame:
+    """community, neighbour, hops between the centroids (community, artist) of each two communities; null: none found.
+
+    hops: from each centroid, as ``hop_distances`` gives them.
+    """
+    here = centroids.select("community", F.col("artist").alias("source"))
+    there = centroids.select(F.col("community").alias("neighbour"), "artist")
+    return here.crossJoin(there).join(hops, ["source", "artist"], "left").select("community", "neighbour", "hops")
+
+
 def move_to_modular(edges: DataFrame, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
     """artist, community: communities of high modularity by local moves in synchronous rounds.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import position_weight
 from groovemill.operators import affinity, genres, graph
+from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
 
 #: Artists that distances start from.
@@ -87,6 +88,13 @@ def community_distances(spark, sf_dir):
     return graph.community_distances(bfs_distances(spark, sf_dir), t.memberships()).select("source", "community", "min_hops", *_r("mean_hops"))
 
 
+def community_distance_matrix(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    edges = checkpointed(_edges(t))
+    centroids = checkpointed(graph.community_centroids(graph.weighted_degrees(edges), t.memberships(), 1).select("community", "artist"))
+    return graph.community_matrix(graph.hop_distances(edges, centroids.select("artist")), centroids)
+
+
 def modular_communities(spark, sf_dir):
     return graph.move_to_modular(_edges(Tables(spark, sf_dir)))
 
@@ -180,6 +188,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         position_weights, album_affinities, top_communities, artist_edges, undirected_edges, weighted_degree_centroid, artist_attribute_counts, attribute_purity, cluster_quality, cross_community_neighbors,
-        label_propagation, bfs_distances, community_distances, modular_communities, artist_genre_profiles, impute_same_artist, impute_from_references,
+        label_propagation, bfs_distances, community_distances, community_distance_matrix, modular_communities, artist_genre_profiles, impute_same_artist, impute_from_references,
     )
 }

@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from groovemill.operators import graph
+from groovemill.plans import graph_queries
+from groovemill.sources.domain import Tables
 
 
 def test_labels_reach_the_end_of_a_chain(spark):
     edges = spark.createDataFrame([(f"a{i:02}", f"a{i + 1:02}", 1.0) for i in range(9)] + [("x", "y", 1.0)], "src string, dst string, weight double")
     got = graph.propagate_labels(edges, spark.createDataFrame([("a09", "C1")], "artist string, community string"))
     assert sorted(tuple(r) for r in got.collect()) == [(f"a{i:02}", "C1") for i in range(10)]
+
+
+def _distances(edges, start):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    found, front = {start: 0}, {start}
+    for hop in range(1, 11):
+        front = {y for x in front for y in near[x]} - found.keys()
+        found |= dict.fromkeys(front, hop)
+    return found
+
+
+def test_community_matrix_by_plain_searches(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    edges = [(r["src"], r["dst"]) for r in graph_queries.artist_edges(spark, sf_dir).collect()]
+    centroids = {r["community"]: r["artist"] for r in graph_queries.weighted_degree_centroid(spark, sf_dir).where("place = 1").collect()}
+    assert set(centroids) == {r["community"] for r in t.memberships().collect()}
+    wanted = {(c, d): _distances(edges, a).get(b) for c, a in centroids.items() for d, b in centroids.items()}
+    got = graph_queries.QUERIES["community_distance_matrix"](spark, sf_dir).collect()
+    assert len(got) == len(wanted) and {(r["community"], r["neighbour"]): r["hops"] for r in got} == wanted
+
+
+def test_community_matrix_beyond_three_hops(spark):
+    edges = spark.createDataFrame([(f"a{i:02}", f"a{i + 1:02}", 1.0) for i in range(12)], "src string, dst string, weight double")
+    centroids = spark.createDataFrame([("A", "a00"), ("B", "a05"), ("C", "a12")], "community string, artist string")
+    got = graph.community_matrix(graph.hop_distances(edges, centroids.select("artist")), centroids).collect()
+    assert {(r["community"], r["neighbour"]): r["hops"] for r in got} == {(c, d): abs(i - j) if abs(i - j) <= 10 else None for c, i in zip("ABC", (0, 5, 12)) for d, j in zip("ABC", (0, 5, 12))}
