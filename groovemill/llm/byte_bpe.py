@@ -182,7 +182,7 @@ class ByteBpe:
             which = np.array(which, np.int64)
             return lists.take(pa.array(which)).flatten().to_numpy(), np.diff(bounds_of(lengths[which])[bounds_of(np.array(found, np.int64))])
 
-        return encode
+        return Encode(encode)
 
     def decode(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
         """The bytes of all ids in a row, and each id's place in them."""

@@ -27,7 +27,6 @@ def library_ids(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -49,7 +48,7 @@ def test_byte_bpe_of_odd_rows(clashing, none, tiktoken_ids):
 
 def test_byte_bpe_of_random_bytes(tiktoken_ids):
     rng = random.Random(1)
-    alphabet = "aabbcdeerst'  \n\té中\U0001f600　\x85.,!?09"
+    alphabet = "aabbcdeerst'É<|>_-  \n\té中\U0001f600　\x85.,!?09"
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(0, 60))) for _ in range(2000)] + ["ab" * 3000, " " * 999, "\n" * 400]
     encode = byte_bpe.matrix_encoder(RANKS, public_tokenizers.PATTERN)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -58,6 +57,18 @@ def test_byte_bpe_of_random_bytes(tiktoken_ids):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == tiktoken_ids(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_get_the_ids_of_whole_texts(name):
+    rng = random.Random(2)
+    parts = ["The", "the", "THE", "Über", "über", "straße", "éé", "É", "don't", "I'LL", "x's", "'", "a", "B", "9", "²", "ª", "½", "×", "÷", "1st", "e\u0301", "=\u0338", "ſ", "İ", "Σ", "ς", "中", "\U0001f600", "　", "\x85", "\xa0", "\x1c", "_", "-", ",", ".", "...", "…", "“", "”", "(", ")", "/", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "|", ">", " ", "  ", "\n", "\t", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 25))) for _ in range(4000)] + ["abc <|endoftext|> def", "abc<|endoftext|>def", "ab" * 3000, "É" * 999, " " * 999]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    encode, whole = subwords.library_encoder(public_tokenizers.path(name)), library_ids(name)
+    ids, bounds = subwords.encode_rows(data, np.cumsum([0, *(len(t.encode()) for t in texts)]), encode)
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == whole(t), repr(t)
+
+
 def test_encoded_ids_decode_to_the_text(odd):
     encoded = byte_bpe.encode_texts(odd.where("doc_id <> 4"), RANKS, public_tokenizers.PATTERN)
     decoded = {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode_ids(encoded, RANKS).collect()}
