@@ -12,33 +12,52 @@ from pyspark.sql import functions as F
 SPAN_SECONDS = 3 * 3600
 
 
+def _segments(rows: DataFrame, key: str, span_seconds: int) -> DataFrame:
+    """``rows`` (key, id, seen_at) with ``segment``: a gap longer than the span always starts a batch, so segments between such gaps are independent.
+
+    Gaps are found, and segments numbered, within buckets of time and over the buckets.
+    """
+    second = F.unix_micros(F.col("seen_at").cast("timestamp")) / 1_000_000
+    timed = rows.withColumn("second", second).withColumn("bucket", F.floor(F.col("second") / (8 * max(1, span_seconds))))
+    order = [F.col("seen_at"), F.col("id")]
+    earlier = Window.partitionBy(key).orderBy("bucket")
+    edges = timed.groupBy(key, "bucket").agg(F.max("second").alias("top")).select(key, "bucket", F.lag("top").over(earlier).alias("before"))
+    gap = F.col("second") - F.coalesce(F.lag("second").over(Window.partitionBy(key, "bucket").orderBy(*order)), F.col("before"))
+    cut = timed.join(edges, [key, "bucket"]).withColumn("starts", F.coalesce(gap > span_seconds, F.lit(True)).cast("int"))
+    sums = cut.groupBy(key, "bucket").agg(F.sum("starts").alias("n")).select(key, "bucket", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"))
+    inside = F.sum("starts").over(Window.partitionBy(key, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(sums, [key, "bucket"]).select(key, "id", "seen_at", (F.col("done") + inside).alias("segment"))
+
+
 def anchored_batches(arrivals: DataFrame, key: str, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """key, batch, run_at (last arrival), n, ids (in order of arrival) of each key's batches.
 
     arrivals: key, id, seen_at. A batch takes arrivals up to ``span_seconds`` after its first one, however small the
-    gaps between them. Each depends on the one before: arrivals are read in order, one key after another, by the task
-    that has the key; it holds no more than the open batch.
+    gaps between them. Each depends on the one before, but only up to the last gap that is longer than the span: arrivals
+    are dealt out by the segments between such gaps and read in order; a task holds no more than the open batch.
     """
-    schema = f"{key} {dict(arrivals.dtypes)[key]}, batch long, run_at timestamp_ntz, n long, ids array<bigint>"
+    schema = f"{key} {dict(arrivals.dtypes)[key]}, segment long, nth long, run_at timestamp_ntz, n long, ids array<bigint>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, start, last, ids, number = None, None, None, [], 0
+        owner, start, last, ids, nth = None, None, None, [], 0
         for frame in frames:
             done = []
-            for k, i, t in zip(frame[key], frame["id"], frame["seen_at"], strict=True):
-                if ids and (k != owner or (t - start).total_seconds() > span_seconds):
-                    done.append((owner, number, last, len(ids), ids))
-                    number, ids = (number + 1 if k == owner else 0), []
+            for k, g, i, t in zip(frame[key], frame["segment"], frame["id"], frame["seen_at"], strict=True):
+                same = (k, g) == owner
+                if ids and (not same or (t - start).total_seconds() > span_seconds):
+                    done.append((*owner, nth, last, len(ids), ids))
+                    nth, ids = (nth + 1 if same else 0), []
                 if not ids:
-                    owner, start = k, t
+                    owner, start = (k, g), t
                 ids.append(i)
                 last = t
-            yield pd.DataFrame(done, columns=[key, "batch", "run_at", "n", "ids"])
+            yield pd.DataFrame(done, columns=[key, "segment", "nth", "run_at", "n", "ids"])
         if ids:
-            yield pd.DataFrame([(owner, number, last, len(ids), ids)], columns=[key, "batch", "run_at", "n", "ids"])
+            yield pd.DataFrame([(*owner, nth, last, len(ids), ids)], columns=[key, "segment", "nth", "run_at", "n", "ids"])
 
-    rows = arrivals.where("seen_at IS NOT NULL").select(key, "id", F.col("seen_at").cast("timestamp_ntz"))
-    return rows.repartition(key).sortWithinPartitions(key, "seen_at", "id").mapInPandas(run, schema)
+    rows = arrivals.where("seen_at IS NOT NULL").select(key, "id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
+    found = _segments(rows, key, span_seconds).repartition(key, "segment").sortWithinPartitions(key, "segment", "seen_at", "id").mapInPandas(run, schema)
+    return found.withColumn("batch", (F.row_number().over(Window.partitionBy(key).orderBy("segment", "nth")) - 1).cast("long")).select(key, "batch", "run_at", "n", "ids")
 
 
 def merge_batches(existing: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -55,22 +74,36 @@ def append_batch(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of largest ``order`` for each key."""
-    return rows.groupBy(key).agg(F.max(F.struct(order, *(c for c in rows.columns if c not in (key, order)))).alias("r")).select(key, "r.*")
+    """The row of largest ``order`` for each key; other columns may be of any type."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(order, *(c for c in rows.columns if c not in (key, order))), order).alias("r")).select(key, "r.*")
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The row of smallest ``order`` for each key."""
-    return rows.groupBy(*key).agg(F.min(F.struct(order, *(c for c in rows.columns if c != order and c not in key))).alias("r")).select(*key, "r.*")
+    """The row of smallest ``order`` for each key; other columns may be of any type."""
+    return rows.groupBy(*key).agg(F.min_by(F.struct(order, *(c for c in rows.columns if c != order and c not in key)), order).alias("r")).select(*key, "r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: str) -> DataFrame:
-    """Rows of ``new``, with ``keep`` from ``old`` where it has the key, and the other rows of ``old``."""
+    """Rows of ``new`` (one of each key), with ``keep`` from ``old`` where it has the key, and the other rows of ``old``."""
+    new = new.dropDuplicates([key])
     kept = old.select(F.col(key).alias("k"), F.col(keep).alias("kept"))
     merged = new.join(kept, new[key] == kept["k"], "left").withColumn(keep, F.coalesce("kept", keep)).select(*old.columns)
     return merged.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+def written(old: DataFrame, new: DataFrame, key: str, mode: str) -> DataFrame:
+    """What a table holds after ``new`` was written: overwrite (new rows alone), update (new rows instead of old ones of their key)
+    or append (new rows of keys that aren't there yet). Of several new rows of a key any one counts once."""
+    once = new.dropDuplicates([key])
+    if mode == "overwrite":
+        return once
+    if mode == "update":
+        return once.unionByName(old.join(once.select(key), key, "left_anti"))
+    if mode == "append":
+        return old.unionByName(once.join(old.select(key), key, "left_anti"))
+    raise ValueError(f"unknown mode {mode}")
+
+
 def new_ids(wanted: DataFrame, existing: DataFrame, key: str, least: int = 0) -> DataFrame:
     """Ids from ``least`` on that don't exist yet."""
     return wanted.where(F.col(key) >= least).select(key).distinct().join(existing.select(key), key, "left_anti")
@@ -82,6 +115,29 @@ def merge_favorites(saved: DataFrame, incoming: DataFrame, known: DataFrame) ->
     return saved.unionByName(fresh.join(saved.select("user_id", "review_id"), ["user_id", "review_id"], "left_anti"))
 
 
+def remove_favorites(saved: DataFrame, gone: DataFrame) -> DataFrame:
+    """``saved`` without the rows that ``gone`` (user_id, review_id) names."""
+    return saved.join(gone.select("user_id", "review_id"), ["user_id", "review_id"], "left_anti")
+
+
+def inserted_counts(saved: DataFrame, merged: DataFrame) -> DataFrame:
+    """user_id, inserted: how many favourites a merge has added."""
+    return merged.join(saved.select("user_id", "review_id"), ["user_id", "review_id"], "left_anti").groupBy("user_id").agg(F.count("*").alias("inserted"))
+
+
+def listed_favorites(saved: DataFrame) -> DataFrame:
+    """``saved`` with ``place``, the last saved first; equal times go by the larger id."""
+    return saved.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("saved_at").desc(), F.col("review_id").desc())).cast("long"))
+
+
+def next_ids(existing: DataFrame, key: str, first: int | None, last: int) -> DataFrame:
+    """Ids from ``first`` to ``last`` that don't exist yet; without ``first``, those after the largest existing one."""
+    spark = existing.sparkSession
+    if first is None:
+        first = (existing.agg(F.max(key)).first()[0] or 0) + 1
+    return spark.range(first, max(first, last + 1)).select(F.col("id").alias(key)).join(existing.select(key), key, "left_anti")
+
+
 def gap_runs(ids: DataFrame, stop_after: int) -> DataFrame:
     """first, last, missing of runs of at least ``stop_after`` missing ids between existing ones."""
     # neighbours are found within ranges of ids and across their borders, not in one task

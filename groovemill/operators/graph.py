@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def attribute_purity(counts: DataFrame, memberships: DataFrame) -> DataFrame:
     return largest.join(covered, "kind").crossJoin(F.broadcast(members)).select("kind", (F.col("top") / F.col("n")).alias("purity"), (F.col("covered") / F.col("n_members")).alias("coverage"))
 
 
+def combined_purity(purity: DataFrame) -> DataFrame:
+    """One row: the mean of the purities (kind, purity) that there are; null without any."""
+    return purity.agg(F.avg("purity").alias("combined_purity"))
+
+
 def cross_community_edges(edges: DataFrame, memberships: DataFrame) -> DataFrame:
     """community, neighbour, weight in both directions, between different communities."""
     at = lambda end: memberships.select(F.col("artist").alias(end), F.col("community").alias(f"{end}_community"))
@@ -71,6 +78,17 @@ def top_neighbours(cross: DataFrame, k: int = 6) -> DataFrame:
     return cross.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
+def circular_layout(communities: DataFrame, margin: float = 0.08) -> DataFrame:
+    """``communities`` (community; as many as a map can show) with x and y from 0 to 1: on a circle in the order of their names, scaled to the margins."""
+    placed = communities.withColumn("q_nth", F.row_number().over(Window.orderBy("community")) - 1)
+    angle = 2 * F.lit(math.pi) * F.col("q_nth") / F.col("q_n")
+    counted = placed.crossJoin(F.broadcast(communities.agg(F.count("*").alias("q_n"))))  # one row, as below
+    on_circle = counted.withColumn("q_x", F.when(F.col("q_n") == 1, 0.0).otherwise(F.cos(angle))).withColumn("q_y", F.when(F.col("q_n") == 1, 0.0).otherwise(F.sin(angle)))
+    ends = on_circle.agg(*(f(c).alias(f"{n}_{c}") for c in ("q_x", "q_y") for f, n in ((F.min, "low"), (F.max, "high"))))
+    scaled = lambda c: F.lit(margin) + F.lit(1 - 2 * margin) * (F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-6))
+    return on_circle.crossJoin(F.broadcast(ends)).select(*communities.columns, scaled("q_x").alias("x"), scaled("q_y").alias("y"))
+
+
 def cluster_quality(edges: DataFrame, memberships: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity (undirected), sizes of the communities, and weight inside and between them (directed).
 
@@ -96,18 +114,37 @@ def cluster_quality(edges: DataFrame, memberships: DataFrame, resolution: float
 def propagate_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """artist, community: artists without a label take that of most outgoing weight, round after round.
 
-    Rounds are synchronous; equal weights go to the label that sorts last. Stops when a round labels nobody.
+    Rounds are synchronous; equal weights go to the label that sorts last. Stops when a round labels nobody, so after as
+    many rounds as the longest way to a labelled artist has steps.
     """
     labels = checkpointed(labels.select("artist", "community"))
+    front, open_ = labels, edges
     while True:
-        open_ = edges.join(labels.select(F.col("artist").alias("src")), "src", "left_anti")
-        votes = open_.join(labels.select(F.col("artist").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
+        # whoever has a labelled neighbour is labelled in the next round, so only the newest labels have votes left to give
+        open_ = checkpointed(open_.join(front.select(F.col("artist").alias("src")), "src", "left_anti"))
+        votes = open_.join(front.select(F.col("artist").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         won = votes.groupBy(F.col("src").alias("artist")).agg(F.max(F.struct("w", "community")).alias("best")).select("artist", F.col("best.community").alias("community"))
-        won = checkpointed(won)
-        if won.isEmpty():
-            break
-        labels = checkpointed(labels.union(won))
-    return labels
+        front = checkpointed(won)
+        if front.isEmpty():
+            return labels
+        labels = labels.union(front)
+
+
+def updated_memberships(edges: DataFrame, previous: DataFrame) -> DataFrame:
+    """artist, community of all artists of the graph: if the previous ones (artist, community) have any community, these are kept
+    and propagated to artists that are new; else communities are found anew."""
+    known = previous.where("trim(community) <> ''")
+    if known.isEmpty():
+        return move_to_modular(edges)
+    own = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "artist")
+    return propagate_labels(edges, known).join(own, "artist", "left_semi")
+
+
+def described_communities(edges: DataFrame, memberships: DataFrame, k: int = 10) -> DataFrame:
+    """community, centroid, size, top_artists (the k of largest degree), as the export has them."""
+    top = community_centroids(weighted_degrees(edges), memberships, k)
+    listed = top.groupBy("community").agg(F.max(F.when(F.col("place") == 1, F.col("artist"))).alias("centroid"), F.transform(F.array_sort(F.collect_list(F.struct("place", "artist"))), lambda x: x["artist"]).alias("top_artists"))
+    return listed.join(memberships.groupBy("community").agg(F.count("*").alias("size")), "community").select("community", "centroid", "size", "top_artists")
 
 
 def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
@@ -141,7 +178,7 @@ def community_matrix(hops: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def move_to_modular(edges: DataFrame, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
-    """artist, community: communities of high modularity by local moves in synchronous rounds.
+    """artist, community: communities by ``rounds`` of local moves towards a higher modularity; not its highest.
 
     In each round a node joins the neighbouring community of largest gain; odd rounds allow only moves to a label that
     sorts lower, even rounds to a higher one, so that two nodes don't swap. Labels are names of members, then ranked by
@@ -151,7 +188,8 @@ def move_to_modular(edges: DataFrame, rounds: int = 6, resolution: float = 1.0)
     sym = checkpointed(sym.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").union(sym.select("b", "a", "weight")))
     total = sym.agg(F.sum("weight")).first()[0] or 0.0  # twice the weight of all edges
     degree = checkpointed(sym.groupBy("u").agg(F.sum("weight").alias("k")))
-    labels = checkpointed(degree.select(F.col("u").alias("artist"), F.col("u").alias("label"), "k"))
+    every = edges.select(F.explode(F.array("src", "dst")).alias("artist")).distinct()  # artists with only a loop stay alone
+    labels = checkpointed(every.join(degree.withColumnRenamed("u", "artist"), "artist", "left").select("artist", F.col("artist").alias("label"), F.coalesce("k", F.lit(0.0)).alias("k")))
     for i in range(rounds if total else 0):
         volume = labels.groupBy("label").agg(F.sum("k").alias("volume"))
         ties = sym.join(labels.select(F.col("artist").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("weight").alias("w"))
@@ -165,6 +203,16 @@ def move_to_modular(edges: DataFrame, rounds: int = 6, resolution: float = 1.0)
         best = scored.groupBy("u").agg(F.max(F.struct("gain", F.col("label"))).alias("best"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
         moved = best.where(F.col("best.gain") > F.greatest("stay", F.lit(0.0))).select(F.col("u").alias("artist"), F.col("best.label").alias("to"))
         labels = checkpointed(labels.join(moved, "artist", "left").select("artist", F.coalesce("to", "label").alias("label"), "k"))
+    return labels.join(ranked_communities(labels), "label").select("artist", "community")
+
+
+def ranked_communities(labels: DataFrame) -> DataFrame:
+    """label, community of labels (artist, label): C001 is the largest, ties go by the first name.
+
+    Places are counted within sizes and over the sizes, so that no task sees all communities.
+    """
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("artist").alias("first"))
-    named = sizes.withColumn("community", F.format_string("C%03d", F.row_number().over(Window.orderBy(F.col("n").desc(), "first"))))
-    return labels.join(named, "label").select("artist", "community")
+    larger = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.groupBy("n").agg(F.count("*").alias("m")).select("n", F.coalesce(F.sum("m").over(larger), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("n").orderBy("first"))
+    return sizes.join(before, "n").select("label", F.format_string("C%03d", F.col("before") + within).alias("community"))

@@ -106,6 +106,17 @@ def picture_shows_udf(name: pd.Series, file: pd.Series, context: pd.Series) -> p
     return pd.Series([picture_shows(n or "", f or "", c or "") for n, f, c in zip(name, file, context, strict=True)])
 
 
+@F.pandas_udf(T.BooleanType())
+def stands_in_udf(name: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([in_text(n or "", t or "") for n, t in zip(name, text, strict=True)], dtype=bool)
+
+
+def distinctive_member(name: str) -> bool:
+    """Whether a member's name may stand for the band: not a single word of up to four letters."""
+    words = plain(name).split()
+    return bool(words) and not (len(words) == 1 and len(words[0]) <= SHORT_NAME)
+
+
 def best_artist(candidates: DataFrame) -> DataFrame:
     """request, name, mbid, score: for each request (asked, name, mbid, score) the equal name first, then the best score."""
     equal = (F.lower(F.btrim("asked")) == F.lower(F.btrim("name"))).cast("int")
@@ -126,7 +137,8 @@ def image_confidence(images: DataFrame) -> DataFrame:
     """``images`` with score, threshold and accepted.
 
     images: artist, mbid, artist_type, source (wikidata_p18, commons_search, member_fallback), file, context, categories,
-    name_matches (from ``picture_shows_udf``).
+    name_matches (from ``picture_shows_udf``, of the depicted member's name where there is one) and hint_matches (whether the
+    artist's disambiguation stands in the context).
     """
     music, text = F.col("context").rlike(MUSIC), F.col("context")
     place = F.coalesce(F.col("categories").rlike(PLACES), F.lit(False))
@@ -142,6 +154,7 @@ def image_confidence(images: DataFrame) -> DataFrame:
         + points(music, 25)
         + points(F.lower("file").rlike(PREFERRED), 10)
         + F.when(has_id & (F.col("source") == "wikidata_p18"), 35).when(has_id, 10).otherwise(0)
+        + points(F.coalesce("hint_matches", F.lit(False)), 15)
         + points(F.lower("artist_type").isin("group", "person", "orchestra"), 5)
         - points(member, 10)
     )
@@ -161,7 +174,3 @@ def image_targets(metadata: DataFrame) -> DataFrame:
     genres = rows.select("lookup_key", F.explode("genres").alias("genre")).groupBy("lookup_key").agg(F.array_join(F.array_sort(F.collect_set("genre")), ",").alias("genres"))
     return names.join(genres, "lookup_key", "left").select("lookup_key", "artist", F.coalesce("genres", F.lit("")).alias("genres"), "review_count")
 
-
-def license_is_open(text: Column) -> Column:
-    """Whether a licence's short name is one of the free ones that pictures may be shown under."""
-    return F.coalesce(F.lower(text).rlike(r"^(cc[- ]by(-sa)?\b|cc0|public domain|pd\b)"), F.lit(False))

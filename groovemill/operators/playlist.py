@@ -58,12 +58,32 @@ def graduated_caps(pool: DataFrame, spread: str) -> DataFrame:
 
 def uniform(key: Column, seed: int) -> Column:
     """A number between 0 and 1 from a key and a seed, the same in every engine."""
-    return (F.pmod(key * 2654435761 + seed, F.lit(1000003)) + 0.5) / 1000003
+    return (F.pmod(F.pmod(key, F.lit(1000003)) * 2654435761 + seed, F.lit(1000003)) + 0.5) / 1000003
 
 
 def weighted_sample(pool: DataFrame, k: int, seed: int) -> DataFrame:
-    """k rows without replacement with chances by weight: those of largest log(u) / weight."""
-    return pool.where("weight > 0").withColumn("draw", F.log(uniform(F.col("review_id"), seed)) / F.col("weight")).orderBy(F.col("draw").desc(), "review_id").limit(k)
+    """``pool`` rows of k draws with ``nth`` (from 1) and ``draw``: without replacement, with chances by weight (largest log(u) / weight
+    first), as long as there are rows of positive weight; then with replacement, where ``draw`` is null.
+
+    If no weight is positive, all rows have the same. k is at most MOST_TRACKS; draws are found by their place in the
+    weights' running sum, which is taken within blocks of ids and over the blocks.
+    """
+    if k > MOST_TRACKS:
+        raise ValueError(f"at most {MOST_TRACKS} draws")
+    sums = pool.agg(F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("weight"))), F.lit(0.0)).alias("q_sum"))
+    weighed = pool.crossJoin(F.broadcast(sums)).withColumn("q_w", F.when(F.col("q_sum") > 0, F.greatest(F.lit(0.0), F.col("weight"))).otherwise(F.lit(1.0))).where("q_w > 0")  # sums is one row
+    drawn = weighed.withColumn("draw", F.log(uniform(F.col("review_id"), seed)) / F.col("q_w")).orderBy(F.col("draw").desc(), "review_id").limit(k)
+    first = drawn.withColumn("nth", F.row_number().over(Window.orderBy(F.col("draw").desc(), "review_id")).cast("long"))
+    found, there = pool.columns, weighed.select("review_id").limit(k).count()
+    if there == k or there == 0:
+        return first.select(*found, "nth", "draw")
+    # fewer rows than draws: at most k of them
+    order = Window.orderBy("review_id")
+    ranges = weighed.withColumn("q_high", F.sum("q_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q_low", F.lag("q_high", 1, 0.0).over(order)).withColumn("q_all", F.sum("q_w").over(Window.partitionBy()))
+    extra = pool.sparkSession.range(there + 1, k + 1).select(F.col("id").alias("nth"), uniform(F.col("id"), seed + 1).alias("q_u"))
+    place = F.col("q_u") * F.col("q_all")
+    again = ranges.join(F.broadcast(extra), (place >= F.col("q_low")) & (place < F.col("q_high")))  # at most k rows on either side
+    return first.select(*found, "nth", "draw").unionByName(again.select(*found, "nth", F.lit(None).cast("double").alias("draw")))
 
 
 def track_candidates(tracks: DataFrame, highlights: DataFrame | None = None) -> DataFrame:
@@ -86,7 +106,7 @@ def _shuffled(values: Iterable, seed: int) -> list:
 def _fill(pool: pd.DataFrame, target: int, seed: int) -> list[tuple[int, str, str]]:
     """Slots in shuffled order; each takes its album's next unused track, or passes to the next album that has room."""
     pool = pool.sort_values("place").reset_index(drop=True)
-    tracks = [deque(sorted(zip(k, t, s, strict=True), key=lambda x: (x[2] != "highlight", _order(x[0], seed)))) for k, t, s in zip(pool["keys"], pool["titles"], pool["sources"], strict=True)]
+    tracks = [deque(zip(k, t, s, strict=True)) for k, t, s in zip(pool["keys"], pool["titles"], pool["sources"], strict=True)]
     slots = deque(_shuffled((i for i, q in enumerate(pool["quota"]) for _ in range(int(q))), seed))
     used: set[str] = set()
     taken, picks, tries = [0] * len(pool), [], TRIES * target
@@ -122,25 +142,25 @@ def _fill(pool: pd.DataFrame, target: int, seed: int) -> list[tuple[int, str, st
     return picks
 
 
-def _order(key: str, seed: int) -> int:
-    value = seed
-    for c in key:
-        value = (value * 31 + ord(c)) % 1000003
-    return value
-
-
 def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """position, review_id, title, source of a playlist of at most ``target`` tracks.
 
-    pool: review_id, artist, place, quota, cap. candidates: review_id, title, source. A slot depends on all slots before
-    it, so one task fills them; the pool (at most MOST_ALBUMS) and target (at most MOST_TRACKS) bound it. Quotas above
-    the caps are cut without being dealt out again.
+    pool: review_id, artist, place, quota, cap. candidates: review_id, number, title, source. A slot depends on all slots
+    before it, so one task fills them. Its group is bounded before the shuffle: the pool (at most MOST_ALBUMS) and the
+    target (at most MOST_TRACKS) by errors, an album's tracks by how many can be taken or used before (cap and target): its
+    highlights first, then others, both in an order by chance. Quotas above the caps are cut without being dealt out again.
     """
     if target > MOST_TRACKS:
         raise ValueError(f"a playlist has at most {MOST_TRACKS} tracks")
-    keyed = pool.select("review_id", "artist").join(candidates, "review_id").withColumn("key", track_key(F.col("artist"), F.col("title")))
-    lists = keyed.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("number", "key", "title", "source"))).alias("t"))
-    rows = pool.where(F.col("place") < MOST_ALBUMS).join(lists, "review_id", "left").select("review_id", "place", F.least("quota", "cap").alias("quota"), "cap", *(F.coalesce(f"t.{f}", F.array().cast("array<string>")).alias(f"{f}s") for f in ("key", "title", "source")))
+    if pool.limit(MOST_ALBUMS + 1).count() > MOST_ALBUMS:
+        raise ValueError(f"a playlist's pool has at most {MOST_ALBUMS} albums")
+    keyed = pool.select("review_id", "artist", "cap").join(candidates, "review_id").withColumn("key", track_key(F.col("artist"), F.col("title")))
+    chance = F.crc32(F.concat("key", F.lit(f":{seed}")).cast("binary"))
+    order = Window.partitionBy("review_id").orderBy((F.col("source") != "highlight").cast("int"), chance, "key", "number")
+    once = keyed.withColumn("same", F.row_number().over(Window.partitionBy("review_id", "key").orderBy((F.col("source") != "highlight").cast("int"), "number"))).where("same = 1")
+    first = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("cap") + target)
+    lists = first.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("nth", "key", "title", "source"))).alias("t"))
+    rows = pool.join(lists, "review_id", "left").select("review_id", "place", F.least("quota", "cap").alias("quota"), "cap", *(F.coalesce(f"t.{f}", F.array().cast("array<string>")).alias(f"{f}s") for f in ("key", "title", "source")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         picks = _fill(group, target, seed)

@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import effective_rating, overall_score, rating_unit
-from groovemill.operators.scoring import TasteProfile, album_scores, percentile
+from groovemill.operators.scoring import TasteProfile, album_scores, percentile_table, with_percentile
 from groovemill.sources.checkpoints import checkpointed
 
 
-def corpus_scores(affinities: DataFrame, profile: TasteProfile) -> DataFrame:
-    """``album_scores`` with fit_pct and breadth_pct over all albums that have affinities, before any filter."""
-    scores = album_scores(affinities, profile.selected(affinities.sparkSession))
-    return percentile(percentile(scores, "style_fit", "fit_pct"), "n_eff", "breadth_pct")
+def corpus_scores(affinities: DataFrame, profile: TasteProfile, of: DataFrame | None = None) -> DataFrame:
+    """``album_scores`` with fit_pct and breadth_pct over all albums that have affinities, before any filter.
+
+    of: review_id of the albums to return, if not all. Scores are kept by a checkpoint; of the corpus only they and the
+    tables of percentiles are read after that.
+    """
+    scores = checkpointed(album_scores(affinities, profile.selected(affinities.sparkSession)))
+    fit, breadth = percentile_table(scores, "style_fit", "fit_pct"), percentile_table(scores, "n_eff", "breadth_pct")
+    wanted = scores if of is None else scores.join(of.select("review_id"), "review_id", "left_semi")
+    return with_percentile(with_percentile(wanted, "style_fit", fit), "n_eff", breadth)
 
 
 def label_filter(label: Column, selected: tuple[str, ...] | None) -> Column:
@@ -28,6 +34,26 @@ def year_filter(year: Column, bounds: tuple[int, int] | None) -> Column:
     return F.lit(True) if bounds is None else year.isNull() | year.between(min(bounds), max(bounds))
 
 
+def clamped(bounds: tuple | None, floor: float, cap: float, kind: type = int) -> tuple:
+    """Bounds within floor and cap, the lower one first; what is no number is the floor or the cap."""
+    low, high = bounds or (None, None)
+
+    def number(value, default):
+        try:
+            return min(max(kind(value), floor), cap)
+        except (TypeError, ValueError):
+            return default
+
+    return tuple(sorted((number(low, floor), number(high, cap))))
+
+
+def checked_request(limit: int = 20, offset: int = 0, rounds: int = 1, target: int = 30, exponent: float = 1.0) -> None:
+    """Raises ValueError for what a request may not ask for."""
+    for name, value, low, high in (("limit", limit, 1, 100), ("offset", offset, 0, 20_000), ("rounds", rounds, 1, 20), ("target", target, 1, 100), ("exponent", exponent, 1, 5)):
+        if not low <= value <= high:
+            raise ValueError(f"{name} has to be from {low} to {high}")
+
+
 def scored(reviews: DataFrame, scores: DataFrame, profile: TasteProfile, how: str = "inner") -> DataFrame:
     """Reviews with scores; with ``how`` left, albums without affinities have percentiles of 0."""
     joined = reviews.join(scores, "review_id", how)
@@ -39,10 +65,14 @@ def scored(reviews: DataFrame, scores: DataFrame, profile: TasteProfile, how: st
 def archive_candidates(reviews: DataFrame, affinities: DataFrame, profile: TasteProfile) -> DataFrame:
     """Albums with a selected community that pass the profile's filters; the score band is one of percentiles."""
     rows = scored(reviews, corpus_scores(affinities, profile), profile)
-    low, high = sorted(profile.rating_range)
+    low, high = clamped(profile.rating_range, 0.0, 10.0, float)
     band = sorted(profile.score_range)
     year = F.coalesce("release_year", F.year("release_date"))
-    return rows.where((F.col("hits") > 0) & F.col("rating_effective").between(low, high) & year_filter(year, profile.year_range) & label_filter(F.col("label"), profile.labels) & F.round("score", 9).between(*band))
+    years = None
+    if profile.year_range is not None:
+        ends = reviews.agg(F.min(year).alias("first"), F.max(year).alias("last")).first()
+        years = None if ends["first"] is None else clamped(profile.year_range, ends["first"], ends["last"])
+    return rows.where((F.col("hits") > 0) & F.col("rating_effective").between(low, high) & year_filter(year, years) & label_filter(F.col("label"), profile.labels) & F.round("score", 9).between(*band))
 
 
 def order_keys() -> list[Column]:
@@ -57,6 +87,23 @@ def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") > offset)
 
 
+def in_order(reviews: DataFrame, affinities: DataFrame, profile: TasteProfile) -> DataFrame:
+    """``scored`` reviews of a page with their rank, best first; without a selected community they stay newest first, with scores of 0."""
+    if profile.weights:
+        rows = scored(reviews, corpus_scores(affinities, profile, reviews), profile, "left")
+        return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order_keys())).cast("long"))
+    zeros = {c: F.lit(0.0) for c in ("style_fit", "score", "breadth", "overall_score")} | {"n_eff": F.lit(1.0), "hits": F.lit(0)}
+    rows = reviews.withColumns(zeros | {"rating_effective": effective_rating(F.col("rating")), "rating_norm": rating_unit(F.col("rating"))})
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("review_id").desc())).cast("long"))
+
+
+def page_with_total(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """``page`` with ``total``, the number of all rows; rows are kept by a checkpoint, as both need them."""
+    checked_request(limit=limit, offset=offset)
+    rows = checkpointed(rows)
+    return page(rows, offset, limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
 def newest(reviews: DataFrame, n: int) -> DataFrame:
     return reviews.orderBy(F.col("review_id").desc()).limit(max(1, n))
 

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import ALPHA, BETA, GAMMA, KEY_DIGITS
+from groovemill.sources.checkpoints import checkpointed
+
+
+#: Fixed value: the weight of a selected community that the profile gives none.
+DEFAULT_WEIGHT = 0.5
 
 
 @dataclass(frozen=True)
 class TasteProfile:
-    """Selected communities with weights from 0 to 1, shares of the score's parts, and hard filters."""
+    """Selected communities with weights from 0 to 1 (null: DEFAULT_WEIGHT), shares of the score's parts, and hard filters."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float | None] = field(default_factory=dict)
     alpha: float = ALPHA
     beta: float = BETA
     gamma: float = GAMMA
@@ -25,24 +30,29 @@ class TasteProfile:
 
     def selected(self, spark: SparkSession) -> DataFrame:
         """community, weight of the selected communities: as many rows as the profile names."""
-        return spark.createDataFrame([(c, min(1.0, max(0.0, float(w)))) for c, w in sorted(self.weights.items())], "community string, weight double")
+        return spark.createDataFrame([(c, DEFAULT_WEIGHT if w is None else min(1.0, max(0.0, float(w)))) for c, w in sorted(self.weights.items())], "community string, weight double")
 
 
-def percentile(df: DataFrame, value: str, out: str, width: float = 1e-3) -> DataFrame:
-    """``df`` with the percentile of ``value`` among all rows: average ranks of ties, rescaled to 0 to 1.
+def percentile_table(df: DataFrame, value: str, out: str, width: float = 1e-3) -> DataFrame:
+    """p_key and its percentile among all rows of ``df``: average ranks of ties, rescaled to 0 to 1. One row, or all equal, give 1.
 
-    One row, or all rows equal, give 1. Ranks come from the table of distinct (rounded) values, summed within ranges of
-    ``width`` and over the ranges, so that no task sees all values.
+    There is a row for each distinct (rounded) value. They are counted once and kept by a checkpoint; ranks are sums
+    within ranges of ``width`` and over the ranges, so that no task sees all values.
     """
-    key = F.round(F.col(value), KEY_DIGITS)
-    counts = df.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("key") / width))
+    counts = df.groupBy(F.round(F.col(value), KEY_DIGITS).alias("p_key")).agg(F.count("*").alias("n"))
+    counts = checkpointed(counts.withColumn("range", F.floor(F.col("p_key") / width)))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    within = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(ranges, "range").select("key", (F.col("earlier") + F.sum("n").over(within) - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
-    bounds = ranked.agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
-    scaled = ranked.crossJoin(F.broadcast(bounds)).select(F.col("key").alias("p_key"), F.when(F.col("high") <= F.col("low"), F.lit(1.0)).otherwise((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low"))).alias(out))
-    return df.join(scaled, key == F.col("p_key"), "left").drop("p_key")
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("earlier"))
+    ends = counts.agg(((F.min_by("n", "p_key") + 1) / 2).alias("low"), (F.sum("n") - (F.max_by("n", "p_key") - 1) / 2).alias("high"))
+    within = Window.partitionBy("range").orderBy("p_key").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("earlier") + F.sum("n").over(within) - F.col("n") + (F.col("n") + 1) / 2
+    ranked = counts.join(ranges, "range").select("p_key", rank.alias("rank")).crossJoin(F.broadcast(ends))  # one row
+    return ranked.select("p_key", F.when(F.col("high") <= F.col("low"), F.lit(1.0)).otherwise((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low"))).alias(out))
+
+
+def with_percentile(df: DataFrame, value: str, table: DataFrame) -> DataFrame:
+    """``df`` with the percentile that ``percentile_table`` has for the value."""
+    return df.join(table, F.round(F.col(value), KEY_DIGITS) == F.col("p_key"), "left").drop("p_key")
 
 
 def album_scores(affinities: DataFrame, selected: DataFrame) -> DataFrame:

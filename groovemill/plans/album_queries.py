@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 
 from groovemill.functions.tags import GENRES, NO_STYLE_PARTS, NO_STYLES
 from groovemill.functions.text import track_key
-from groovemill.operators import batches, genres, names, pages, playlist, quality, recommend
+from groovemill.operators import batches, genres, lookups, names, pages, playlist, quality, recommend
 from groovemill.plans import ranking_queries
 from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
 
 #: Albums of a playlist's pool, its tracks, exponent and seed.
-POOL, TARGET, EXPONENT, SEED = 60, 30, 2.0, 17
+POOL, TARGET, EXPONENT, SEED = playlist.MOST_ALBUMS, 30, 2.0, 17
 THIS_YEAR = 2026
 #: Raw tags by the number of a part's brand.
 TAGS = "Indie Rock|post-punk|Hip-Hop/Rap|2004|british|Drum and Bass|Singer/Songwriter|dream pop|concept album|R&B|alt-country|Electropop; synth-pop|Death Metal|chamber folk|dark|trip hop|Neo-Psychedelia|Latin + World|rock & roll|acid jazz|metalcore, hardcore|emo-folk|jazzrock|soundtrack|Art Pop|Techno|postrock".split("|")
 
 
 def _pool(t: Tables):
-    # at most POOL rows; each step below uses its input twice, so the plan would double with each of them
+    # all candidates, or the best POOL of them; each step below uses its input twice, so the plan would double with each
     top = checkpointed(recommend.page(ranking_queries._archive(t), 0, POOL))
     return playlist.album_weights(top.withColumn("place", F.col("rank") - 1))
 
@@ -42,7 +42,13 @@ def graduated_caps(spark, sf_dir):
 
 def weighted_sample(spark, sf_dir):
     pool = _pool(Tables(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
-    return playlist.weighted_sample(pool, 10, SEED).select("review_id", F.round("draw", 6).alias("draw"))
+    return playlist.weighted_sample(pool, 10, SEED).select("nth", "review_id", F.round("draw", 6).alias("draw"))
+
+
+def weighted_draws(spark, sf_dir):
+    """More draws than albums with a weight: what is left is drawn with replacement."""
+    orders = Tables(spark, sf_dir).read("orders").where("o_orderkey < 60").select(F.col("o_orderkey").alias("review_id"), F.round(F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(F.col("o_orderkey") / 100), 6).alias("weight"))
+    return playlist.weighted_sample(orders, 90, SEED).select("nth", "review_id", F.round("draw", 6).alias("draw"))
 
 
 def track_candidates(spark, sf_dir):
@@ -158,15 +164,20 @@ def tag_to_genre(spark, sf_dir):
 def name_match(spark, sf_dir):
     rows = Tables(spark, sf_dir).read("supplier").select("s_suppkey", F.col("s_name").alias("asked"))
     found = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("The "), F.upper("asked"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.col("asked"), F.lit(" and Friends"))).otherwise(F.reverse("asked"))
-    return rows.withColumn("found", found).withColumn("same", names.same_artist_udf("asked", "found"))
+    return lookups.matched(rows.withColumn("found", found), "asked", "found", "same").select("s_suppkey", "asked", "found", "same")
+
+
+def _images(t: Tables):
+    key = F.col("c_custkey")
+    rows = t.read("customer").select("c_custkey", F.col("c_name").alias("artist"), F.when(key % 2 == 0, F.concat(F.lit("mb"), "c_custkey")).alias("mbid"), F.when(key % 3 == 0, "group").alias("artist_type"), F.get(F.array(*map(F.lit, ("wikidata_p18", "commons_search", "member_fallback"))), (key % 3).cast("int")).alias("source"))
+    context = F.concat("artist", F.get(F.array(*map(F.lit, (" band on stage", " stadium", " at the arena, concert", " portrait", " of the Indie Duo, live music"))), (key % 5).cast("int")))
+    return rows.withColumns({"file": F.concat(F.lit("File:"), "artist", F.lit(" live.jpg")), "context": context, "categories": F.when(key % 7 == 0, F.lit("Maps of towns")), "disambiguation": F.when(key % 4 == 0, "indie duo").when(key % 4 == 1, "folk trio")})
 
 
 def image_confidence(spark, sf_dir):
-    rows = Tables(spark, sf_dir).read("customer").select("c_custkey", F.col("c_name").alias("artist"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("mb"), "c_custkey")).alias("mbid"), F.when(F.col("c_custkey") % 3 == 0, "group").alias("artist_type"), F.get(F.array(*map(F.lit, ("wikidata_p18", "commons_search", "member_fallback"))), (F.col("c_custkey") % 3).cast("int")).alias("source"))
-    context = F.concat("artist", F.get(F.array(*map(F.lit, (" band on stage", " stadium", " at the arena, concert", " portrait"))), (F.col("c_custkey") % 4).cast("int")))
-    images = rows.withColumns({"file": F.concat(F.lit("File:"), "artist", F.lit(" live.jpg")), "context": context, "categories": F.when(F.col("c_custkey") % 5 == 0, F.lit("Maps of towns"))})
-    matched = images.withColumn("name_matches", names.picture_shows_udf("artist", "file", "context"))
-    return names.image_confidence(matched).select("c_custkey", "score", "threshold", "accepted")
+    images = _images(Tables(spark, sf_dir)).withColumn("name_matches", names.picture_shows_udf("artist", "file", "context"))
+    hinted = lookups.matched(images, "disambiguation", "context", "hint_matches", names.stands_in_udf)
+    return names.image_confidence(hinted).select("c_custkey", "score", "threshold", "accepted")
 
 
 def image_targets(spark, sf_dir):
@@ -211,6 +222,7 @@ def _tag_sql() -> str:
         SELECT review_id, coalesce(string_agg(DISTINCT genre, ',' ORDER BY genre), '') AS genres FROM a JOIN t USING (i) LEFT JOIN g USING (i) GROUP BY 1"""
 
 
+_U = "(((({x}) % 1000003) * 2654435761 + {s}) % 1000003 + 0.5::DOUBLE) / 1000003"
 _CAPS = lambda steps: "CASE " + " ".join(f"WHEN nth <= {n} THEN {cap}" for n, cap in steps) + " ELSE 1 END::BIGINT"
 _TRACKS = "listed AS (SELECT review_id * 1000 + number AS position, artist, title FROM tracks JOIN reviews USING (review_id))"
 
@@ -219,7 +231,12 @@ SQL = {
     "stratified_slots": f"{_SLOTS} SELECT place, review_id, floor_slots, extra, floor_slots + extra AS quota, round(ideal, 6) AS ideal FROM slots",
     "graduated_caps": f"""{_POOL}, n AS (SELECT *, row_number() OVER (ORDER BY round(w1, 9) DESC, place) - 1 AS nth FROM pool)
         SELECT place, review_id, {_CAPS(((1, 4), (3, 3), (7, 2)))} AS deep, {_CAPS(((2, 3), (11, 2)))} AS balanced FROM n""",
-    "weighted_sample": f"{_POOL} SELECT review_id, round(draw, 6) AS draw FROM (SELECT review_id, ln(((review_id * 2654435761 + {SEED}) % 1000003 + 0.5::DOUBLE) / 1000003) / round(w1, 9) AS draw FROM pool) ORDER BY draw DESC, review_id LIMIT 10",
+    "weighted_sample": f"{_POOL} SELECT row_number() OVER (ORDER BY draw DESC, review_id) AS nth, review_id, round(draw, 6) AS draw FROM (SELECT review_id, ln({_U.format(x='review_id', s=SEED)}) / round(w1, 9) AS draw FROM pool WHERE round(w1, 9) > 0) QUALIFY nth <= 10",
+    "weighted_draws": f"""WITH p AS (SELECT o_orderkey AS review_id, round(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey / 100 END, 6)::DOUBLE AS w FROM orders WHERE o_orderkey < 60), v AS (SELECT * FROM p WHERE w > 0 OR (SELECT max(w) FROM p) = 0),
+        f AS (SELECT row_number() OVER (ORDER BY ln({_U.format(x="review_id", s=SEED)}) / w DESC, review_id) AS nth, review_id, round(ln({_U.format(x="review_id", s=SEED)}) / w, 6) AS draw FROM v QUALIFY nth <= 90),
+        c AS (SELECT review_id, sum(w) OVER (ORDER BY review_id) AS high, sum(w) OVER (ORDER BY review_id) - w AS low, sum(w) OVER () AS total FROM v), n AS (SELECT count(*) AS n FROM v),
+        e AS (SELECT nth, {_U.format(x="nth", s=SEED + 1)} AS u FROM n, range(1, 91) r(nth) WHERE nth > n)
+        SELECT * FROM f UNION ALL SELECT nth, review_id, NULL FROM e JOIN c ON u * total >= low AND u * total < high""",
     "track_candidates": f"{with_views('tracks', 'reviews')} SELECT review_id, number, CASE WHEN is_highlight THEN 'highlight' ELSE 'fallback' END AS source, {_KEY} AS key FROM tracks JOIN reviews USING (review_id)",
     "playlist_export": f'''{with_views("tracks", "reviews")}, {_TRACKS} SELECT position, '"' || artist || ', ""live""",' || title AS line FROM listed''',
     "playlist_text": f"{with_views('tracks', 'reviews')}, {_TRACKS} SELECT position, artist || ' - ' || title AS line FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY position) AS nth FROM listed) WHERE nth = 1",
@@ -254,7 +271,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        album_weights, stratified_slots, graduated_caps, weighted_sample, track_candidates, playlist_fill, playlist_export, playlist_text, integer_percents, anchored_batches, batch_merge, last_wins, upsert_reviews,
+        album_weights, stratified_slots, graduated_caps, weighted_sample, weighted_draws, track_candidates, playlist_fill, playlist_export, playlist_text, integer_percents, anchored_batches, batch_merge, last_wins, upsert_reviews,
         favorites_merge, incremental_new_ids, missing_runs, dq_review_stats, dq_findings, dq_severity, dq_coverage, label_buckets, tag_to_genre, name_match, image_confidence, image_targets, html_pages,
     )
 }

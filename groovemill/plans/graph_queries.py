@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import position_weight
 from groovemill.operators import affinity, genres, graph
-from groovemill.sources.checkpoints import checkpointed
+from groovemill.sources import graph_files
+from groovemill.sources.checkpoints import checkpointed, shared_folder
 from groovemill.sources.domain import Tables, with_views
 
-#: Artists that distances start from.
-SOURCES = ("Customer#000000001", "Customer#000000007")
-HOPS = 3
+#: How far distances go.
+CUTOFF = 10
 
 
 def _r(*columns: str):
@@ -78,9 +80,14 @@ def label_propagation(spark, sf_dir):
     return graph.propagate_labels(_edges(t), t.memberships())
 
 
+def _centroids(t: Tables, edges):
+    return checkpointed(graph.community_centroids(graph.weighted_degrees(edges), t.memberships(), 1).select("community", "artist"))
+
+
 def bfs_distances(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.hop_distances(_edges(t), spark.createDataFrame([(s,) for s in SOURCES], "artist string"), HOPS)
+    edges = checkpointed(_edges(t))
+    return graph.hop_distances(edges, _centroids(t, edges).select("artist"), CUTOFF)
 
 
 def community_distances(spark, sf_dir):
@@ -91,14 +98,43 @@ def community_distances(spark, sf_dir):
 def community_distance_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
     edges = checkpointed(_edges(t))
-    centroids = checkpointed(graph.community_centroids(graph.weighted_degrees(edges), t.memberships(), 1).select("community", "artist"))
-    return graph.community_matrix(graph.hop_distances(edges, centroids.select("artist")), centroids)
+    centroids = _centroids(t, edges)
+    return graph.community_matrix(graph.hop_distances(edges, centroids.select("artist"), CUTOFF), centroids)
 
 
 def modular_communities(spark, sf_dir):
     return graph.move_to_modular(_edges(Tables(spark, sf_dir)))
 
 
+def purity_summary(spark, sf_dir):
+    return graph.combined_purity(attribute_purity(spark, sf_dir)).select(F.round("combined_purity", 5).alias("combined_purity"))
+
+
+def community_map(spark, sf_dir):
+    """Nodes with their sizes, neighbours and places on a circle."""
+    t = Tables(spark, sf_dir)
+    edges = checkpointed(_edges(t))
+    near = graph.top_neighbours(graph.cross_community_edges(edges, t.memberships()))
+    listed = near.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "neighbour"))), lambda x: x["neighbour"]), ",").alias("neighbours"))
+    sizes = t.memberships().groupBy("community").agg(F.count("*").alias("size"))
+    return graph.circular_layout(sizes.join(listed, "community", "left")).select("community", "size", F.coalesce("neighbours", F.lit("")).alias("neighbours"), *_r("x", "y"))
+
+
+def incremental_export(spark, sf_dir):
+    """Memberships of which each fourth is new, updated and described."""
+    t = Tables(spark, sf_dir)
+    edges = checkpointed(_edges(t))
+    now = checkpointed(graph.updated_memberships(edges, t.memberships().where("cast(right(artist, 9) as int) % 4 <> 0")))
+    return graph.described_communities(edges, now, 3).select("community", "centroid", "size", F.array_join("top_artists", ",").alias("top_artists"))
+
+
+def graph_document(spark, sf_dir):
+    """Edges written as GraphML, whose weights are text, and read again."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graph_files.write_edges(_edges(Tables(spark, sf_dir)), path)
+    return graph_files.read_edges(spark, path).select("src", "dst", *_r("weight"))
+
+
 def artist_genre_profiles(spark, sf_dir):
     found = genres.artist_profiles(Tables(spark, sf_dir).metadata())
     return found.select("artist_key", "total_albums", F.array_join("main_genres", ",").alias("main_genres"))
@@ -136,18 +172,16 @@ _PLACED = """placed AS (SELECT e.*, a.community AS sc, b.community AS dc FROM ed
 _DEGREES = "degrees AS (SELECT artist, sum(weight) AS degree FROM (SELECT src AS artist, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1)"
 
 
-def _propagated(rounds: int) -> str:
-    steps = ["l0 AS (SELECT artist, community FROM memberships)"]
-    for i in range(rounds):
-        steps.append(f"""l{i + 1} AS (SELECT * FROM l{i} UNION ALL SELECT src, community FROM (SELECT src, community, row_number() OVER (PARTITION BY src ORDER BY w DESC, community DESC) AS k FROM (
-            SELECT src, l.community, round(sum(weight), 9) AS w FROM edges JOIN l{i} l ON l.artist = dst WHERE src NOT IN (SELECT artist FROM l{i}) GROUP BY 1, 2)) WHERE k = 1)""")
-    return ", ".join(steps)
-
-
-_START = ", ".join(f"('{s}')" for s in SOURCES)
-_BFS = f"""both_ways AS (SELECT DISTINCT * FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst),
-    walk(source, artist, hops) AS (SELECT s, s, 0::BIGINT FROM (VALUES {_START}) v(s) UNION SELECT source, dst, hops + 1 FROM walk JOIN both_ways ON src = artist WHERE hops < {HOPS}),
-    hops AS (SELECT source, artist, min(hops) AS hops FROM walk GROUP BY 1, 2)"""
+#: A keyed recursion sees only the rows of the round before, and all rows as ``recurring``; it ends when a round adds none.
+_PROPAGATED = """labelled(artist, community) USING KEY (artist) AS (SELECT artist, community FROM memberships
+    UNION SELECT src, community FROM (SELECT src, community, row_number() OVER (PARTITION BY src ORDER BY w DESC, community DESC) AS k FROM (
+    SELECT src, l.community, round(sum(weight), 9) AS w FROM edges JOIN labelled l ON l.artist = dst WHERE src NOT IN (SELECT artist FROM recurring.labelled) GROUP BY 1, 2)) WHERE k = 1)"""
+_EXPORT = _PROPAGATED.replace("FROM memberships", "FROM memberships WHERE CAST(right(artist, 9) AS INT) % 4 <> 0")
+_BFS = f"""{_DEGREES}, centroids AS (SELECT community, artist FROM (SELECT community, artist, row_number() OVER (PARTITION BY community ORDER BY round(coalesce(degree, 0), 9) DESC, artist) AS place
+    FROM memberships LEFT JOIN degrees USING (artist)) WHERE place = 1),
+    both_ways AS (SELECT DISTINCT * FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst),
+    hops(source, artist, hops) USING KEY (source, artist) AS (SELECT DISTINCT artist, artist, 0::BIGINT FROM centroids UNION SELECT DISTINCT h.source, b.dst, h.hops + 1 FROM hops h JOIN both_ways b ON b.src = h.artist
+    WHERE h.hops < {CUTOFF} AND NOT EXISTS (SELECT 1 FROM recurring.hops r WHERE r.source = h.source AND r.artist = b.dst))"""
 
 SQL = {
     "position_weights": f"{with_views('weighted')} SELECT review_id, artist, pos, round(w, 9) AS w FROM weighted",
@@ -172,9 +206,20 @@ SQL = {
     "cross_community_neighbors": f"""{with_views("edges", "memberships")}, {_PLACED}, x AS (SELECT community, neighbour, sum(weight) AS weight FROM (
         SELECT sc AS community, dc AS neighbour, weight FROM placed WHERE sc <> dc UNION ALL SELECT dc, sc, weight FROM placed WHERE sc <> dc) GROUP BY 1, 2)
         SELECT community, neighbour, place, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY round(weight, 9) DESC, neighbour) AS place FROM x) WHERE place <= 6""",
-    "label_propagation": f"{with_views('edges', 'memberships')}, {_propagated(2)} SELECT artist, community FROM l2",
-    "bfs_distances": f"{with_views('edges')}, {_BFS} SELECT * FROM hops",
+    "label_propagation": f"{with_views('edges', 'memberships')}, {_PROPAGATED} SELECT artist, community FROM labelled",
+    "bfs_distances": f"{with_views('edges', 'memberships')}, {_BFS} SELECT * FROM hops",
     "community_distances": f"{with_views('edges', 'memberships')}, {_BFS} SELECT source, community, min(hops) AS min_hops, round(avg(hops), 6) AS mean_hops FROM hops JOIN memberships USING (artist) GROUP BY 1, 2",
+    "community_distance_matrix": f"{with_views('edges', 'memberships')}, {_BFS} SELECT a.community, b.community AS neighbour, hops FROM centroids a, centroids b LEFT JOIN hops ON source = a.artist AND hops.artist = b.artist",
+    "purity_summary": f"""{with_views("reviews", "metadata", "memberships")}, {_ATTRIBUTES}, j AS (SELECT * FROM memberships JOIN attributes USING (artist)), v AS (SELECT kind, community, value, sum(n) AS n FROM j GROUP BY 1, 2, 3),
+        c AS (SELECT kind, community, max(n) AS top, sum(n) AS n FROM v GROUP BY 1, 2), p AS (SELECT kind, round(sum(top) / sum(n), 6) AS purity FROM c GROUP BY 1) SELECT round(avg(purity), 5) AS combined_purity FROM p""",
+    "community_map": f"""{with_views("edges", "memberships")}, {_PLACED}, x AS (SELECT community, neighbour, sum(weight) AS weight FROM (SELECT sc AS community, dc AS neighbour, weight FROM placed WHERE sc <> dc UNION ALL SELECT dc, sc, weight FROM placed WHERE sc <> dc) GROUP BY 1, 2),
+        t AS (SELECT community, neighbour, row_number() OVER (PARTITION BY community ORDER BY round(weight, 9) DESC, neighbour) AS place FROM x), l AS (SELECT community, string_agg(neighbour, ',' ORDER BY place) AS neighbours FROM t WHERE place <= 6 GROUP BY 1),
+        s AS (SELECT community, count(*) AS size, 2 * pi() * (row_number() OVER (ORDER BY community) - 1) / count(*) OVER () AS a FROM memberships GROUP BY 1), p AS (SELECT community, size, cos(a) AS px, sin(a) AS py FROM s)
+        SELECT community, size, coalesce(neighbours, '') AS neighbours, round(0.08 + 0.84 * (px - min(px) OVER ()) / (max(px) OVER () - min(px) OVER ()), 6) AS x, round(0.08 + 0.84 * (py - min(py) OVER ()) / (max(py) OVER () - min(py) OVER ()), 6) AS y FROM p LEFT JOIN l USING (community)""",
+    "incremental_export": f"""{with_views("edges", "memberships")}, {_EXPORT}, {_DEGREES}, own AS (SELECT * FROM labelled WHERE artist IN (SELECT src FROM edges UNION SELECT dst FROM edges)),
+        r AS (SELECT community, artist, row_number() OVER (PARTITION BY community ORDER BY round(coalesce(degree, 0), 9) DESC, artist) AS place FROM own LEFT JOIN degrees USING (artist))
+        SELECT community, max(artist) FILTER (place = 1) AS centroid, count(*) AS size, string_agg(artist, ',' ORDER BY place) FILTER (place <= 3) AS top_artists FROM r GROUP BY 1""",
+    "graph_document": f"{with_views('edges')} SELECT src, dst, round(weight, 6) AS weight FROM edges",
     "artist_genre_profiles": f"{with_views('metadata')}, {_PROFILES} SELECT artist_key, total_albums, main_genres FROM profiles JOIN (SELECT {_KEY} AS artist_key, count(DISTINCT review_id) AS total_albums FROM metadata GROUP BY 1) USING (artist_key)",
     "impute_same_artist": f"""{with_views("metadata")}, {_PROFILES} SELECT review_id, CASE WHEN len(genres) = 0 AND main_genres IS NOT NULL THEN main_genres ELSE array_to_string(genres, ',') END AS genres,
         len(genres) = 0 AND main_genres IS NOT NULL AS from_artist FROM (SELECT *, {_KEY} AS artist_key FROM metadata) LEFT JOIN profiles USING (artist_key)""",
@@ -188,6 +233,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         position_weights, album_affinities, top_communities, artist_edges, undirected_edges, weighted_degree_centroid, artist_attribute_counts, attribute_purity, cluster_quality, cross_community_neighbors,
-        label_propagation, bfs_distances, community_distances, community_distance_matrix, modular_communities, artist_genre_profiles, impute_same_artist, impute_from_references,
+        label_propagation, bfs_distances, community_distances, community_distance_matrix, modular_communities, purity_summary, community_map, incremental_export, graph_document, artist_genre_profiles, impute_same_artist, impute_from_references,
     )
 }

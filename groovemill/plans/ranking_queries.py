@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groovemill.functions.numbers import best_year, bias_to_weight, fit_display, fit_level, weight_to_bias
 from groovemill.functions.text import excerpt
 from groovemill.operators import affinity, recommend, scoring
+from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
 
 PROFILE = scoring.TasteProfile(weights={"C001": 1.0, "C005": 0.5, "C009": 0.25})
@@ -33,11 +34,13 @@ def style_diversity(spark, sf_dir):
 
 
 def style_fit_percentile(spark, sf_dir):
-    return recommend.corpus_scores(_affinities(Tables(spark, sf_dir)), PROFILE).select("review_id", *_r("fit_pct"))
+    scores = checkpointed(scoring.album_scores(_affinities(Tables(spark, sf_dir)), PROFILE.selected(spark)))
+    return scoring.with_percentile(scores, "style_fit", scoring.percentile_table(scores, "style_fit", "fit_pct")).select("review_id", *_r("fit_pct"))
 
 
 def breadth_percentile(spark, sf_dir):
-    return recommend.corpus_scores(_affinities(Tables(spark, sf_dir)), PROFILE).select("review_id", *_r("breadth_pct"))
+    scores = checkpointed(scoring.album_scores(_affinities(Tables(spark, sf_dir)), PROFILE.selected(spark)))
+    return scoring.with_percentile(scores, "n_eff", scoring.percentile_table(scores, "n_eff", "breadth_pct")).select("review_id", *_r("breadth_pct"))
 
 
 def batch_max_norm(spark, sf_dir):
@@ -52,13 +55,21 @@ def archive_recommendations(spark, sf_dir):
 
 
 def archive_page(spark, sf_dir):
-    top = recommend.page(_archive(Tables(spark, sf_dir)), OFFSET, LIMIT)
-    return top.select("rank", "review_id", "artist", F.round("overall_score", 6).alias("overall_score"), fit_display(F.round("score", 9)).alias("display"), fit_level(F.round("score", 9)).alias("level"))
+    top = recommend.page_with_total(_archive(Tables(spark, sf_dir)), OFFSET, LIMIT)
+    whole = F.round("overall_score", 9)
+    return top.select("rank", "review_id", "artist", F.round("overall_score", 6).alias("overall_score"), fit_display(whole).alias("display"), fit_level(whole).alias("level"), "total")
+
+
+def archive_filtered(spark, sf_dir):
+    """Year bounds in the wrong order, one of them beyond the corpus; rating bounds beyond the scale; a label."""
+    profile = scoring.TasteProfile(weights=PROFILE.weights, rating_range=(99, 4), year_range=(2500, 1996), labels=("1-URGENT",), score_range=(0.9, 0.2))
+    return _archive(Tables(spark, sf_dir), profile).select("review_id", "label", "release_year", *_r("score", "overall_score"))
 
 
 def newest_ranked(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = recommend.scored(recommend.newest(t.reviews(), 200), recommend.corpus_scores(_affinities(t), PROFILE), PROFILE, "left")
+    fresh = checkpointed(recommend.newest(t.reviews(), 200))
+    rows = recommend.scored(fresh, recommend.corpus_scores(_affinities(t), PROFILE, fresh), PROFILE, "left")
     return recommend.page(rows, 0, 200).select("rank", "review_id", "artist", *_r("score", "breadth", "overall_score"))
 
 
@@ -155,9 +166,11 @@ SQL = {
     "batch_max_norm": f"{_ALL}, {_SCORES} SELECT review_id, round(round(CASE WHEN max(best) OVER () > 0 THEN best / max(best) OVER () ELSE 0 END, 9), 6) AS best_norm FROM scores",
     "archive_recommendations": f"""{_ARCHIVE} SELECT review_id, artist, album, hits, label, release_year, round(style_fit, 6) AS style_fit, round(n_eff, 6) AS n_eff, round(score, 6) AS score, round(breadth, 6) AS breadth,
         round(rating_effective, 6) AS rating_effective, round(rating_norm, 6) AS rating_norm, round(overall_score, 6) AS overall_score FROM archive""",
-    "archive_page": f"""{_ARCHIVE} SELECT rank, review_id, artist, round(overall_score, 6) AS overall_score, CAST(CAST(round_even(round(score, 9) * 100, 0) AS INT) AS VARCHAR) || '% Fit' AS display,
-        CASE WHEN round(score, 9) >= 0.75 THEN 'high' WHEN round(score, 9) < 0.35 THEN 'low' ELSE 'medium' END AS level
-        FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM archive) WHERE rank > {OFFSET} AND rank <= {OFFSET + LIMIT}""",
+    "archive_page": f"""{_ARCHIVE} SELECT rank, review_id, artist, round(overall_score, 6) AS overall_score, CAST(CAST(round_even(round(overall_score, 9) * 100, 0) AS INT) AS VARCHAR) || '% Fit' AS display,
+        CASE WHEN round(overall_score, 9) >= 0.75 THEN 'high' WHEN round(overall_score, 9) < 0.35 THEN 'low' ELSE 'medium' END AS level, total
+        FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank, count(*) OVER () AS total FROM archive) WHERE rank > {OFFSET} AND rank <= {OFFSET + LIMIT}""",
+    "archive_filtered": f"""{_ALL}, {_CORPUS}, {_scored("")}, y AS (SELECT max(coalesce(release_year, year(release_date))) AS last FROM reviews) SELECT review_id, label, release_year, round(score, 6) AS score, round(overall_score, 6) AS overall_score
+        FROM scored, y WHERE hits > 0 AND rating_effective >= 4 AND coalesce(release_year, year(release_date)) BETWEEN least(1996, last) AND last AND (label IS NULL OR label = '1-URGENT') AND round(score, 9) BETWEEN 0.2 AND 0.9""",
     "newest_ranked": f"""{_ALL}, {_CORPUS}, fresh AS (SELECT * FROM reviews ORDER BY review_id DESC LIMIT 200), {_scored("LEFT", "fresh")}
         SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, review_id, artist, round(score, 6) AS score, round(breadth, 6) AS breadth, round(overall_score, 6) AS overall_score FROM scored""",
     "newest_pool": f"{with_views('reviews')} SELECT review_id, artist FROM reviews WHERE release_date IN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders ORDER BY d DESC LIMIT 5)",
@@ -179,7 +192,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        style_diversity, style_fit_percentile, breadth_percentile, batch_max_norm, archive_recommendations, archive_page, newest_ranked, newest_pool, community_tags, label_filter, release_year_bounds,
+        style_diversity, style_fit_percentile, breadth_percentile, batch_max_norm, archive_recommendations, archive_page, archive_filtered, newest_ranked, newest_pool, community_tags, label_filter, release_year_bounds,
         score_histogram, score_summary, highlights, weight_mapping, text_repair_excerpt,
     )
 }

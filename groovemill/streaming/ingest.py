@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groovemill.operators.batches import SPAN_SECONDS
+from groovemill.sources.checkpoints import checkpointed
+from groovemill.sources.documents import exists
+from groovemill.sources.jsonl import BATCH, write_jsonl
 
 BATCHES = "key string, run_at timestamp, n long, ids array<bigint>"
 _STATE = "start timestamp, last timestamp, ids array<bigint>"
@@ -42,10 +45,11 @@ def anchored_stream(stream: DataFrame, late: str = "10 minutes", span_seconds: i
             for at, i in sorted((at, i) for frame in frames for at, i in zip(frame["seen_at"], frame["id"], strict=True)):
                 if ids and (at - start).total_seconds() > span_seconds:
                     done.append((key[0], last, len(ids), ids))
-                    ids = []
+                    ids = []  # a new list: the closed one is given out
                 if not ids:
                     start = at
-                ids, last = [*ids, i], at
+                ids.append(i)
+                last = at
             state.update((start, last, ids))
             closes = int(start.timestamp() * 1000) + span_seconds * 1000
             state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
@@ -59,6 +63,21 @@ def write_new_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(stream: DataFrame, time: str, kind: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window and kind."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n"))
+def register_batch(rows: DataFrame, batch_id: int, path: str, key: str) -> None:
+    """Appends the batch's distinct ids to the folder of batches (run_at, review_ids, batch_id) as JSON lines.
+
+    Nothing is written if the batch has no ids, has been registered before (a batch may be delivered twice), or the latest
+    batch has the same ids. A batch's ids are one row, as the registry's readers expect.
+    """
+    spark = rows.sparkSession
+    new = rows.where(F.col(key).isNotNull()).agg(F.array_sort(F.collect_set(key)).alias("review_ids")).where(F.size("review_ids") > 0).select(F.current_timestamp().alias("run_at"), "review_ids", F.lit(batch_id).cast("long").alias("batch_id"))
+    if exists(spark, path):
+        stored = spark.read.schema(f"{BATCH}, batch_id long").json(path)
+        latest = stored.orderBy(F.col("run_at").desc(), F.col("batch_id").desc()).limit(1).select(F.array_sort("review_ids").alias("review_ids"))
+        new = new.join(stored.select("batch_id"), "batch_id", "left_anti").join(latest, "review_ids", "left_anti").select("run_at", "review_ids", "batch_id")
+    write_jsonl(checkpointed(new).where("batch_id >= 0"), path, append=True)
+
+
+def register_batches(stream: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Registers each micro-batch of the stream once."""
+    return stream.writeStream.foreachBatch(lambda rows, batch_id: register_batch(rows, batch_id, path, key)).option("checkpointLocation", checkpoint).start()

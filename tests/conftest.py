@@ -19,8 +19,8 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     folder = tmp_path_factory.mktemp("spark")
-    SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", str(folder / "warehouse")).config("spark.checkpoint.dir", str(folder / "shared"))
-    session = build_session("tests", "local[8]", 8)
+    SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.codegen.wholeStage", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", str(folder / "warehouse")).config("spark.checkpoint.dir", str(folder / "shared"))
+    session = build_session("tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 from groovemill.operators import graph
-from groovemill.plans import graph_queries
+from groovemill.plans import album_queries, graph_queries
 from groovemill.sources.domain import Tables
 
 
@@ -42,3 +43,37 @@ def test_community_matrix_beyond_three_hops(spark):
     centroids = spark.createDataFrame([("A", "a00"), ("B", "a05"), ("C", "a12")], "community string, artist string")
     got = graph.community_matrix(graph.hop_distances(edges, centroids.select("artist")), centroids).collect()
     assert {(r["community"], r["neighbour"]): r["hops"] for r in got} == {(c, d): abs(i - j) if abs(i - j) <= 10 else None for c, i in zip("ABC", (0, 5, 12)) for d, j in zip("ABC", (0, 5, 12))}
+
+
+def _modularity(edges, label):
+    total, inside, volume = sum(edges.values()), 0.0, defaultdict(float)
+    for (a, b), w in edges.items():
+        inside += w if label[a] == label[b] else 0
+        volume[label[a]] += w
+        volume[label[b]] += w
+    return inside / total - sum(v * v for v in volume.values()) / (2 * total) ** 2
+
+
+def test_modular_communities_have_all_artists(spark):
+    rows = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", 0.5), ("z", "z", 3.0)]
+    weights = {(a, b): w for a, b, w in rows}
+    got = {r["artist"]: r["community"] for r in graph.move_to_modular(spark.createDataFrame(rows, "src string, dst string, weight double")).collect()}
+    assert set(got) == {x for pair in weights for x in pair} and list(got.values()).count(got["z"]) == 1
+    assert _modularity(weights, got) > _modularity(weights, {x: x for x in got})
+    sizes = [list(got.values()).count(c) for c in sorted(set(got.values()))]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_label_in_each_step_of_the_way(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0), ("a", "d", 0.5), ("e", "a", 1.0), ("x", "x", 1.0)], "src string, dst string, weight double")
+    labels = spark.createDataFrame([("b", "C1"), ("c", "C2"), ("d", "C1")], "artist string, community string")
+    assert {tuple(r) for r in graph.propagate_labels(edges, labels).collect()} == {("b", "C1"), ("c", "C2"), ("d", "C1"), ("a", "C1"), ("e", "C1")}
+
+
+def test_page_headings(spark, sf_dir):
+    pages_ = Tables(spark, sf_dir).read("pages").select("page_id", "html").collect()
+    got = {r["page_id"]: r for r in album_queries.html_pages(spark, sf_dir).collect()}
+    assert len(got) == len(pages_)
+    for r in pages_:
+        html = re.sub("(?s)<!--.*?-->|<(script|style).*?</\\1>", "", r["html"] or "", flags=re.I)
+        assert got[r["page_id"]]["n_paragraphs"] == len(re.findall(r"(?i)<p[\s>/]", html)) and got[r["page_id"]]["n_links"] == len(re.findall(r"(?i)<a[\s>/]", html))
