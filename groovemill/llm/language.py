@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import checkpointed
 from .text import Memo, slices, sums, text_bytes, words
 
 ORDER = 4
 #: Training documents per language are at most about this many, chosen by a hash of their ids.
 SAMPLE = 2000
+#: The most grams that all languages together may have on the driver and in the broadcast models.
+MOST_GRAMS = 5_000_000
 START, END = "\x02", "\x03"
 #: Cross-entropies' spread among training documents is measured in this share of them, which no model learns from.
 CALIBRATION = 5
@@ -196,6 +199,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = sample.where(~held).select("lang", "text").mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)
+    if counted.count() > MOST_GRAMS:
+        raise ValueError(f"the languages' samples have more than {MOST_GRAMS} grams; take fewer documents of each")
     by_language: defaultdict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in counted.toPandas().itertuples(index=False):
         by_language[lang][gram] = n
@@ -245,15 +251,16 @@ def _calibrated(learnt: Identifier, own: np.ndarray, entropy: np.ndarray, chars:
 
 
 def identify(docs: DataFrame, learnt: Identifier) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected for each whole ``text``; ``docs`` must not have columns so named.
+    """``docs`` with lang_pred, score and rejected for each whole ``text``, instead of columns so named if there are any.
 
     lang_pred is a language that was learnt, or ``und`` (score 0, rejected) if the text is null or has no letter or no
     language was learnt. Equal entropies go to the language that sorts first. ``rejected`` also marks texts that cost
     more than the language's own documents do, by the bound set in calibration.
     """
+    docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # of at most MOST_GRAMS grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, memo = [*shared.value.languages, UNKNOWN], shared.value.memo()

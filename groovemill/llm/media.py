@@ -49,6 +49,24 @@ def encode_png(samples: np.ndarray) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
+def _along_diagonals(kind: int, some: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Samples of a run of average or Paeth rows below ``above``. A sample depends on those left, above and above left, so all on a diagonal are undone at once."""
+    height, width = some.shape
+    out = np.zeros((height + 1, width + 1), np.int16)  # a column of zeros before the first
+    out[0, 1:] = above
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        if kind == AVERAGE:
+            guess = (left + up) >> 1
+        else:
+            a, b, c = (np.abs(left + up - corner - v) for v in (left, up, corner))
+            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        out[y + 1, x + 1] = (some[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def _unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Samples of filtered rows; runs of rows of one filter are undone together where the filter allows it."""
     height, width = rows.shape
@@ -63,18 +81,7 @@ def _unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
         elif kind == UP:
             out[a + 1 : b + 1] = np.cumsum(some, axis=0, dtype=np.uint8) + out[a]
         elif kind in (AVERAGE, PAETH):
-            for y in range(a, b):
-                above, line = out[y].astype(int).tolist(), []
-                before = corner = 0
-                for value, over in zip(some[y - a].tolist(), above, strict=True):
-                    if kind == AVERAGE:
-                        guess = (before + over) // 2
-                    else:
-                        estimate = before + over - corner
-                        guess = min((abs(estimate - before), 0, before), (abs(estimate - over), 1, over), (abs(estimate - corner), 2, corner))[2]
-                    before, corner = (value + guess) & 255, over
-                    line.append(before)
-                out[y + 1] = line
+            out[a + 1 : b + 1] = _along_diagonals(int(kind), some, out[a])
         else:
             raise ValueError(f"unknown filter {kind}")
     return out[1:]

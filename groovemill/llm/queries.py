@@ -18,44 +18,54 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of each document. A null or empty text has no words, no places and score 0; rows that repeat stay; no rows give no rows."""
     return license_scan.summarise(license_scan.scan(_documents(spark, sf_dir)))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes that they decode to. A null or empty text has no ids; rows that repeat stay; no rows give no rows."""
     return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document. A null or empty text has zero counts and fails; rows that repeat stay; no rows give no rows."""
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document. A null text or one without letters is ``und`` with score 0; equal costs go to the language that sorts first; a null doc_id is held out; rows that repeat stay; no rows give no rows."""
     return language.predict_languages(_documents(spark, sf_dir))
 
 
 def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document. A null or empty text has just its end; a null doc_id is held out; rows that repeat stay and count as often; no rows give no rows."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return ppm.score(_documents(spark, sf_dir), fold != 1)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each length in tokens that occurs, read as a context limit. A null or empty text has length 0; rows that repeat count as often; no rows give no rows."""
     lengths = token_counts.encoded_lengths(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return token_counts.length_histogram(lengths)
 
 
 def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Texts without words have fingerprint 0 and are one component; a null doc_id names no component; rows that repeat stay; no rows give no rows."""
     return near_dup.near_duplicates(_documents(spark, sf_dir))
 
 
 def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's PNG file and of what is read back. A null or empty text has 64 zero bytes; equal texts have equal files; rows that repeat stay; no rows give no rows."""
     return media.digests(media.read_media(media.store_media(_documents(spark, sf_dir))))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies in the files of ids, read back from them. A null or empty text has just the end id; a null doc_id stands first; rows of one doc_id go by their texts; no rows give no rows."""
     return token_files.write_and_read(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document. A null or empty text is one piece of the end id; rows that repeat are packed as often; equal lengths go by task and place; no rows give no rows."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 

@@ -21,14 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as a Parquet table and read again: later uses read the table, also after an executor is lost."""
+    """The rows of ``df``, written once as a Parquet table and read again: later uses read the table, also after an executor is lost.
+
+    Tables stay until ``clear_stored``.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Removes all tables that this application has stored, once nothing that was made of them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, which Spark removes when nothing refers to it any more."""
     shared_folder(df.sparkSession)
