@@ -1,12 +1,12 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, exact at the bound of ALIKE.
-
-Sets that are alike share one of their first shingles, in whatever order all sets have (prefix filter), so each is dealt
-out under those only. The order puts first what a sample shows to be rare; the sample decides the work, never the result.
-Within a shingle's group pairs are left out by bounds that no alike pair breaks: their sizes, and the bits in which the
-parities of their hashed shingles differ. Those left are compared shingle by shingle.
-
-In a round each group either reports all its pairs of different components or, if those are many, the closest to each of
-its members; what is alike is then one component, of which no pair is reported again. The last round reports all.
+"""Operator 7 with an exact check: near copies by the Jaccard similarity of their five-word shingles.
+
+Fingerprints (SimHash) of texts that are alike differ in up to a third of their bits, too many to find them among all
+fingerprints. So shards are made first: sets that are alike share one of their first shingles, in whatever order all sets
+have (prefix filter), and each is dealt out under those only. The order puts first what a sample shows to be rare; the
+sample decides the work, never the result. Of shards with the same members one is kept. In each shard a BK-tree of
+fingerprints gives the pairs within RADIUS, of which the sizes and parities of their sets leave few in that aren't alike.
+What these connect goes, once for each set, to one place with its shingles, where the trees are searched again and
+shingles are compared of pairs that aren't connected yet. Tasks report spanning forests of links, not pairs.
 """
 
 from __future__ import annotations
@@ -16,22 +16,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .near_dup import SEED, components
-from .scratch import checkpointed
+from .near_dup import SEED, Trees, components, in_cells, majority, whole_groups
+from .scratch import checkpointed, stored
 from .text import slices, text_bytes
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 ALIKE = (4, 5)
-#: 64-bit words of a set's parities.
-WORDS = 16
+#: Bits in which fingerprints of sets that are alike differ at most. They differ in each bit with a chance of about
+#: acos(8 / 9) / pi, so in 9.7 of 64 with a deviation of 2.9 at the least similarity; 24 leaves out one in some 100,000.
+RADIUS = 24
+#: Sets of fewer shingles, whose bits are no averages, are compared without a radius.
+SMALL = 24
 #: Documents about which the sample has, and most shingles that it names.
 SAMPLE, FREQUENT = 4000, 100_000
-#: A group of more pairs than this for each member reports the closest ones only, in at most ROUNDS rounds.
-MANY, ROUNDS = 4, 5
+#: Rows from which on a shard is cut into cells, rows that a task works on at once, and searches between two looks at what is connected.
+HOT, AT_ONCE, SEARCHES = 1 << 12, 1 << 12, 1 << 9
+#: Bits of a set's parities.
+PARITIES = 1024
+#: Bits of the map that says which documents' sets are worth making again.
+MAP_BITS = 1 << 24
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -42,168 +49,210 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
 
 
-def _parities(hashes: np.ndarray) -> bytes:
-    bits = np.bincount((hashes.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """The bit of the map for each doc_id."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - (MAP_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def _made(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """doc_id, sets, their hashes and their sizes, slice by slice."""
+    for batch in slices(batches):
+        data, ends = text_bytes(batch.column(1))
+        sets = [_shingles(data[a:b].tobytes(), shingle) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield batch.column(0), sets, np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64), np.array([len(s) for s in sets], np.int64)
+
+
+def _sims(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    out, full = np.zeros(len(sets), np.int64), np.flatnonzero(n)
+    for at in range(0, len(full), 64):  # some sets' bits at once
+        some = full[at : at + 64]
+        out[some] = majority(np.concatenate([sets[i] for i in some]), n[some])
+    return out
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (hash of the set), n, parities and hashes of each row's shingles."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: np.ndarray | None = None) -> DataFrame:
+    """fp (hash of the set) and hashes of each row's shingles, or n and sim (SimHash; 0 without shingles) as well.
+
+    only: a map of MAP_BITS bits; rows whose bit isn't set are left out.
+    """
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)  # MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, ends = text_bytes(batch.column(1))
-            sets = [_shingles(data[a:b].tobytes(), shingle) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parities(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "parities", "hashes"])
+        if shared is not None:
+            wanted = np.unpackbits(shared.value).astype(bool)
+            batches = (b.filter(pa.array(wanted[_spread(b.column(0).to_numpy())])) for b in batches)
+        for _, sets, fps, n in _made(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n), pa.array(_sims(sets, n)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "n", "sim", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, parities binary, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "fp long, n long, sim long, hashes array<long>")
 
 
-def _frequent(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that are in several documents of a sample, ascending, and how often."""
-    share = F.lit(min(1.0, SAMPLE / max(1, rows)) * (1 << 30))
+    share = F.lit(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30))
     some = docs.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < share)
     counted = shingle_sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     return counted.sort_values("h").to_numpy(np.int64).reshape(-1, 2)
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """key, fp: the rarest shingles of each set, of which sets that are alike share one."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT rows
+def prints_and_prefixes(docs: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (hash of the set), n, sim (its SimHash), parities and prefix of each row.
+
+    prefix: the rarest shingles of the set, of which sets that are alike share one; none where the task has had the set before.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT rows
     a, b = ALIKE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, times = shared.value.T
         seen: set[int] = set()
-        for batch in batches:
-            keys, fps = [], []
-            for fp, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if fp in seen:
-                    continue
-                seen.add(fp)
-                h = hashes.values.to_numpy()
-                if not len(h):
-                    continue
-                often = np.zeros(len(h), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    often = np.where(names[at] == h, times[at], 0)
-                first = h[np.lexsort((h, often))[: len(h) - -(-a * len(h) // b) + 1]]
-                keys.append(first)
-                fps.append(np.full(len(first), fp))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps))], names=["key", "fp"])
-
-    return sets.select("fp", "hashes").mapInArrow(run, "key long, fp long")
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """The distinct rows whose key more than one set has."""
+        nothing = np.zeros(0, np.int64)
+
+        def prefix(fp: int, h: np.ndarray) -> np.ndarray:
+            if fp in seen or not len(h):
+                return nothing
+            seen.add(fp)
+            often = np.zeros(len(h), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                often = np.where(names[at] == h, times[at], 0)
+            return h[np.lexsort((h, often))[: len(h) - -(-a * len(h) // b) + 1]]
+
+        for ids, sets, fps, n in _made(batches, shingle):
+            prefixes = [prefix(fp, h) for fp, h in zip(fps.tolist(), sets, strict=True)]
+            odd = pa.array([x.tobytes() for x in _parities(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps), pa.array(n), pa.array(_sims(sets, n)), odd, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "sim", "parities", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, sim long, parities binary, prefix array<long>")
+
+
+def shards(prefixes: DataFrame) -> DataFrame:
+    """Distinct rows (key, fp) of the keys that more than one set has; of keys with the same sets, as two hashes of their members tell, the least one."""
+    own = Window.partitionBy("key")
+    members = [F.bit_xor(F.xxhash64("fp", F.lit(i))).over(own).alias(f"members_{i}") for i in range(2)]
+    marked = prefixes.repartition("key").distinct().select("key", "fp", F.count("*").over(own).alias("size"), *members)
+    several = stored(marked.where("size > 1"), "shared")
+    least = several.groupBy("size", "members_0", "members_1").agg(F.min("key").alias("key")).select("key")
+    return several.select("key", "fp").join(least, "key", "left_semi")
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the parities of its hashes' counts modulo PARITIES, as 64-bit words."""
+    out = np.zeros((len(sets), PARITIES // 64), np.uint64)
+    for i, s in enumerate(sets):
+        odd = np.bincount((s.view(np.uint64) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+        out[i] = np.packbits(odd.astype(bool)).view(np.uint64)
+    return out
+
+
+def shard_links(group: np.ndarray, side: np.ndarray, sim: np.ndarray, n: np.ndarray, parities: np.ndarray, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Pairs of rows that connect all rows of a shard whose sets are alike; without ``sets`` all that may be by their sizes (n) and parities.
+
+    group: numbers from 0, ascending, and in them side; rows of side 1 search the tree of those of side 0, which search
+    each other if there are no others.
+    """
+    a, b = ALIKE
+    links: list[tuple[int, int]] = []
+    above = list(range(len(sim)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    two = np.zeros(int(group[-1]) + 1, bool)
+    two[group[side == 1]] = True
+    planted, wanted = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | ~two[group])
+    trees, tree_of = Trees(group[planted], sim[planted]), np.full(len(two), -1)
+    if len(planted):
+        tree_of[group[planted]] = trees.root
+    wanted = wanted[tree_of[group[wanted]] >= 0]
+    wide = n <= SMALL * b // a  # whatever may be alike to a small set
+    label = np.arange(len(sim))
+    for radius, queries in ((RADIUS, wanted[~wide[wanted]]), (64, wanted[wide[wanted]])):
+        for at in range(0, len(queries), SEARCHES):
+            own = queries[at : at + SEARCHES]
+            low, high = trees.bounds(label[planted])
+            apart = lambda q, node: (low[node] != high[node]) | (low[node] != label[own[q]])  # noqa: B023, E731
+            for q, node, _ in trees.search(sim[own], tree_of[group[own]], radius, apart):
+                i, j = own[q], planted[node]
+                may = (label[i] != label[j]) & (b * np.minimum(n[i], n[j]) >= a * np.maximum(n[i], n[j])) & (two[group[i]] | (j < i))  # else each pair is found from both ends
+                i, j = i[may], j[may]
+                both = n[i] + n[j]
+                may = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=1, dtype=np.int64) <= both - 2 * -(-a * both // (a + b))
+                before = len(links)
+                for x, y in zip(i[may].tolist(), j[may].tolist(), strict=True):
+                    p, r = top(x), top(y)
+                    if p == r:
+                        continue
+                    if sets is not None:
+                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if b * common < a * (len(sets[x]) + len(sets[y]) - common):
+                            continue
+                    above[max(p, r)] = min(p, r)
+                    links.append((x, y))
+                if len(links) > before:
+                    label = np.array([top(k) for k in range(len(above))])
+    return links
+
+
+def _linked(rows: DataFrame, light: DataFrame, whole: bool) -> DataFrame:
+    """a > b: enough links of sets to connect all that are alike (``whole``, from their hashes) or may be (from n and parities).
+
+    rows: key, fp, sim and those columns; light: its key and fp.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        key, fp = (pa.Table.from_batches(got).column(i).to_numpy() for i in range(2))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
-        key, fp = key[new], fp[new]
-        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        keep = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(fp[keep])], names=["key", "fp"])
+        for table in whole_groups(batches, ("key", "low", "high"), AT_ONCE):
+            fp, sim, side, group = (table.column(c).to_numpy() for c in ("fp", "sim", "side", "group"))
+            if whole:
+                sets = [x.values.to_numpy() for x in table.column("hashes").combine_chunks()]
+                n, odd = np.array([len(x) for x in sets], np.int64), _parities(sets)
+            else:
+                sets, n = None, table.column("n").to_numpy()
+                odd = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            links = np.array(shard_links(group, side, sim, n, odd, sets), np.int64).reshape(-1, 2)
+            one, other = fp[links[:, 0]], fp[links[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], names=["a", "b"])
 
-    return prefixes.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long")
+    return in_cells(rows, ["key"], HOT, light).mapInArrow(run, "a long, b long")
 
 
-def group_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, parities: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows i and j of one key (ascending) and different labels that may be alike, and whether their key has further pairs that aren't given.
-
-    A key of more than ``most`` pairs for each row gives the closest to each of its rows only.
-    """
-    a, b = ALIKE
-    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-    size, count = np.bincount(group), np.zeros(group[-1] + 1, np.int64)
-    best, partner, kept = np.full(len(key), np.inf), np.full(len(key), -1), []
-    i, d = np.arange(len(key)), 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[group[i] == group[i + d]]
-        j = i + d
-        at = np.flatnonzero((label[i] != label[j]) & (b * np.minimum(n[i], n[j]) >= a * np.maximum(n[i], n[j])))
-        x, y = i[at], j[at]
-        both = n[x] + n[y]
-        apart = np.bitwise_count(parities[x] ^ parities[y]).sum(axis=1, dtype=np.int64)
-        may = apart <= both - 2 * -(-a * both // (a + b))
-        x, y, far = x[may], y[may], apart[may] / both[may]
-        if most is None:
-            if len(x):
-                yield x, y, np.zeros(len(x), bool)
-            continue
-        count += np.bincount(group[x], minlength=len(count))
-        for one, other in ((x, y), (y, x)):  # each row is at most once in x, and in y
-            closer = far < best[one]
-            best[one[closer]], partner[one[closer]] = far[closer], other[closer]
-        few = (count <= most * size)[group[x]]
-        kept.append((x[few], y[few]))
-    if most is not None:
-        x, y = (np.concatenate([k[s] for k in kept]) for s in range(2)) if kept else (np.zeros(0, np.int64),) * 2
-        few = (count <= most * size)[group[x]]
-        one = np.flatnonzero((partner >= 0) & (count > most * size)[group])
-        yield np.concatenate([x[few], one]), np.concatenate([y[few], partner[one]]), np.concatenate([np.zeros(few.sum(), bool), np.ones(len(one), bool)])
-
-
-def _pairs(rows: DataFrame, most: int | None) -> DataFrame:
-    """a > b: sets that may be alike, and their key if it has further pairs."""
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """The map of the doc_ids; of MAP_BITS bits, however many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        key, fp, label, n = (table.column(i).to_numpy() for i in range(4))
-        parities = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(-1, WORDS)
-        for i, j, more in group_pairs(key, label, n, parities, most):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[i], fp[j])), pa.array(np.minimum(fp[i], fp[j])), pa.array(key[i], mask=~more)], names=["a", "b", "open_key"])
-
-    dealt = rows.select("key", "fp", "label", "n", "parities").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a long, b long, open_key long")
-
+        bits = np.zeros(MAP_BITS, bool)
+        for batch in batches:
+            bits[_spread(batch.column(0).to_numpy())] = True
+        words = np.packbits(bits).view(np.int64)
+        place = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(words[place])], names=["place", "word"])
 
-def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose sets are alike; the sets of their documents are made again, since those of all would take more room than the texts."""
-    a, b = ALIKE
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = prints.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    own = checkpointed(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle).select("fp", "n", "hashes").dropDuplicates(["fp"]))
-    end = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"hashes_{x}"))
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    return pairs.join(end("a"), "a").join(end("b"), "b").where(F.lit(b) * common >= F.lit(a) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    for batch in ids.select("doc_id").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out.view(np.uint8)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id (smallest doc_id of the connected documents) of each row with a doc_id.
 
     Documents are connected whose sets of shingles have a Jaccard similarity of 4/5 or more, also through others; texts
-    without words are alike.
+    without words are alike. Sets are made twice, for their prefixes and for the check, as those of all would take more
+    room than the texts. A map of fixed size says which documents may be alike to others, so that texts aren't shuffled; what it
+    lets pass beyond them is dropped by the join.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    known = checkpointed(shingle_sets(docs, shingle).select("doc_id", "fp", "n", "parities"))
-    groups = checkpointed(_shared(_prefixes(shingle_sets(docs, shingle), _frequent(docs, known.count(), shingle))))
-    marks = known.select("fp", "n", "parities").join(groups.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-    rows = checkpointed(groups.join(marks, "fp"))
-    edges, labels = None, None
-    for i in range(ROUNDS):
-        placed = rows.withColumn("label", F.col("fp")) if labels is None else rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        found = checkpointed(_pairs(placed, MANY if i < ROUNDS - 1 else None))
-        fresh = _alike(checkpointed(found.select("a", "b").distinct()), docs, known, shingle)
-        edges = checkpointed(fresh if edges is None else edges.union(fresh).distinct())
-        labels = checkpointed(components(edges).select(F.col("id").alias("fp"), F.col("component").alias("label")))
-        open_ = found.where("open_key IS NOT NULL").select(F.col("open_key").alias("key")).distinct()
-        if open_.isEmpty():
-            break
-        rows = checkpointed(rows.join(open_, "key", "left_semi"))
+    known = stored(prints_and_prefixes(docs, _frequent(docs, shingle), shingle), "prints")
+    dealt = stored(shards(known.select(F.explode("prefix").alias("key"), "fp")), "shards")
+    marks = known.select("fp", "n", "sim", "parities").dropDuplicates(["fp"])
+    near = checkpointed(components(_linked(dealt.join(marks, "fp"), dealt, False)).select(F.col("id").alias("fp"), F.col("component").alias("key")))
+    used = known.select("doc_id", "fp").join(near, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    own = shingle_sets(docs, shingle, _map_of(used)).select("fp", "sim", "hashes").join(near, "fp").dropDuplicates(["fp"])
+    labels = components(_linked(own, near, True)).select(F.col("id").alias("fp"), F.col("component").alias("label"))
     prints = known.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label"))
     return prints.join(prints.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
 

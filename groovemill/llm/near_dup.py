@@ -6,7 +6,7 @@ keys share a tree. A tree's children are keyed by their distance to the parent,
 within the radius. The trees of a task are built and searched together, level by level, in numpy arrays.
 
 The trees aren't broadcast: they would grow with the input. Each is built where its searches are, by the shuffle that
-deals out the keys. A task reports a spanning forest of its links, not the pairs, and branches whose nodes are linked
+deals out the keys; a key that many fingerprints have is cut into cells, and tasks hold a few keys at once. A task reports a spanning forest of its links, not the pairs, and branches whose nodes are linked
 to the searching one already are left out; so large groups of near copies don't cost their square in links.
 
 Components are the fixpoint of alternating star contractions over the forest's edges.
@@ -15,7 +15,7 @@ Components are the fixpoint of alternating star contractions over the forest's e
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import checkpointed
-from .text import slices, sums, text_bytes
+from .text import slices, text_bytes
 
 RADIUS = 4
 SHINGLE = 4
@@ -35,6 +35,15 @@ TREE = 64
 SEARCHES = 1 << 15
 #: Shingle hashes that are unpacked to bits at once.
 HASHES = 1 << 17
+#: Rows of a key from which on it is cut into blocks, in how many rows one is counted, and rows that a task works on at once.
+HOT, SHARE, AT_ONCE = 1 << 15, 64, 1 << 16
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints (signed longs) of runs of hashes, each of at least one: a bit is 1 if set in over half of them."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > counts[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def _fingerprints(data: np.ndarray, ends: np.ndarray, shingle: int) -> np.ndarray:
@@ -42,13 +51,9 @@ def _fingerprints(data: np.ndarray, ends: np.ndarray, shingle: int) -> np.ndarra
     out, hashes, counts, rows = np.zeros(len(ends) - 1, np.int64), [], [], []
 
     def flush() -> None:
-        if not counts:
-            return
-        bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        n = np.array(counts)
-        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
-        out[rows] = np.packbits(2 * ones > n[:, None], axis=1).view(">i8").ravel()
-        hashes.clear(), counts.clear(), rows.clear()
+        if counts:
+            out[rows] = majority(np.array(hashes, np.uint64), np.array(counts))
+            hashes.clear(), counts.clear(), rows.clear()
 
     digest = xxhash.xxh64_intdigest
     for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
@@ -104,53 +109,73 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _roots(label)
 
 
-def link_trees(group: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:
-    """For each entry the smallest entry that it is connected with by links within its group.
+class Trees:
+    """BK-trees of values, one for each group (numbers from 0, ascending), built level by level.
 
-    group: numbers from 0, ascending. Builds a BK-tree for each group, then searches it with its own values.
+    A node's children are keyed by their distance to it; equal keys go down together until one of them is a node.
     """
-    n = len(value)
-    label = np.arange(n)
-    if not n:
-        return label
-    parent, edge, depth = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    first = np.concatenate([[True], group[1:] != group[:-1]])
-    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # the node that an entry goes down from
-    root, rest, level = head.copy(), np.flatnonzero(~first), 0
-    while len(rest):
-        level += 1
-        d = _distance(value[rest], value[head[rest]])
-        key = head[rest] * 65 + d
-        _, firsts, where = np.unique(key, return_index=True, return_inverse=True)
-        chosen = rest[firsts]
-        parent[chosen], edge[chosen], depth[chosen] = head[chosen], d[firsts], level
-        label = _unite(label, chosen[d[firsts] <= radius], head[chosen][d[firsts] <= radius])
-        head[rest] = chosen[where]
-        rest = rest[head[rest] != rest]
-    order = np.lexsort((edge, parent))
-    order = order[parent[order] >= 0]
-    below = np.bincount(parent[order], minlength=n)
-    begin = np.cumsum(below) - below
-    by_depth = [np.flatnonzero(depth == k) for k in range(level, 0, -1)]
-    grouped = np.flatnonzero(below[root] > 0)
-    for at in range(0, len(grouped), SEARCHES):
-        query = grouped[at : at + SEARCHES]
+
+    def __init__(self, group: np.ndarray, value: np.ndarray):
+        n = len(value)
+        self.value, self.parent, self.edge = value, np.full(n, -1), np.zeros(n, np.int64)
+        first = np.concatenate([np.ones(min(n, 1), bool), group[1:] != group[:-1]])
+        head = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # the node that an entry goes down from
+        self.root, rest, self.levels = head.copy(), np.flatnonzero(~first), []
+        while len(rest):
+            d = _distance(value[rest], value[head[rest]])
+            _, firsts, where = np.unique(head[rest] * 65 + d, return_index=True, return_inverse=True)
+            chosen = rest[firsts]
+            self.parent[chosen], self.edge[chosen] = head[chosen], d[firsts]
+            self.levels.append(chosen)
+            head[rest] = chosen[where]
+            rest = rest[head[rest] != rest]
+        order = np.lexsort((self.edge, self.parent))
+        self.children = order[self.parent[order] >= 0]
+        self.below = np.bincount(self.parent[self.children], minlength=n)
+        self.begin = np.cumsum(self.below) - self.below
+
+    def bounds(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest label in the branch from each node on."""
         low, high = label.copy(), label.copy()
-        for nodes in by_depth:  # labels in the branch below each node
-            np.minimum.at(low, parent[nodes], low[nodes])
-            np.maximum.at(high, parent[nodes], high[nodes])
-        node = root[query]
+        for nodes in reversed(self.levels):
+            np.minimum.at(low, self.parent[nodes], low[nodes])
+            np.maximum.at(high, self.parent[nodes], high[nodes])
+        return low, high
+
+    def search(self, wanted: np.ndarray, root: np.ndarray, radius: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of wanted values, nodes and their distance of at most ``radius``, level by level.
+
+        Follows only the edges within the radius, and of those the ones that ``keep`` lets pass (numbers, nodes).
+        """
+        query, node = np.arange(len(wanted)), root
         while len(query):
-            keep = (low[node] != high[node]) | (low[node] != label[query])  # else linked with the whole branch
-            query, node = query[keep], node[keep]
-            d = _distance(value[query], value[node])
+            kept = keep(query, node)
+            query, node = query[kept], node[kept]
+            d = _distance(wanted[query], self.value[node])
             near = d <= radius
-            label = _unite(label, query[near], node[near])
-            count = below[node]
-            query, d, at_child = np.repeat(query, count), np.repeat(d, count), np.repeat(begin[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            child = order[at_child]
-            follow = np.abs(edge[child] - d) <= radius
+            yield query[near], node[near], d[near]
+            count = self.below[node]
+            at = np.repeat(self.begin[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            query, d, child = np.repeat(query, count), np.repeat(d, count), self.children[at]
+            follow = np.abs(self.edge[child] - d) <= radius
             query, node = query[follow], child[follow]
+
+
+def link_trees(group: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:
+    """For each entry the smallest entry that it is connected with by links within its group.
+
+    group: numbers from 0, ascending. Builds a BK-tree for each group, then searches it with its own values.
+    """
+    trees, label = Trees(group, value), np.arange(len(value))
+    tied = np.flatnonzero((trees.parent >= 0) & (trees.edge <= radius))
+    label = _unite(label, tied, trees.parent[tied])
+    grouped = np.flatnonzero(trees.below[trees.root] > 0) if len(value) else label
+    for at in range(0, len(grouped), SEARCHES):
+        own = grouped[at : at + SEARCHES]
+        low, high = trees.bounds(label)
+        apart = lambda q, node: (low[node] != high[node]) | (low[node] != label[own[q]])  # noqa: B023, E731 - else linked with the whole branch
+        for q, node, _ in trees.search(value[own], trees.root[own], radius, apart):
+            label = _unite(label, own[q], node)
     return label
 
 
@@ -162,6 +187,52 @@ def _parts(n: int, radius: int) -> int:
     return parts
 
 
+def in_cells(rows: DataFrame, keys: list[str], hot_rows: int | None = None, light: DataFrame | None = None) -> DataFrame:
+    """``rows`` (keys, fp) dealt out by their keys and a cell (low, high), sorted by them and by side and fp.
+
+    A key of more than about ``hot_rows`` (else HOT) rows is cut into blocks by a hash of fp, and a cell has the rows of two blocks (of one,
+    where low = high): each two rows of a key meet in a cell, and no task gets all of a key. side is 1 for rows of the
+    higher block. How many rows a key has is estimated from one in SHARE; it decides the blocks, never the result. light: the same keys and fp, where they cost less than ``rows``.
+    """
+    most = hot_rows or HOT
+    counted = (rows if light is None else light).where(F.pmod(F.xxhash64("fp", F.lit("share")), F.lit(SHARE)) == 0).groupBy(*keys).agg((F.count("*") * SHARE).alias("n_key"))
+    hot = checkpointed(counted.where(F.col("n_key") > most).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.ceil(F.col("n_key") / most).alias("blocks")))
+    if hot.isEmpty():
+        cells = rows.select("*", *(F.lit(0).cast("long").alias(c) for c in ("low", "high")), F.lit(0).alias("side"))
+    else:
+        marked = rows.join(hot, [F.col(k) == F.col(f"of_{k}") for k in keys], "left").select(*rows.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        marked = marked.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")))
+        cell = lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high"), (F.col("own") > b).cast("int").alias("side"))
+        cells = marked.select(*rows.columns, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell)).alias("cell")).select(*rows.columns, "cell.*")
+    return cells.repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high", "side", "fp")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], at_once: int | None = None) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups of equal keys, with ``group`` (numbers from 0): as many groups as have ``at_once`` (else AT_ONCE) rows, about."""
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < (at_once or AT_ONCE):
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        group = numbered(table)
+        end = table.num_rows if batch is None else int(np.searchsorted(group, group[-1]))
+        if end:
+            yield table.slice(0, end).append_column("group", pa.array(group[:end]))
+        held = table.slice(end).to_batches()
+
+
 def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b), a > b, between ids of ``prints`` (id, fp; distinct fingerprints, about n) that connect all that differ in at most ``radius`` bits."""
     parts = _parts(n, radius)
@@ -171,21 +242,17 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keyed = prints.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("choice", "key"))
-    dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+    dealt = in_cells(keyed, ["choice", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        ids, fps, choice, key = (table.column(i).to_numpy() for i in range(4))
-        fresh = np.concatenate([[False], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
-        label = link_trees(np.cumsum(fresh), fps, radius)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        distinct, where = np.unique(ids, return_inverse=True)
-        forest = _unite(np.arange(len(distinct)), where[linked], where[label[linked]])
-        tied = np.flatnonzero(forest != np.arange(len(forest)))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[tied]), pa.array(distinct[forest[tied]])], names=["a", "b"])
+        for table in whole_groups(batches, ("choice", "key", "low", "high")):
+            ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy()
+            label = link_trees(table.column("group").to_numpy(), fps, radius)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            distinct, where = np.unique(ids, return_inverse=True)
+            forest = _unite(np.arange(len(distinct)), where[linked], where[label[linked]])
+            tied = np.flatnonzero(forest != np.arange(len(forest)))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[tied]), pa.array(distinct[forest[tied]])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 

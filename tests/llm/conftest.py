@@ -21,6 +21,7 @@ ODD = [
     (7, LONG, "de", "b", 1),
     (8, "   wide　space\x1c\x1d 'tis 12345 \U0001f600\U0001f600 \r\n\r\n  end  ", "fr", "b", 1),
     (9, "one", None, None, None),
+    (10, "abc <|endoftext|> def<|startoftext|>  <|ENDOFTEXT|>.", "en", "b", 1),
 ]
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 import pytest
-from groovemill.llm import near_copies
+from groovemill.llm import near_copies, near_dup
 from tests.llm.conftest import SCHEMA
 
 
-def _wanted(texts):
+def alike_components(texts):
     """Smallest id of each text's component, by all pairs."""
     sets, label = {}, {i: i for i, _ in texts}
     for i, t in texts:
@@ -50,11 +50,12 @@ def _planted(rng):
     return [(1000 + int(k), " ".join(out[k])) for k in rng.permutation(len(out))]
 
 
-@pytest.mark.parametrize("rounds", [5, 1])
-def test_near_copies_by_all_pairs(spark, rows, monkeypatch, rounds):
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+@pytest.mark.parametrize("hot", [1 << 12, 20])
+def test_near_copies_by_all_pairs(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(near_dup, "SHARE", 1)  # many cells
     texts = [*rows, *_planted(np.random.default_rng(5))]
-    wanted = _wanted(texts)
+    wanted = alike_components(texts)
     assert len(set(wanted.values())) < len(texts) - 100
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], SCHEMA)
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == wanted
@@ -65,4 +66,19 @@ def test_near_copies_by_all_pairs(spark, rows, monkeypatch, rounds):
 def test_near_copies_of_odd_rows(clashing, none):
     kept = near_copies.keep_one(clashing)
     assert kept.columns == clashing.columns and near_copies.keep_one(none).count() == 0
-    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(["1", "4", "4", "None", "5", "6", "7", "8", "9"])
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(["1", "10", "4", "4", "None", "5", "6", "7", "8", "9"])
+
+
+def test_pipeline_of_odd_tables(clashing, none, tmp_path, spark):
+    """All stages over documents with odd rows and further columns, and over an empty table."""
+    for name, table in (("odd", clashing), ("none", none)):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, docs, folder)
+            assert kept.columns == table.columns, stage
+            assert kept.join(docs, "doc_id", "left_anti").where("doc_id IS NOT NULL").count() == 0
+        packed = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
+        assert packed.count() == 0 or name == "odd"
