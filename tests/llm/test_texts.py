@@ -17,6 +17,7 @@ import xxhash
 from groovemill.llm import language, license_scan, media, near_dup, ppm, quality_rules, queries
 from tests.comparison import connect, spark_rows, sql_rows
 from tests.llm.conftest import SCHEMA, fold
+from tests.llm.test_near_copies import alike_components
 
 SPACE = "\x20\x09-\x0d"
 
@@ -58,6 +59,13 @@ def test_seeds_lose_no_fuzzy_match(rows):
     assert {s["label"] for s in license_scan.find_spans(planted)} == {"mit", "gpl", "mpl"}
 
 
+def test_spans_name_the_words():
+    text = " 中 it is releasd under the mitt license x gnu genral publc license y mit license "
+    words = text.split()
+    found = {(s["label"], s["base"]): " ".join(words[s["first"] : s["last"] + 1]) for s in license_scan.find_spans(text)}
+    assert found == {("mit", True): "mit license", ("mit", False): "releasd under the mitt license", ("gpl", False): "gnu genral publc license"}
+
+
 def test_licences_of_odd_rows(clashing, none):
     got = {r["doc_id"]: r for r in license_scan.summarise(license_scan.scan(clashing)).collect()}
     assert license_scan.scan(clashing).count() == clashing.count() and license_scan.scan(none).count() == 0
@@ -113,7 +121,7 @@ def test_languages_of_held_out_documents(spark, sf_dir):
 def test_languages_of_odd_rows(clashing, none):
     own = clashing.drop("held_out", "score", "rejected", "lang_pred")
     got = {r["doc_id"]: r for r in language.predict_languages(clashing).collect()}
-    assert len(got) == 10 and own.count() == language.predict_languages(clashing).count()
+    assert len(got) == 11 and own.count() == language.predict_languages(clashing).count()
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1, 2, 3))
     assert language.predict_languages(none).count() == 0
     assert language.keep_identified(clashing).columns == clashing.columns and language.keep_identified(none).count() == 0
@@ -137,6 +145,75 @@ def test_kneser_ney_adds_up_to_one():
         assert total == pytest.approx(1.0)
 
 
+def _plain_kneser_ney(texts):
+    """A function from a framed word's context and character to its probability, by interpolated counts of characters 4 to 1."""
+    grams = Counter()
+    for t in texts:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            framed = language.START * 3 + w + language.END
+            grams.update(framed[i : i + 4] for i in range(len(w) + 1))
+    levels = [grams]
+    for n in (3, 2, 1):
+        kinds = defaultdict(set)
+        for g in levels[-1]:
+            kinds[g[1:]].add(g[0])
+        levels.append(Counter({g: len(k) for g, k in kinds.items()}))
+    return levels
+
+
+def _plain_entropy(levels, alphabet, text):
+    total, n = 0.0, 0
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    discounts = []
+    for level in levels:
+        once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+        discounts.append(once / (once + 2 * twice) if once else 0.5)
+    followers = [defaultdict(dict) for _ in levels]
+    for level, table in zip(levels, followers, strict=True):
+        for g, c in level.items():
+            table[g[:-1]][g[-1]] = c
+    for w in words:
+        framed = language.START * 3 + w + language.END
+        for i in range(3, len(framed)):
+            p = 1 / alphabet
+            for k in (3, 2, 1, 0):  # shortest contexts first
+                seen = followers[k].get(framed[i - (3 - k) : i], {})
+                if seen:
+                    size = sum(seen.values())
+                    p = max(seen.get(framed[i], 0) - discounts[k], 0) / size + discounts[k] * len(seen) / size * p
+            total -= math.log(p)
+            n += 1
+    return total / n if n else 0.0
+
+
+def test_languages_by_a_plain_kneser_ney(spark):
+    words = {"de": "der hund und die katze laufen über straßen schnell", "en": "the dog and a cat are running over streets quickly", "es": "el perro y la gata corren por calles muy rápido"}
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), rng.integers(3, 12))), lang) for i, lang in enumerate(["de", "en", "es"] * 60)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(["der hund", "the cat runs", "gata muy y calles", "1 2", "Straßen, CATS", "zzz"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.predict_languages(df).collect()}
+    learnt = language.train(df.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    held = {r["doc_id"] for r in df.where("xxhash64(doc_id, 'calibration') % 5 = 0").collect()}
+    own = {x: [t for i, t, lang in rows if lang == x and fold(i) != 0 and i not in held] for x in words}
+    models = {x: _plain_kneser_ney(t) for x, t in own.items()}
+    alphabet = len({g[-1] for m in models.values() for g in m[0]}) + 1
+    memo = learnt.memo()
+    for i, t, _ in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        entropy, chars = learnt.entropies(data, np.array([0, len(data)]), memo)
+        plain = [_plain_entropy(models[x], alphabet, t) for x in learnt.languages]
+        assert entropy[0].tolist() == pytest.approx(plain, rel=1e-9)
+        assert got[i]["lang_pred"] == (learnt.languages[int(np.argmin(plain))] if chars[0] else "und")
+
+
+def test_equal_entropies_go_to_the_first_language(spark):
+    rows = [(i, "gleich und same", lang) for i, lang in enumerate(["xx", "aa"] * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    same = language.Identifier(["aa", "xx"], [language.kneser_ney({"\x02\x02\x02a": 2, "\x02\x02a\x03": 1}, 9)] * 2)
+    assert {r["lang_pred"] for r in language.identify(df, same).collect()} == {"aa"}
+
+
 # operator 5
 
 
@@ -231,8 +308,10 @@ def test_near_duplicates_by_all_pairs(spark, sf_dir, rows):
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == sorted((i, f"{p:016x}", wanted[i]) for i, p in prints)
 
 
-@pytest.mark.parametrize("n", [60, 3000])
-def test_trees_find_all_links(spark, n):
+@pytest.mark.parametrize(("n", "hot"), [(60, 1 << 15), (3000, 1 << 15), (3000, 40)])
+def test_trees_find_all_links(spark, monkeypatch, n, hot):
+    for name, value in (("HOT", hot), ("SHARE", 1), ("AT_ONCE", 500)):  # many cells and small tables
+        monkeypatch.setattr(near_dup, name, value)
     rng = np.random.default_rng(n)
     seeds = rng.integers(0, 2**63, n // 6, dtype=np.int64)
     values = seeds[rng.integers(0, len(seeds), n)]
@@ -246,6 +325,24 @@ def test_trees_find_all_links(spark, n):
     assert got == wanted
 
 
+def test_groups_stay_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 40, 700))
+    batches = [pa.record_batch({"key": key[i : i + 13], "at": np.arange(i, min(i + 13, 700))}) for i in range(0, 700, 13)]
+    old, near_dup.AT_ONCE = near_dup.AT_ONCE, 50
+    try:
+        tables = list(near_dup.whole_groups(iter(batches), ("key",)))
+    finally:
+        near_dup.AT_ONCE = old
+    assert len(tables) > 5 and np.concatenate([t.column("at").to_numpy() for t in tables]).tolist() == list(range(700))
+    seen = [set(t.column("key").to_pylist()) for t in tables]
+    assert sum(map(len, seen)) == len(set(key.tolist()))
+    assert all((np.unique(t.column("key").to_numpy(), return_inverse=True)[1] == t.column("group").to_numpy()).all() for t in tables)
+    assert list(near_dup.whole_groups(iter([]), ("key",))) == []
+
+
 def test_near_duplicates_of_odd_rows(clashing, none):
     got = near_dup.near_duplicates(clashing).collect()
     assert len(got) == clashing.count() and near_dup.near_duplicates(none).count() == 0
@@ -275,9 +372,10 @@ def test_media_are_read_back(spark, sf_dir, rows):
 def test_all_filters_are_undone():
     rng = np.random.default_rng(3)
     samples = rng.integers(0, 256, (25, 9)).astype(np.uint8)
+    kinds = [0, 1, 2, 3, 4, 3, 3, 3, 4, 4, 4, 2, 2, 1, 4, 0, 3, 4, 2, 4, 4, 4, 4, 4, 3]
     above, lines = [0] * 9, []
     for y, line in enumerate(samples.tolist()):
-        kind, out = y % 5, []
+        kind, out = kinds[y], []
         for x, value in enumerate(line):
             a, b, c = (line[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
             p = a + b - c
@@ -294,6 +392,25 @@ def test_all_filters_are_undone():
     assert (media.decode_png(media.encode_png(samples)) == samples).all()
 
 
+@pytest.mark.parametrize("shape", [(64, 64), (3, 64), (100, 64)])
+def test_feature_by_plain_loops(shape):
+    x = np.random.default_rng(sum(shape)).integers(97, 123, shape).astype(np.uint8)
+
+    def ranges(length):
+        edges = [i * length // 32 for i in range(33)]
+        return [range(a, max(b, a + 1)) for a, b in zip(edges, edges[1:], strict=False)]
+
+    rows, columns = ranges(shape[0]), ranges(shape[1])
+    means = [[sum(int(x[i, j]) for i in r for j in c) / len(r) / len(c) for c in columns] for r in rows]
+    waves = []
+    for u in range(8):
+        for v in range(8):
+            waves.append(round(sum(means[i][j] * math.cos(math.pi * u * (2 * i + 1) / 64) * math.cos(math.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32)), 6))
+    middle = sum(sorted(waves)[31:33]) / 2
+    bits = "".join("1" if w > middle else "0" for w in waves)
+    assert media.low_frequencies(x) == int(bits, 2).to_bytes(8, "big")
+
+
 def test_feature_of_slight_changes():
     x = np.random.default_rng(4).integers(97, 123, (64, 64)).astype(np.uint8)  # all frequencies have some share
     y = x.copy()
@@ -320,8 +437,7 @@ def test_pipeline_stages_by_plain_versions(spark, sf_dir, docs, rows):
     known = stage["language_id"](spark, good, sf_dir)
     assert known.columns == own and known.count() >= 0.95 * good.count()
     text = dict(rows)
-    left = sorted(r["doc_id"] for r in known.collect())
-    wanted = _components([(i, _fingerprint(text[i])) for i in left])
+    wanted = alike_components([(r["doc_id"], text[r["doc_id"]]) for r in known.collect()])
     one = stage["simhash_near_dup"](spark, known, sf_dir)
     assert one.columns == own and sorted(r["doc_id"] for r in one.collect()) == sorted(set(wanted.values()))
     packed = stage["best_fit_packing"](spark, one, sf_dir)
