@@ -188,3 +188,28 @@ def test_batches_are_registered_once(spark, tmp_path):
     assert sorted(sorted(r["review_ids"]) for r in spark.read.schema(jsonl.BATCH + ", batch_id long").json(path).collect()) == [[1, 2], [3]]
     ingest.register_batch(spark.createDataFrame([(3,)], "id long"), 2, path, "id")  # the same batch delivered again
     assert spark.read.schema(jsonl.BATCH).json(path).count() == 2
+
+
+def test_kept_until_the_files_change(spark, tmp_path):
+    from groovemill.sources import cache
+
+    folder, built = str(tmp_path / "files"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(folder)
+
+    spark.range(3).write.parquet(folder)
+    assert [cache.kept(spark, "all", folder, build).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    spark.range(2).write.mode("append").parquet(folder)
+    assert cache.kept(spark, "all", folder, build).count() == 5 and len(built) == 2
+
+
+def test_bounds_of_requests():
+    from groovemill.operators import recommend
+
+    assert recommend.clamped((2500, 1996), 1990, 2020) == (1996, 2020) and recommend.clamped((None, "x"), 1990, 2020) == (1990, 2020)
+    assert recommend.clamped((99, 4), 0.0, 10.0, float) == (4.0, 10.0) and recommend.clamped(None, 1, 2) == (1, 2)
+    for bad in ({"limit": 0}, {"limit": 101}, {"rounds": 21}, {"target": 0}, {"exponent": 6}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            recommend.checked_request(**bad)
