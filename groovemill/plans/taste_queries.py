@@ -192,7 +192,7 @@ def node_radius(spark, sf_dir):
 
 
 def weight_share(spark, sf_dir):
-    shares = tuple(F.greatest(F.lit(0.0), F.round(F.col("c_acctbal") * s, 2)) for s in (0.5, -0.25, 0.125))
+    shares = tuple(F.greatest(F.lit(0.0), F.col("c_acctbal") * s) for s in (0.5, -0.25, 0.125))
     moved = taste.redistributed(shares, 1, F.col("c_custkey") % 130)
     rows = Tables(spark, sf_dir).read("customer").select("c_custkey", *(F.round(m, 6).alias(n) for m, n in zip(moved, ("alpha", "beta", "gamma"), strict=True)))
     percents = taste.rounded_percents([F.col(n) for n in ("alpha", "beta", "gamma")])
@@ -235,7 +235,7 @@ def _highlights() -> str:
 
 
 def _weights_sql() -> str:
-    raw = ", ".join(f"greatest(0.0::DOUBLE, round(c_acctbal * {s}::DOUBLE, 2)) AS s{i}" for i, s in enumerate((0.5, -0.25, 0.125)))
+    raw = ", ".join(f"greatest(0.0::DOUBLE, c_acctbal * {s}::DOUBLE) AS s{i}" for i, s in enumerate((0.5, -0.25, 0.125)))
     norm = ", ".join(f"CASE WHEN s0 + s1 + s2 > 0 THEN s{i} / (s0 + s1 + s2) ELSE 1.0::DOUBLE / 3 END AS n{i}" for i in range(3))
     moved = ", ".join(f"round(CASE WHEN n0 + n2 > 0 THEN n{i} / (n0 + n2) * (1 - own) ELSE (1 - own) / 2 END, 6) AS {name}" for i, name in ((0, "alpha"), (2, "gamma")))
     whole = ", ".join(f"CAST(floor({n} * 100 + 0.5) AS BIGINT) AS w{i}" for i, n in enumerate(("alpha", "beta", "gamma")))
