@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import five_year_bucket, position_weight
-from groovemill.sources.checkpoints import checkpointed
+from groovemill.sources.checkpoints import stored
 
 
 def artist_edges(reviews: DataFrame, refs: DataFrame) -> DataFrame:
@@ -117,14 +117,14 @@ def propagate_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     Rounds are synchronous; equal weights go to the label that sorts last. Stops when a round labels nobody, so after as
     many rounds as the longest way to a labelled artist has steps.
     """
-    labels = checkpointed(labels.select("artist", "community"))
+    labels = stored(labels.select("artist", "community"), "labels")
     front, open_ = labels, edges
     while True:
         # whoever has a labelled neighbour is labelled in the next round, so only the newest labels have votes left to give
-        open_ = checkpointed(open_.join(front.select(F.col("artist").alias("src")), "src", "left_anti"))
+        open_ = stored(open_.join(front.select(F.col("artist").alias("src")), "src", "left_anti"), "open-edges")
         votes = open_.join(front.select(F.col("artist").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         won = votes.groupBy(F.col("src").alias("artist")).agg(F.max(F.struct("w", "community")).alias("best")).select("artist", F.col("best.community").alias("community"))
-        front = checkpointed(won)
+        front = stored(won, "labels")
         if front.isEmpty():
             return labels
         labels = labels.union(front)
@@ -133,9 +133,11 @@ def propagate_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def updated_memberships(edges: DataFrame, previous: DataFrame) -> DataFrame:
     """artist, community of all artists of the graph: if the previous ones (artist, community) have any community, these are kept
     and propagated to artists that are new; else communities are found anew."""
+    from groovemill.operators import communities
+
     known = previous.where("trim(community) <> ''")
     if known.isEmpty():
-        return move_to_modular(edges)
+        return communities.modular_communities(edges)
     own = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "artist")
     return propagate_labels(edges, known).join(own, "artist", "left_semi")
 
@@ -150,15 +152,15 @@ def described_communities(edges: DataFrame, memberships: DataFrame, k: int = 10)
 def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
     """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().where("src <> dst")
-    both = checkpointed(both)
-    seen = checkpointed(sources.select(F.col("artist").alias("source"), "artist", F.lit(0).cast("long").alias("hops")).distinct())
+    both = stored(both, "edges")
+    seen = stored(sources.select(F.col("artist").alias("source"), "artist", F.lit(0).cast("long").alias("hops")).distinct(), "hops")
     front = seen
     for hop in range(1, cutoff + 1):
         step = front.join(both, front["artist"] == both["src"]).select("source", F.col("dst").alias("artist")).distinct()
-        front = checkpointed(step.join(seen, ["source", "artist"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        front = stored(step.join(seen, ["source", "artist"], "left_anti").withColumn("hops", F.lit(hop).cast("long")), "hops")
         if front.isEmpty():
             break
-        seen = checkpointed(seen.union(front))
+        seen = stored(seen.union(front), "hops")
     return seen
 
 
@@ -177,35 +179,6 @@ def community_matrix(hops: DataFrame, centroids: DataFrame) -> DataFrame:
     return here.crossJoin(there).join(hops, ["source", "artist"], "left").select("community", "neighbour", "hops")
 
 
-def move_to_modular(edges: DataFrame, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
-    """artist, community: communities by ``rounds`` of local moves towards a higher modularity; not its highest.
-
-    In each round a node joins the neighbouring community of largest gain; odd rounds allow only moves to a label that
-    sorts lower, even rounds to a higher one, so that two nodes don't swap. Labels are names of members, then ranked by
-    size: C001 is the largest.
-    """
-    sym = undirected_edges(edges).where("a <> b")
-    sym = checkpointed(sym.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").union(sym.select("b", "a", "weight")))
-    total = sym.agg(F.sum("weight")).first()[0] or 0.0  # twice the weight of all edges
-    degree = checkpointed(sym.groupBy("u").agg(F.sum("weight").alias("k")))
-    every = edges.select(F.explode(F.array("src", "dst")).alias("artist")).distinct()  # artists with only a loop stay alone
-    labels = checkpointed(every.join(degree.withColumnRenamed("u", "artist"), "artist", "left").select("artist", F.col("artist").alias("label"), F.coalesce("k", F.lit(0.0)).alias("k")))
-    for i in range(rounds if total else 0):
-        volume = labels.groupBy("label").agg(F.sum("k").alias("volume"))
-        ties = sym.join(labels.select(F.col("artist").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("weight").alias("w"))
-        own = labels.select(F.col("artist").alias("u"), F.col("label").alias("own"), "k")
-        offers = ties.join(own, "u").join(volume, "label")
-        others = F.col("volume") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.lit(resolution / total) * F.col("k") * others, 9)
-        allowed = F.col("label") < F.col("own") if i % 2 else F.col("label") > F.col("own")
-        scored = offers.where(allowed | (F.col("label") == F.col("own"))).withColumn("gain", gain)
-        stay = F.max(F.when(F.col("label") == F.col("own"), F.col("gain")))
-        best = scored.groupBy("u").agg(F.max(F.struct("gain", F.col("label"))).alias("best"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
-        moved = best.where(F.col("best.gain") > F.greatest("stay", F.lit(0.0))).select(F.col("u").alias("artist"), F.col("best.label").alias("to"))
-        labels = checkpointed(labels.join(moved, "artist", "left").select("artist", F.coalesce("to", "label").alias("label"), "k"))
-    return labels.join(ranked_communities(labels), "label").select("artist", "community")
-
-
 def ranked_communities(labels: DataFrame) -> DataFrame:
     """label, community of labels (artist, label): C001 is the largest, ties go by the first name.
 

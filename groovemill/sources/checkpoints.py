@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a Parquet table in the shared folder; the tables of an application go when its driver ends.
+
+    For loops: Spark keeps the estimated size of what it checkpoints and multiplies those of joined tables, so that after some
+    rounds the numbers alone take minutes. A table's size is that of its files.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}"
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    table = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    found = spark.read.schema(df.schema).parquet(table)
+    found.stored_in = table
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for table in tables:
+        path, files = _path(table.sparkSession, table.stored_in)
+        files.delete(path, True)

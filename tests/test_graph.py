@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from groovemill.operators import graph
+from pyspark.sql import functions as F
+
+from groovemill.operators import communities, graph
 from groovemill.plans import album_queries, graph_queries
 from groovemill.sources.domain import Tables
 
@@ -54,14 +56,49 @@ def _modularity(edges, label):
     return inside / total - sum(v * v for v in volume.values()) / (2 * total) ** 2
 
 
-def test_modular_communities_have_all_artists(spark):
-    rows = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", 0.5), ("z", "z", 3.0)]
-    weights = {(a, b): w for a, b, w in rows}
-    got = {r["artist"]: r["community"] for r in graph.move_to_modular(spark.createDataFrame(rows, "src string, dst string, weight double")).collect()}
-    assert set(got) == {x for pair in weights for x in pair} and list(got.values()).count(got["z"]) == 1
-    assert _modularity(weights, got) > _modularity(weights, {x: x for x in got})
+BLOCKS = [(f"{c}{i}", f"{c}{j}", 1.0 + 0.1 * ((i * j) % 3)) for c in "abcd" for i in range(5) for j in range(i)] + [("a0", "b0", 0.5), ("b1", "a2", 0.7), ("c0", "d0", 2.5), ("d1", "c1", 2.0), ("z", "z", 3.0), ("a0", "a0", 1.0)]
+
+
+def test_modularity_never_falls(spark):
+    edges = spark.createDataFrame(BLOCKS, "src string, dst string, weight double")
+    weights = {(r["a"], r["b"]): r["weight"] for r in graph.undirected_edges(edges).collect()}
+    ties, nodes = communities.first_level(edges)
+    total = nodes.agg(F.sum("k")).first()[0]
+    assert abs(total - 2 * sum(weights.values())) < 1e-9
+    found = [_modularity(weights, {r["u"]: r["u"] for r in nodes.collect()})]
+    for nodes in communities.moves(ties, nodes, total):
+        label = {r["u"]: r["label"] for r in nodes.collect()}
+        found.append(_modularity(weights, label))
+    assert len(found) > 2 and all(a < b for a, b in zip(found, found[1:], strict=False))
+    for artist in label:  # no move is left
+        for other in set(label.values()):
+            assert _modularity(weights, {**label, artist: other}) <= found[-1] + 1e-8
+
+
+def test_communities_level_by_level(spark):
+    edges = spark.createDataFrame(BLOCKS, "src string, dst string, weight double")
+    weights = {(r["a"], r["b"]): r["weight"] for r in graph.undirected_edges(edges).collect()}
+    found = [{r["artist"]: r["label"] for r in x.collect()} for x in communities.levels(edges)]
+    assert all(set(x) == {e for pair in weights for e in pair} for x in found)
+    for finer, coarser in zip(found, found[1:], strict=False):
+        assert _modularity(weights, coarser) > _modularity(weights, finer)
+        assert all(len({coarser[x] for x in finer if finer[x] == c}) == 1 for c in set(finer.values()))
+    groups = {frozenset(x for x in found[-1] if found[-1][x] == c) for c in set(found[-1].values())}
+    assert {frozenset("z")} < groups and all(len({x[0] for x in g if x != "z"} & {"a", "b"}) < 2 for g in groups)
+    got = {r["artist"]: r["community"] for r in communities.modular_communities(edges).collect()}
+    assert {frozenset(x for x in got if got[x] == c) for c in set(got.values())} == groups
     sizes = [list(got.values()).count(c) for c in sorted(set(got.values()))]
     assert sizes == sorted(sizes, reverse=True)
+    assert communities.modular_communities(edges.limit(0)).count() == 0
+
+
+def test_query_beats_a_single_round(spark, sf_dir):
+    edges = graph_queries._edges(Tables(spark, sf_dir))
+    weights = {(r["a"], r["b"]): r["weight"] for r in graph.undirected_edges(edges).collect()}
+    got = {r["artist"]: r["community"] for r in graph_queries.modular_communities(spark, sf_dir).collect()}
+    ties, nodes = communities.first_level(edges)
+    once = {r["u"]: r["label"] for r in next(communities.moves(ties, nodes, nodes.agg(F.sum("k")).first()[0])).collect()}
+    assert set(got) == {x for pair in weights for x in pair} and _modularity(weights, got) > _modularity(weights, once) + 0.01
 
 
 def test_label_in_each_step_of_the_way(spark):
