@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,15 +25,17 @@ from .text import Memo, slices, sums, text_bytes, words
 ORDER = 4
 #: Training documents per language are at most about this many, chosen by a hash of their ids.
 SAMPLE = 2000
-#: The most grams that all languages together may have on the driver and in the broadcast models.
-MOST_GRAMS = 5_000_000
+#: A language's model has its most frequent grams of ORDER characters, at most so many; their arrays are broadcast.
+MOST_GRAMS = 500_000
 START, END = "\x02", "\x03"
 #: Cross-entropies' spread among training documents is measured in this share of them, which no model learns from.
 CALIBRATION = 5
 #: A document is rejected beyond the median deviation of calibration documents by so many of their standard deviations, estimated from the median one.
 SLACK = 20.0
-#: Languages of fewer calibration documents take their spread from all languages.
-FEWEST = 20
+#: A language's spread is joined with that of all languages, which counts as so many documents, and that with PRIOR, which counts as many.
+PRIOR_ROWS = 5
+#: Variance of a character's cost in nats, and of documents' means; a guess that calibration documents soon outweigh.
+PRIOR = (4.0, 0.05)
 UNKNOWN = "und"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +96,21 @@ def _table(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.fromiter(values.values(), float, len(values))[order]
 
 
+def _fitted(rows: pa.Table, alphabet: int) -> pa.Table:
+    """A language's grams (lang, gram, n) as the arrays of its model, order by order."""
+    order = pc.sort_indices(rows, [("n", "descending"), ("gram", "ascending")])[:MOST_GRAMS]
+    kept = rows.take(order)
+    model = kneser_ney(dict(zip(kept.column("gram").to_pylist(), kept.column("n").to_pylist(), strict=True)), alphabet)
+    parts = [array.tobytes() for pair in zip(model.grams, model.contexts, strict=True) for table in pair for array in table]
+    return pa.table({"lang": rows.column("lang")[:1], "parts": pa.array([parts], pa.list_(pa.binary()))})
+
+
+def _model(parts: list[bytes], alphabet: int) -> Model:
+    """The model whose arrays ``_fitted`` gave."""
+    tables = [(np.frombuffer(keys, np.uint64), np.frombuffer(values, float)) for keys, values in zip(parts[::2], parts[1::2], strict=True)]
+    return Model(tables[::2], tables[1::2], 1.0 / alphabet)
+
+
 def _letter_words(token: bytes) -> list[str]:
     text = token.decode("utf-8", "replace").lower()
     return [text] if text.isalpha() else "".join(c if c.isalpha() else " " for c in text).split()
@@ -173,8 +191,8 @@ def _sample(train: DataFrame, per_language: int) -> DataFrame:
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
     """Models of all non-null languages of ``docs`` (doc_id, lang, text), learnt from a bounded sample.
 
-    The driver gets the sample's distinct grams, which ``per_language`` documents of each language bound, and one row of
-    figures for each calibration document. Documents without letters teach nothing; without documents there is no
+    Each language's model is made where its grams are summed up. The driver gets the finished arrays, of MOST_GRAMS grams for
+    each language at most, and one row of figures for each calibration document. Documents without letters teach nothing; without documents there is no
     language.
     """
     sample = _sample(docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text"), per_language)
@@ -200,14 +218,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
 
     counted = sample.where(~held).select("lang", "text").mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = checkpointed(counted)
-    if counted.count() > MOST_GRAMS:
-        raise ValueError(f"the languages' samples have more than {MOST_GRAMS} grams; take fewer documents of each")
-    by_language: defaultdict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in counted.toPandas().itertuples(index=False):
-        by_language[lang][gram] = n
-    languages = sorted(by_language)
-    alphabet = len({g[-1] for counts in by_language.values() for g in counts}) + 1
-    learnt = Identifier(languages, [kneser_ney(by_language[x], alphabet) for x in languages])
+    alphabet = counted.agg(F.countDistinct(F.right("gram", F.lit(1)))).first()[0] + 1
+    tables = counted.groupBy("lang").applyInArrow(lambda rows: _fitted(rows, alphabet), "lang string, parts array<binary>").orderBy("lang").toArrow()
+    languages = tables.column("lang").to_pylist()
+    learnt = Identifier(languages, [_model(parts, alphabet) for parts in tables.column("parts").to_pylist()])
     if not languages:
         return learnt
 
@@ -226,27 +240,37 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Identifier:
 def _calibrated(learnt: Identifier, own: np.ndarray, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Bounds of each language from its calibration documents.
 
-    All are medians, so that a minority of odd documents moves them little. A language of few documents has its own mean
-    and the spread of all; without any, it has the mean of the language of the largest. Too few in all reject nothing.
+    All are medians, so that a minority of odd documents moves them little. The spread of a language's documents is joined with
+    that of all, the more so the fewer it has; without any it has the mean of the language of the largest. Without any in
+    all nothing is known of costs, and nothing is rejected.
     """
     out = np.tile([0.0, 1.0, 1.0, np.inf], (len(learnt.languages), 1))
-    if len(own) < FEWEST:
+    if not len(own):
         return out
     rows = [np.flatnonzero(own == k) for k in range(len(out))]
     means = np.array([np.median(entropy[r]) if len(r) else -np.inf for r in rows])
     means[np.isinf(means)] = means.max()
 
-    def spread(r: np.ndarray, widened: float) -> tuple[float, float, float]:
+    def joined(n: int, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return (n * mine + PRIOR_ROWS * others) / (n + PRIOR_ROWS)
+
+    def spread(r: np.ndarray) -> np.ndarray:
+        """Variance within and between the rows' documents."""
         off, n = (entropy[r] - means[own[r]]) ** 2, chars[r]
-        within = np.median(off * n) / 0.455  # median of a squared normal deviate
-        between = max(np.median(off[n >= np.median(n)]) / 0.455, 1e-12)
-        z = (entropy[r] - means[own[r]]) / np.sqrt(within / n + between)
-        middle = np.median(z)
-        return within, between * widened, middle + SLACK * max(np.median(np.abs(z - middle)) / 0.6745, 1.0)
+        return np.array([np.median(off * n), np.median(off[n >= np.median(n)])]) / 0.455  # median of a squared normal deviate
+
+    def middle(r: np.ndarray, within: float, between: float) -> np.ndarray:
+        """Median deviation, and the standard deviation of deviations by their median."""
+        z = (entropy[r] - means[own[r]]) / np.sqrt(within / chars[r] + between)
+        return np.array([np.median(z), np.median(np.abs(z - np.median(z))) / 0.6745])
 
+    every = np.arange(len(own))
+    overall = joined(len(own), spread(every), np.array(PRIOR))
     for k, r in enumerate(rows):
-        few = len(r) < FEWEST
-        out[k] = means[k], *spread(np.arange(len(own)) if few else r, 1 + np.pi / 2 / max(len(r), 1) if few else 1.0)
+        within, between = joined(len(r), spread(r), overall) if len(r) else overall
+        between *= 1 + np.pi / 2 / max(len(r), 1)  # the mean is a median of so many
+        at, width = joined(len(r), middle(r, within, between), middle(every, within, between)) if len(r) else middle(every, within, between)
+        out[k] = means[k], within, between, at + SLACK * max(width, 1.0)
     return out
 
 
@@ -260,7 +284,7 @@ def identify(docs: DataFrame, learnt: Identifier) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # of at most MOST_GRAMS grams
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # at most MOST_GRAMS grams of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, memo = [*shared.value.languages, UNKNOWN], shared.value.memo()

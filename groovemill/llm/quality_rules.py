@@ -54,13 +54,13 @@ def _ratio(part: str, whole: str) -> Column:
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with a struct ``q`` of counts; null and empty texts have zeros.
 
-    Windows are compared by a 64-bit hash of their words; a text of n words errs with a chance below n^2 / 2^65.
+    Windows are put in order by a hash of their words and then by the words themselves, so that equal ones stand together.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     at = lambda array, i: F.get(array, i)
     w, lines, windows, repeats = (F.col(f"q_{x}") for x in ("words", "lines", "windows", "repeats"))
     split = docs.withColumns({"q_words": _words(text), "q_lines": F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACES)) != "")})
-    hashed = split.withColumn("q_windows", F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, *(at(w, i + k) for k in range(1, WINDOW))).alias("h"), i.alias("i")))))
+    hashed = split.withColumn("q_windows", F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))), lambda x, i: F.struct(F.struct(F.xxhash64(x, *(at(w, i + k) for k in range(1, WINDOW))).alias("h"), x.alias("w0"), *(at(w, i + k).alias(f"w{k}") for k in range(1, WINDOW))).alias("h"), i.alias("i")))))
     same = lambda i, x: F.coalesce(at(windows, i)["h"] == x["h"], F.lit(False))
     found = hashed.withColumn("q_repeats", F.sort_array(F.transform(F.filter(windows, lambda x, i: same(i + 1, x) | ((i > 0) & same(F.greatest(i - 1, F.lit(0)), x))), lambda x: x["i"])))
     # each repeated window covers its words up to the next repeated window

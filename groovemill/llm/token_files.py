@@ -23,9 +23,9 @@ from .scratch import stored
 from .subwords import encode_rows, library_encoder
 from .text import bounds_of, slices, text_bytes
 
-MAGIC = b"FRB1"
+MAGIC = b"FRB2"
 #: Magic, documents, ids, distinct ids, data bytes, checksum of what follows.
-HEADER = struct.Struct("<4sIQIQI")
+HEADER = struct.Struct("<4sIIQIQI")
 #: Byte lengths of the four codes of each control byte.
 LENGTHS = np.stack([(np.arange(256) >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 #: Text bytes that a block takes at most, unless one document has more.
@@ -59,8 +59,8 @@ def unpack_codes(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return values
 
 
-def pack_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One block: header, document ids and lengths, ids by rank, control bytes, data bytes."""
+def pack_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, n_null: int = 0) -> bytes:
+    """One block: header, document ids and lengths, ids by rank, control bytes, data bytes. The first ``n_null`` documents have no id."""
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     used = np.flatnonzero(counts)
     ranked = used[np.argsort(-counts[used], kind="stable")]
@@ -68,12 +68,12 @@ def pack_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> byt
     rank[ranked] = np.arange(len(ranked))
     control, data = pack_codes(rank[ids])
     body = b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), lengths.astype("<u4"), ranked.astype("<u4"), control, data))
-    return HEADER.pack(MAGIC, len(doc_ids), len(ids), len(ranked), len(data), zlib.crc32(body)) + body
+    return HEADER.pack(MAGIC, len(doc_ids), n_null, len(ids), len(ranked), len(data), zlib.crc32(body)) + body
 
 
-def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, lengths and ids of a block; raises ValueError if it is damaged."""
-    magic, n_docs, n_ids, n_ranked, n_data, check = HEADER.unpack_from(block)
+def unpack_block(block: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """Document ids (masked where there is none), lengths and ids of a block; raises ValueError if it is damaged."""
+    magic, n_docs, n_null, n_ids, n_ranked, n_data, check = HEADER.unpack_from(block)
     body = memoryview(block)[HEADER.size :]
     if magic != MAGIC or zlib.crc32(body) != check:
         raise ValueError("damaged block of token ids")
@@ -82,14 +82,14 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts.append(np.frombuffer(body, kind, n, at))
         at += parts[-1].nbytes
     doc_ids, lengths, ranked, control, data = parts
-    return doc_ids, lengths, ranked[unpack_codes(control, data, n_ids)]
+    return np.ma.array(doc_ids, mask=np.arange(n_docs) < n_null), lengths, ranked[unpack_codes(control, data, n_ids)]
 
 
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """All documents in ascending doc_id as blocks: part and seq (their order), n_docs, n_ids and block (binary).
 
-    A null or empty text has just the end id. Rows that repeat a doc_id stand in the order of their texts; a null doc_id
-    is stored as the smallest long, and so stands first. Rows are dealt out by ranges of doc_id and a hash of the text,
+    A null or empty text has just the end id. Rows that repeat a doc_id stand in the order of their texts; those
+    without a doc_id stand first. Rows are dealt out by ranges of doc_id and a hash of the text,
     so that a repeated doc_id can be spread as well.
     """
 
@@ -102,7 +102,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
             inner = np.ones(len(ends), bool)
             inner[last] = False
             ends[inner], ends[last] = ids, end_id
-            block = pack_block(batch.column(0).fill_null(-(2**63)).to_numpy(), np.diff(bounds) + 1, ends)
+            block = pack_block(batch.column(0).fill_null(0).to_numpy(), np.diff(bounds) + 1, ends, batch.column(0).null_count)  # nulls stand first
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (seq, pa.int64()), (batch.num_rows, pa.int64()), (len(ends), pa.int64()), (block, pa.binary()))], names=["part", "seq", "n_docs", "n_ids", "block"])
             seq += 1
 
@@ -123,7 +123,7 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
                 bounds, body = bounds_of(lengths), memoryview(ids.astype("<u4")).cast("B")
                 sums = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(doc_ids), part)), pa.array(np.full(len(doc_ids), seq)), pa.array(doc_ids, mask=doc_ids == -(2**63)), pa.array(bounds[:-1]), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())],
+                    [pa.array(np.full(len(doc_ids), part)), pa.array(np.full(len(doc_ids), seq)), pa.array(doc_ids.data, mask=doc_ids.mask), pa.array(bounds[:-1]), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())],
                     names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 

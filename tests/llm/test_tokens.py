@@ -138,6 +138,13 @@ def test_token_files_of_odd_rows(clashing, none):
     assert token_files.write_and_read(none, path, 1).count() == 0
 
 
+def test_smallest_doc_id_isnt_null(spark):
+    rows = [(None, "no id", "en", "a", 1), (-(2**63), "least", "en", "a", 1), (None, "none either", "en", "a", 1), (2**63 - 1, "most", "en", "a", 1)]
+    found = token_files.write_and_read(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), public_tokenizers.path("word_bpe_49k.json"), 1).collect()
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])] == [None, None, -(2**63), 2**63 - 1]
+
+
+
 def test_damaged_block_is_noticed():
     block = bytearray(token_files.pack_block(np.array([3]), np.array([2]), np.array([70_000, 1])))
     assert [x.tolist() for x in token_files.unpack_block(bytes(block))] == [[3], [2], [70_000, 1]]
