@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .near_dup import SEED, Trees, components, in_cells, majority, whole_groups
+from .near_dup import SEED, SHARE, Trees, components, in_cells, majority, whole_groups
 from .scratch import checkpointed, stored
 from .text import slices, text_bytes
 
@@ -37,8 +37,12 @@ SAMPLE, FREQUENT = 4000, 100_000
 HOT, AT_ONCE, SEARCHES = 1 << 12, 1 << 12, 1 << 9
 #: Bits of a set's parities.
 PARITIES = 1024
-#: Bits of the map that says which documents' sets are worth making again.
-MAP_BITS = 1 << 24
+#: Rows from which on a shingle's sets are counted in parts, about.
+HOT_KEY = 1 << 16
+#: Sets that a task remembers at most to name their prefixes once.
+REMEMBERED = 1 << 18
+#: Bits for each document in the map that says whose sets are worth making again, and most bits of the map (32 MB).
+BITS_EACH, MOST_BITS = 8, 1 << 28
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -49,10 +53,15 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    """The bit of the map for each doc_id."""
+def _map_bits(n: int) -> int:
+    """The size of the map for n documents: a power of two."""
+    return min(MOST_BITS, 1 << max(10, (BITS_EACH * n - 1).bit_length()))
+
+
+def _spread(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bit for each doc_id in a map of so many."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - (MAP_BITS.bit_length() - 1))).astype(np.int64)
+    return (mixed >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
 def _made(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -74,14 +83,14 @@ def _sims(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: np.ndarray | None = None) -> DataFrame:
     """fp (hash of the set) and hashes of each row's shingles, or n and sim (SimHash; 0 without shingles) as well.
 
-    only: a map of MAP_BITS bits; rows whose bit isn't set are left out.
+    only: a map of at most MOST_BITS bits; rows whose bit isn't set are left out.
     """
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)  # MAP_BITS bits
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)  # at most MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared is not None:
             wanted = np.unpackbits(shared.value).astype(bool)
-            batches = (b.filter(pa.array(wanted[_spread(b.column(0).to_numpy())])) for b in batches)
+            batches = (b.filter(pa.array(wanted[_spread(b.column(0).to_numpy(), len(wanted))])) for b in batches)
         for _, sets, fps, n in _made(batches, shingle):
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n), pa.array(_sims(sets, n)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "n", "sim", "hashes"])
 
@@ -112,6 +121,8 @@ def prints_and_prefixes(docs: DataFrame, frequent: np.ndarray, shingle: int = SH
         def prefix(fp: int, h: np.ndarray) -> np.ndarray:
             if fp in seen or not len(h):
                 return nothing
+            if len(seen) >= REMEMBERED:
+                seen.clear()  # prefixes may come twice
             seen.add(fp)
             often = np.zeros(len(h), np.int64)
             if len(names):
@@ -128,10 +139,23 @@ def prints_and_prefixes(docs: DataFrame, frequent: np.ndarray, shingle: int = SH
 
 
 def shards(prefixes: DataFrame) -> DataFrame:
-    """Distinct rows (key, fp) of the keys that more than one set has; of keys with the same sets, as two hashes of their members tell, the least one."""
+    """Distinct rows (key, fp) of the keys that more than one set has; of keys with the same sets, as two hashes of their members tell, the least one.
+
+    A key's members are counted where the shuffle brings them together; those of keys with more than about HOT_KEY rows
+    are spread by fp as well and counted in parts. Which keys these are is estimated from one set in SHARE; it decides the
+    way, never the result.
+    """
     own = Window.partitionBy("key")
-    members = [F.bit_xor(F.xxhash64("fp", F.lit(i))).over(own).alias(f"members_{i}") for i in range(2)]
-    marked = prefixes.repartition("key").distinct().select("key", "fp", F.count("*").over(own).alias("size"), *members)
+    member = [F.bit_xor(F.xxhash64("fp", F.lit(i))) for i in range(2)]
+    some = prefixes.where(F.pmod(F.xxhash64("fp", F.lit("share")), F.lit(SHARE)) == 0)
+    hot = stored(some.groupBy("key").agg((F.count("*") * SHARE).alias("n_key")).where(F.col("n_key") > HOT_KEY).select("key"), "hot-keys")
+    any_hot = not hot.isEmpty()
+    cold = prefixes.join(hot, "key", "left_anti") if any_hot else prefixes
+    marked = cold.repartition("key").distinct().select("key", "fp", F.count("*").over(own).alias("size"), *(m.over(own).alias(f"members_{i}") for i, m in enumerate(member)))
+    if any_hot:
+        spread = stored(prefixes.join(hot, "key", "left_semi").distinct(), "spread")
+        sums = spread.groupBy("key").agg(F.count("*").alias("size"), *(m.alias(f"members_{i}") for i, m in enumerate(member)))
+        marked = marked.unionByName(spread.join(sums, "key"))
     several = stored(marked.where("size > 1"), "shared")
     least = several.groupBy("size", "members_0", "members_1").agg(F.min("key").alias("key")).select("key")
     return several.select("key", "fp").join(least, "key", "left_semi")
@@ -221,17 +245,18 @@ def _linked(rows: DataFrame, light: DataFrame, whole: bool) -> DataFrame:
 
 
 def _map_of(ids: DataFrame) -> np.ndarray:
-    """The map of the doc_ids; of MAP_BITS bits, however many they are."""
+    """The map of the doc_ids, sized by their number."""
+    size = _map_bits(ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MAP_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_spread(batch.column(0).to_numpy())] = True
+            bits[_spread(batch.column(0).to_numpy(), size)] = True
         words = np.packbits(bits).view(np.int64)
         place = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(words[place])], names=["place", "word"])
 
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     for batch in ids.select("doc_id").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint8)
@@ -242,15 +267,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Documents are connected whose sets of shingles have a Jaccard similarity of 4/5 or more, also through others; texts
     without words are alike. Sets are made twice, for their prefixes and for the check, as those of all would take more
-    room than the texts. A map of fixed size says which documents may be alike to others, so that texts aren't shuffled; what it
-    lets pass beyond them is dropped by the join.
+    room than the texts. A map says which documents may be alike to others, so that texts aren't shuffled; what it lets pass
+    beyond them (one in nine, and more beyond MOST_BITS / BITS_EACH documents) is dropped by the join.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     known = stored(prints_and_prefixes(docs, _frequent(docs, shingle), shingle), "prints")
     dealt = stored(shards(known.select(F.explode("prefix").alias("key"), "fp")), "shards")
     marks = known.select("fp", "n", "sim", "parities").dropDuplicates(["fp"])
     near = checkpointed(components(_linked(dealt.join(marks, "fp"), dealt, False)).select(F.col("id").alias("fp"), F.col("component").alias("key")))
-    used = known.select("doc_id", "fp").join(near, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    used = checkpointed(known.select("doc_id", "fp").join(near, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     own = shingle_sets(docs, shingle, _map_of(used)).select("fp", "sim", "hashes").join(near, "fp").dropDuplicates(["fp"])
     labels = components(_linked(own, near, True)).select(F.col("id").alias("fp"), F.col("component").alias("label"))
     prints = known.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label"))

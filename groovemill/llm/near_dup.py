@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import checkpointed
+from .scratch import checkpointed, forget, stored
 from .text import slices, text_bytes
 
 RADIUS = 4
@@ -262,9 +262,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star ties each node's larger neighbours to its smallest one, a small star its smaller ones; each keeps
     connectivity, and their fixpoint has all nodes tied to the smallest. Sums before each shuffle and joins that
-    Spark can split keep large stars apart; checkpoints end each round's lineage.
+    Spark can split keep large stars apart; each round is a table of its own.
     """
-    edges = checkpointed(edges.distinct())
+    edges = stored(edges.distinct(), "stars")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -272,7 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where(F.col("a") > F.col("b")).distinct()
-        edges = checkpointed(small)
+        last, edges = edges, stored(small, "stars")
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -25,21 +25,39 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once as a Parquet table and read again: later uses read the table, also after an executor is lost.
 
-    Tables stay until ``clear_stored``.
+    Tables go when the driver ends, or earlier by ``forget`` and ``clear_stored``. Loops take them instead of checkpoints:
+    Spark keeps the estimated size of what it checkpoints and multiplies those of joined tables, round after round.
     """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, files = _folder(spark, _tables(spark))
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    table = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    found = spark.read.schema(df.schema).parquet(table)
+    found.stored_in = table
+    return found
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more."""
+    path, files = _folder(table.sparkSession, table.stored_in)
+    files.delete(path, True)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Removes all tables that this application has stored, once nothing that was made of them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _folder(spark, _tables(spark))
+    files.delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def _planted(rng):
 def test_near_copies_by_all_pairs(spark, rows, monkeypatch, hot):
     monkeypatch.setattr(near_copies, "HOT", hot)
     monkeypatch.setattr(near_dup, "SHARE", 1)  # many cells
+    if hot == 20:
+        monkeypatch.setattr(near_copies, "SHARE", 1)
+        monkeypatch.setattr(near_copies, "HOT_KEY", 10)
+        monkeypatch.setattr(near_copies, "REMEMBERED", 3)
+        monkeypatch.setattr(near_copies, "MOST_BITS", 1 << 10)
     texts = [*rows, *_planted(np.random.default_rng(5))]
     wanted = alike_components(texts)
     assert len(set(wanted.values())) < len(texts) - 100
@@ -63,6 +68,23 @@ def test_near_copies_by_all_pairs(spark, rows, monkeypatch, hot):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wanted.values()))
 
 
+def test_keys_are_counted_alike_in_parts(spark, monkeypatch):
+    rows = [(k, f) for k in range(40) for f in range(k % 7 * 30)] + [(100, f) for f in range(5000)] * 2 + [(101, f) for f in range(5000)]
+    prefixes = spark.createDataFrame(rows, "key long, fp long").repartition(8)
+    whole = {tuple(r) for r in near_copies.shards(prefixes).collect()}
+    assert {k for k, _ in whole} == {1, 2, 3, 4, 5, 6, 100}  # of keys with the same sets the least
+    monkeypatch.setattr(near_copies, "SHARE", 1)
+    monkeypatch.setattr(near_copies, "HOT_KEY", 100)
+    assert {tuple(r) for r in near_copies.shards(prefixes).collect()} == whole
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 10**8, 10**12])
+def test_size_of_the_map(n):
+    bits = near_copies._map_bits(n)
+    assert bits & (bits - 1) == 0 and 1 << 10 <= bits <= near_copies.MOST_BITS and (bits >= 8 * n or bits == near_copies.MOST_BITS)
+    assert 0 <= near_copies._spread(np.array([0, 1, -1, 2**63 - 1]), bits).min() and near_copies._spread(np.array([0, 1, -1, 2**63 - 1]), bits).max() < bits
+
+
 def test_near_copies_of_odd_rows(clashing, none):
     kept = near_copies.keep_one(clashing)
     assert kept.columns == clashing.columns and near_copies.keep_one(none).count() == 0
