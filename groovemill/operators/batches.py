@@ -2,62 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groovemill.sources.checkpoints import forget, stored
+
 #: Longest time from a batch's first arrival to its last.
 SPAN_SECONDS = 3 * 3600
 
 
-def _segments(rows: DataFrame, key: str, span_seconds: int) -> DataFrame:
-    """``rows`` (key, id, seen_at) with ``segment``: a gap longer than the span always starts a batch, so segments between such gaps are independent.
+def next_anchors(times: DataFrame, key: str, span: int) -> DataFrame:
+    """key, at, next: for each of the distinct times (key, at) the first one more than ``span`` later, null if there is none.
 
-    Gaps are found, and segments numbered, within buckets of time and over the buckets.
+    Searched for within buckets of time, as long as the span; beyond a bucket's end the least time of the next one that has any
+    is known from one row for each bucket.
+    """
+    width = max(1, span)
+    bucket = lambda x: F.floor(x / width).cast("long")
+    asked = times.select(key, (F.col("at") + span).alias("time"), F.col("at").alias("asks"))
+    both = times.select(key, F.col("at").alias("time"), F.lit(None).cast("long").alias("asks")).union(asked).withColumn("bucket", bucket(F.col("time")))
+    arrival = F.when(F.col("asks").isNull(), F.col("time"))
+    later = Window.partitionBy(key, "bucket").orderBy(F.col("time").desc(), F.col("asks").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("inside", F.min(arrival).over(later)).where("asks IS NOT NULL")
+    beyond = Window.partitionBy(key).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy(key, "bucket").agg(F.min(arrival).alias("first")).select(key, "bucket", F.min("first").over(beyond).alias("beyond"))
+    return found.join(firsts, [key, "bucket"]).select(key, F.col("asks").alias("at"), F.coalesce("inside", "beyond").alias("next"))
+
+
+def anchors(times: DataFrame, key: str, span: int) -> DataFrame:
+    """key, at of the times (key, at; distinct) at which batches start: each key's first one, and from each the next one beyond the span.
+
+    Found by pointer jumping: a time after a gap longer than the span starts a batch whatever comes before it; from these
+    on, every round follows pointers of twice the length, so there are as many rounds as the number of batches
+    between two gaps has binary digits, and no task reads a key from end to end.
     """
-    second = F.unix_micros(F.col("seen_at").cast("timestamp")) / 1_000_000
-    timed = rows.withColumn("second", second).withColumn("bucket", F.floor(F.col("second") / (8 * max(1, span_seconds))))
-    order = [F.col("seen_at"), F.col("id")]
-    earlier = Window.partitionBy(key).orderBy("bucket")
-    edges = timed.groupBy(key, "bucket").agg(F.max("second").alias("top")).select(key, "bucket", F.lag("top").over(earlier).alias("before"))
-    gap = F.col("second") - F.coalesce(F.lag("second").over(Window.partitionBy(key, "bucket").orderBy(*order)), F.col("before"))
-    cut = timed.join(edges, [key, "bucket"]).withColumn("starts", F.coalesce(gap > span_seconds, F.lit(True)).cast("int"))
-    sums = cut.groupBy(key, "bucket").agg(F.sum("starts").alias("n")).select(key, "bucket", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"))
-    inside = F.sum("starts").over(Window.partitionBy(key, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(sums, [key, "bucket"]).select(key, "id", "seen_at", (F.col("done") + inside).alias("segment"))
+    following = stored(next_anchors(times, key, span), "next")
+    # a time is after a gap if no time is within the span before it: so if it isn't the second of two that are close
+    width = max(1, span)
+    close = times.withColumn("bucket", F.floor(F.col("at") / width).cast("long"))
+    earlier = F.lag("at").over(Window.partitionBy(key, "bucket").orderBy("at"))
+    before = close.groupBy(key, (F.col("bucket") + 1).alias("bucket")).agg(F.max("at").alias("last"))
+    gaps = close.withColumn("earlier", earlier).join(before, [key, "bucket"], "left")
+    found = stored(gaps.where(F.coalesce(F.col("at") - F.coalesce("earlier", "last") > span, F.lit(True))).select(key, "at"), "anchors")
+    steps = stored(following.where("next IS NOT NULL").join(found.withColumnRenamed("at", "next"), [key, "next"], "left_anti").select(key, "at", "next"), "steps")
+    forget(following)
+    while True:
+        reached = stored(found.join(steps, [key, "at"]).select(key, F.col("next").alias("at")), "reached")
+        if reached.isEmpty():
+            forget(reached, steps)
+            return found
+        # two anchors never lead to one: each belongs to one chain
+        wider, longer = stored(found.union(reached), "anchors"), stored(steps.join(steps.select(key, F.col("at").alias("next"), F.col("next").alias("then")), [key, "next"]).select(key, "at", F.col("then").alias("next")), "steps")
+        forget(found, steps, reached)
+        found, steps = wider, longer
 
 
 def anchored_batches(arrivals: DataFrame, key: str, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """key, batch, run_at (last arrival), n, ids (in order of arrival) of each key's batches.
 
-    arrivals: key, id, seen_at. A batch takes arrivals up to ``span_seconds`` after its first one, however small the
-    gaps between them. Each depends on the one before, but only up to the last gap that is longer than the span: arrivals
-    are dealt out by the segments between such gaps and read in order; a task holds no more than the open batch.
+    arrivals: key, id, seen_at. A batch takes arrivals up to ``span_seconds`` after its first one, however small the gaps
+    between them. Arrivals without a time are left out; null keys are a key of their own. A batch is one row, so its arrivals
+    come together; nothing else does.
     """
-    schema = f"{key} {dict(arrivals.dtypes)[key]}, segment long, nth long, run_at timestamp_ntz, n long, ids array<bigint>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, start, last, ids, nth = None, None, None, [], 0
-        for frame in frames:
-            done = []
-            for k, g, i, t in zip(frame[key], frame["segment"], frame["id"], frame["seen_at"], strict=True):
-                same = (k, g) == owner
-                if ids and (not same or (t - start).total_seconds() > span_seconds):
-                    done.append((*owner, nth, last, len(ids), ids))
-                    nth, ids = (nth + 1 if same else 0), []
-                if not ids:
-                    owner, start = (k, g), t
-                ids.append(i)
-                last = t
-            yield pd.DataFrame(done, columns=[key, "segment", "nth", "run_at", "n", "ids"])
-        if ids:
-            yield pd.DataFrame([(*owner, nth, last, len(ids), ids)], columns=[key, "segment", "nth", "run_at", "n", "ids"])
-
-    rows = arrivals.where("seen_at IS NOT NULL").select(key, "id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
-    found = _segments(rows, key, span_seconds).repartition(key, "segment").sortWithinPartitions(key, "segment", "seen_at", "id").mapInPandas(run, schema)
-    return found.withColumn("batch", (F.row_number().over(Window.partitionBy(key).orderBy("segment", "nth")) - 1).cast("long")).select(key, "batch", "run_at", "n", "ids")
+    span = span_seconds * 1_000_000
+    width = max(1, span)
+    own = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("is")))
+    rows = arrivals.where("seen_at IS NOT NULL").select(F.coalesce(own, F.struct(F.lit(None).cast(dict(arrivals.dtypes)[key]).alias("is"))).alias("owner"), "id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), F.unix_micros(F.col("seen_at").cast("timestamp")).alias("at"))
+    starts = anchors(rows.select("owner", "at").distinct(), "owner", span).withColumnRenamed("at", "start")
+    starts = starts.withColumn("batch", (F.row_number().over(Window.partitionBy("owner").orderBy("start")) - 1).cast("long")).withColumn("bucket", F.floor(F.col("start") / width).cast("long"))
+    # anchors are further apart than a bucket is wide: an arrival's is the one of its bucket, or else of the bucket before
+    here = starts.select("owner", "bucket", F.struct("start", "batch").alias("here"))
+    past = starts.select("owner", (F.col("bucket") + 1).alias("bucket"), F.struct("start", "batch").alias("past"))
+    placed = rows.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).join(here.join(past, ["owner", "bucket"], "full_outer"), ["owner", "bucket"])
+    batch = F.when(F.col("here.start") <= F.col("at"), F.col("here.batch")).otherwise(F.col("past.batch"))
+    listed = placed.groupBy("owner", batch.alias("batch")).agg(F.max("seen_at").alias("run_at"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seen_at", "id"))).alias("rows"))
+    return listed.select(F.col("owner.is").alias(key), "batch", "run_at", "n", F.transform("rows", lambda x: x["id"]).alias("ids"))
 
 
 def merge_batches(existing: DataFrame, inferred: DataFrame) -> DataFrame:

@@ -1,23 +1,15 @@
-"""Incremental ingest: new ids only, idempotent batches, and anchored batches of arrivals with state."""
+"""Incremental ingest: new ids only, and idempotent batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from groovemill.operators.batches import SPAN_SECONDS
 from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.documents import exists
 from groovemill.sources.jsonl import BATCH, write_jsonl
 
-BATCHES = "key string, run_at timestamp, n long, ids array<bigint>"
-_STATE = "start timestamp, last timestamp, ids array<bigint>"
-
 
 def unseen(stream: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows of the stream whose key a static table doesn't have yet."""
@@ -29,35 +21,6 @@ def once_per_key(stream: DataFrame, key: str, time: str, late: str = "1 day") ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def anchored_stream(stream: DataFrame, late: str = "10 minutes", span_seconds: int = SPAN_SECONDS) -> DataFrame:
-    """Batches of arrivals (key, id, seen_at): up to ``span_seconds`` from a batch's first arrival, whatever the gaps.
-
-    A batch is given out when a later arrival or the watermark closes it. The state has the open batch only.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, ids = state.get if state.exists else (None, None, [])
-        ids, done = list(ids), []
-        if state.hasTimedOut:
-            done.append((key[0], last, len(ids), ids))
-            state.remove()
-        else:
-            for at, i in sorted((at, i) for frame in frames for at, i in zip(frame["seen_at"], frame["id"], strict=True)):
-                if ids and (at - start).total_seconds() > span_seconds:
-                    done.append((key[0], last, len(ids), ids))
-                    ids = []  # a new list: the closed one is given out
-                if not ids:
-                    start = at
-                ids.append(i)
-                last = at
-            state.update((start, last, ids))
-            closes = int(start.timestamp() * 1000) + span_seconds * 1000
-            state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["key", "run_at", "n", "ids"])
-
-    return stream.withWatermark("seen_at", late).groupBy("key").applyInPandasWithState(run, BATCHES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def write_new_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends all that is there now, then ends; a run with nothing new does nothing, and none is written twice."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -157,32 +158,18 @@ def test_once_per_key(spark, tmp_path):
     folder.mkdir()
     for i, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3), ("c", 4)]]):
         _write(folder / f"{i}.json", "\n".join(json.dumps({"k": k, "at": f"2024-01-01T00:0{m}:00Z"}) for k, m in rows))
+        os.utime(folder / f"{i}.json", (i, i))
     kept = ingest.once_per_key(_stream(spark, folder, "k string, at timestamp"), "k", "at")
     _run(kept.writeStream.format("memory").queryName("once").outputMode("append").start())
     assert sorted(r["k"] for r in spark.table("once").collect()) == ["a", "b", "c"]
 
 
-def test_anchored_stream(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    minutes = [[0, 60, 170], [200, 260], [600], [5000]]
-    n = 0
-    for i, group in enumerate(minutes):
-        lines = []
-        for m in group:
-            lines.append(json.dumps({"key": "a", "id": n, "seen_at": (datetime(2024, 1, 1) + timedelta(minutes=m)).isoformat() + "Z"}))
-            n += 1
-        _write(folder / f"{i}.json", "\n".join(lines))
-    found = ingest.anchored_stream(_stream(spark, folder, "key string, id long, seen_at timestamp"))
-    _run(found.writeStream.format("memory").queryName("anchored").outputMode("append").start())
-    assert sorted(list(r["ids"]) for r in spark.table("anchored").collect()) == [[0, 1, 2], [3, 4], [5]]
-
-
 def test_batches_are_registered_once(spark, tmp_path):
     folder, path, marks = tmp_path / "in", str(tmp_path / "batches"), str(tmp_path / "marks")
     folder.mkdir()
     for i, ids in enumerate([[1, 2], [2, 1, 1], [3]]):
         _write(folder / f"{i}.json", "\n".join(json.dumps({"id": x}) for x in ids))
+        os.utime(folder / f"{i}.json", (i, i))  # files are read by their times
     for _ in range(2):
         _run(ingest.register_batches(_stream(spark, folder, "id long"), path, marks, "id"))
     assert sorted(sorted(r["review_ids"]) for r in spark.read.schema(jsonl.BATCH + ", batch_id long").json(path).collect()) == [[1, 2], [3]]
