@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groovemill.functions.text import csv_field, title_norm, track_key
+from groovemill.sources.checkpoints import forget, stored
 
-#: The largest pool and target that a playlist may have; they bound the one group that fills it.
-MOST_ALBUMS, MOST_TRACKS = 20_000, 100
+#: Most tracks and slots of a playlist.
+MOST_TRACKS, MOST_SLOTS = 100, 2000
 #: Tries for each slot before filling stops.
 TRIES = 20
 #: Tracks per album by place for each spread; later places get one.
@@ -65,8 +65,8 @@ def weighted_sample(pool: DataFrame, k: int, seed: int) -> DataFrame:
     """``pool`` rows of k draws with ``nth`` (from 1) and ``draw``: without replacement, with chances by weight (largest log(u) / weight
     first), as long as there are rows of positive weight; then with replacement, where ``draw`` is null.
 
-    If no weight is positive, all rows have the same. k is at most MOST_TRACKS; draws are found by their place in the
-    weights' running sum, which is taken within blocks of ids and over the blocks.
+    If no weight is positive, all rows have the same. k is at most MOST_TRACKS; draws with replacement are found by their place in the
+    running sum of the weights, of which there are fewer than k.
     """
     if k > MOST_TRACKS:
         raise ValueError(f"at most {MOST_TRACKS} draws")
@@ -103,70 +103,104 @@ def _shuffled(values: Iterable, seed: int) -> list:
     return [v for _, _, v in sorted((((i * 2654435761 + seed) % 1000003), i, v) for i, v in enumerate(values))]
 
 
-def _fill(pool: pd.DataFrame, target: int, seed: int) -> list[tuple[int, str, str]]:
-    """Slots in shuffled order; each takes its album's next unused track, or passes to the next album that has room."""
-    pool = pool.sort_values("place").reset_index(drop=True)
-    tracks = [deque(zip(k, t, s, strict=True)) for k, t, s in zip(pool["keys"], pool["titles"], pool["sources"], strict=True)]
-    slots = deque(_shuffled((i for i, q in enumerate(pool["quota"]) for _ in range(int(q))), seed))
-    used: set[str] = set()
-    taken, picks, tries = [0] * len(pool), [], TRIES * target
-    tried: set[int] = set()
+class _Shelf:
+    """Albums' tracks as filling asks for them: a few lists here, the whole pool in Spark's table ``ranked`` (place, cap, nth, key, title, source).
 
-    def open_track(album: int):
-        """The album's first track that isn't used yet; used ones are dropped for good."""
-        if taken[album] >= pool["cap"][album]:
-            return None
-        while tracks[album] and tracks[album][0][0] in used:
-            tracks[album].popleft()
-        return tracks[album][0] if tracks[album] else None
+    An album that is closed once, as it has given all that it may or all its tracks are used, stays closed. So albums that were
+    asked for after a place need to be asked for again only when all of them are closed.
+    """
 
-    while slots and tries:
-        tries -= 1
-        album = slots[0]
-        track = open_track(album)
-        if track is None:
-            tried.add(album)
-            ring = ((album + step) % len(pool) for step in range(1, len(pool)))
-            other = next((i for i in ring if i not in tried and open_track(i)), None)
-            if other is None:
-                slots.popleft()
-                tried.clear()
-            else:
-                slots[0] = other
-            continue
-        slots.popleft()
-        tried.clear()
-        used.add(track[0])
-        taken[album] += 1
-        picks.append((int(pool["review_id"][album]), track[1], track[2]))
-    return picks
+    def __init__(self, ranked: DataFrame, at_once: int):
+        self.ranked, self.at_once = ranked, at_once
+        self.tracks: dict[int, deque] = {}
+        self.left: dict[int, int] = {}
+        self.after: dict[int, list[int]] = {}
+        self.used: set[str] = set()
+
+    def fetch(self, places: list[int]) -> None:
+        new = [p for p in places if p not in self.tracks]
+        self.tracks |= {p: deque() for p in new}
+        for r in self.ranked.where(F.col("place").isin(new)).orderBy("place", "nth").collect() if new else []:
+            self.tracks[r["place"]].append(r)
+            self.left.setdefault(r["place"], r["cap"])
+
+    def first(self, place: int):
+        """The album's first track that isn't used yet, None if it is closed; used ones are dropped for good."""
+        if not self.left.get(place):
+            return None
+        own = self.tracks[place]
+        while own and own[0]["key"] in self.used:
+            own.popleft()
+        return own[0] if own else None
+
+    def take(self, place: int):
+        track = self.tracks[place].popleft()
+        self.used.add(track["key"])
+        self.left[place] -= 1
+        return track
+
+    def next_open(self, place: int) -> int | None:
+        """The first album after ``place``, from the end on again from the start, that isn't closed."""
+        asked = place not in self.after
+        while True:
+            if asked:
+                full = [p for p, n in self.left.items() if not n]
+                open_ = self.ranked.where((F.col("cap") > 0) & (F.col("place") != place) & ~F.col("place").isin(full) & ~F.col("key").isin(list(self.used)))
+                found = open_.groupBy("place").agg(F.count("*").alias("n")).orderBy(F.col("place") < place, "place").limit(self.at_once).select("place").collect()
+                self.after[place] = [r["place"] for r in found]
+                self.fetch(self.after[place])
+                if not found:
+                    return None
+            other = next((p for p in self.after[place] if self.first(p)), None)
+            if other is not None:
+                return other
+            if asked and len(self.after[place]) < self.at_once:
+                return None
+            asked = True
 
 
 def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """position, review_id, title, source of a playlist of at most ``target`` tracks.
 
-    pool: review_id, artist, place, quota, cap. candidates: review_id, number, title, source. A slot depends on all slots
-    before it, so one task fills them. Its group is bounded before the shuffle: the pool (at most MOST_ALBUMS) and the
-    target (at most MOST_TRACKS) by errors, an album's tracks by how many can be taken or used before (cap and target): its
-    highlights first, then others, both in an order by chance. Quotas above the caps are cut without being dealt out again.
+    pool: review_id, artist, place, quota, cap. candidates: review_id, number, title, source. Slots are filled in an order by
+    chance; each takes its album's next unused track, or passes to the next album of the pool that has room. Quotas above
+    the caps are cut without being dealt out again.
+
+    A slot depends on all slots before it, but a playlist has at most MOST_TRACKS tracks and MOST_SLOTS slots: the driver follows
+    these, and asks Spark for the tracks of the slots' albums, and for the next albums with an unused track where a slot
+    passes on. Of each album as many tracks can matter as can be taken or used before (cap and target): its highlights
+    first, then others, both in an order by chance. The pool and its tracks, of any size, stay in tables.
     """
     if target > MOST_TRACKS:
         raise ValueError(f"a playlist has at most {MOST_TRACKS} tracks")
-    if pool.limit(MOST_ALBUMS + 1).count() > MOST_ALBUMS:
-        raise ValueError(f"a playlist's pool has at most {MOST_ALBUMS} albums")
-    keyed = pool.select("review_id", "artist", "cap").join(candidates, "review_id").withColumn("key", track_key(F.col("artist"), F.col("title")))
+    quotas = pool.select("place", F.least("quota", "cap").alias("quota")).where("quota > 0").orderBy("place").limit(MOST_SLOTS + 1).collect()
+    slots = deque(_shuffled((r["place"] for r in quotas for _ in range(int(r["quota"]))), seed))
+    if len(slots) > MOST_SLOTS:
+        raise ValueError(f"a playlist has at most {MOST_SLOTS} slots")
+    keyed = pool.select("review_id", "artist", "place", "cap").join(candidates, "review_id").withColumn("key", track_key(F.col("artist"), F.col("title")))
     chance = F.crc32(F.concat("key", F.lit(f":{seed}")).cast("binary"))
     order = Window.partitionBy("review_id").orderBy((F.col("source") != "highlight").cast("int"), chance, "key", "number")
     once = keyed.withColumn("same", F.row_number().over(Window.partitionBy("review_id", "key").orderBy((F.col("source") != "highlight").cast("int"), "number"))).where("same = 1")
     first = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("cap") + target)
-    lists = first.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("nth", "key", "title", "source"))).alias("t"))
-    rows = pool.join(lists, "review_id", "left").select("review_id", "place", F.least("quota", "cap").alias("quota"), "cap", *(F.coalesce(f"t.{f}", F.array().cast("array<string>")).alias(f"{f}s") for f in ("key", "title", "source")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        picks = _fill(group, target, seed)
-        return pd.DataFrame([(i + 1, *p) for i, p in enumerate(picks)], columns=["position", "review_id", "title", "source"])
+    ranked = stored(first.select("place", "review_id", "cap", "nth", "key", "title", "source"), "ranked")
 
-    return rows.groupBy(F.lit("all")).applyInPandas(run, "position long, review_id long, title string, source string")
+    shelf = _Shelf(ranked, max(1, target))
+    shelf.fetch(sorted(set(slots)))
+    picks, tries = [], TRIES * target
+    while slots and tries > 0:
+        tries -= 1
+        album = slots.popleft()
+        if shelf.first(album) is None:
+            album = shelf.next_open(album)
+            if album is None:
+                continue
+            if not tries:
+                break
+            tries -= 1
+        track = shelf.take(album)
+        picks.append((len(picks) + 1, track["review_id"], track["title"], track["source"]))
+    forget(ranked)
+    return pool.sparkSession.createDataFrame(picks, "position long, review_id long, title string, source string")
 
 
 def export_csv(playlist: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import effective_rating, overall_score, rating_unit
 from groovemill.operators.scoring import TasteProfile, album_scores, percentile_table, with_percentile
-from groovemill.sources.checkpoints import checkpointed
+from groovemill.sources.checkpoints import checkpointed, stored
 
 
 def corpus_scores(affinities: DataFrame, profile: TasteProfile, of: DataFrame | None = None) -> DataFrame:
@@ -47,9 +47,9 @@ def clamped(bounds: tuple | None, floor: float, cap: float, kind: type = int) ->
     return tuple(sorted((number(low, floor), number(high, cap))))
 
 
-def checked_request(limit: int = 20, offset: int = 0, rounds: int = 1, target: int = 30, exponent: float = 1.0) -> None:
-    """Raises ValueError for what a request may not ask for."""
-    for name, value, low, high in (("limit", limit, 1, 100), ("offset", offset, 0, 20_000), ("rounds", rounds, 1, 20), ("target", target, 1, 100), ("exponent", exponent, 1, 5)):
+def checked_request(limit: int = 20, offset: int = 0, rounds: int = 1, target: int = 30, exponent: float = 1.0, archive_limit: int = 200) -> None:
+    """Raises ValueError for what a request may not ask for; archive_limit: albums of a playlist's pool."""
+    for name, value, low, high in (("limit", limit, 1, 100), ("offset", offset, 0, 20_000), ("archive_limit", archive_limit, 1, 20_000), ("rounds", rounds, 1, 20), ("target", target, 1, 100), ("exponent", exponent, 1, 5)):
         if not low <= value <= high:
             raise ValueError(f"{name} has to be from {low} to {high}")
 
@@ -87,6 +87,19 @@ def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") > offset)
 
 
+def all_ranked(rows: DataFrame) -> DataFrame:
+    """All rows with their rank from 1, best first, from a stored table.
+
+    Rows are dealt out by ranges of the ranking; a range knows its ranks when it is known how many rows the ranges before it have.
+    """
+    dealt = rows.repartitionByRange(*order_keys()).sortWithinPartitions(*order_keys())
+    kept = stored(dealt.withColumns({"q_range": F.spark_partition_id(), "q_at": F.monotonically_increasing_id()}), "ranked")
+    sizes = kept.groupBy("q_range").agg(F.count("*").alias("n"), F.min("q_at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("q_range")) - F.col("n")  # a row for each range
+    shifts = sizes.select("q_range", (before - F.col("first") + 1).alias("q_shift"))
+    return kept.join(shifts, "q_range").withColumn("rank", F.col("q_at") + F.col("q_shift")).drop("q_range", "q_at", "q_shift")
+
+
 def in_order(reviews: DataFrame, affinities: DataFrame, profile: TasteProfile) -> DataFrame:
     """``scored`` reviews of a page with their rank, best first; without a selected community they stay newest first, with scores of 0."""
     if profile.weights:
@@ -97,6 +110,14 @@ def in_order(reviews: DataFrame, affinities: DataFrame, profile: TasteProfile) -
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("review_id").desc())).cast("long"))
 
 
+def archive_pool(rows: DataFrame, archive_limit: int | None = None) -> DataFrame:
+    """Candidates for a playlist with ``place`` from 0: the best ``archive_limit``, as a request may ask for, or all of them."""
+    if archive_limit is None:
+        return all_ranked(rows).withColumn("place", F.col("rank") - 1)
+    checked_request(archive_limit=archive_limit)
+    return page(rows, 0, archive_limit).withColumn("place", F.col("rank") - 1)
+
+
 def page_with_total(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """``page`` with ``total``, the number of all rows; rows are kept by a checkpoint, as both need them."""
     checked_request(limit=limit, offset=offset)

@@ -11,17 +11,16 @@ from groovemill.plans import ranking_queries
 from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
 
-#: Albums of a playlist's pool, its tracks, exponent and seed.
-POOL, TARGET, EXPONENT, SEED = playlist.MOST_ALBUMS, 30, 2.0, 17
+#: Tracks of a playlist, its exponent and seed.
+TARGET, EXPONENT, SEED = 30, 2.0, 17
 THIS_YEAR = 2026
 #: Raw tags by the number of a part's brand.
 TAGS = "Indie Rock|post-punk|Hip-Hop/Rap|2004|british|Drum and Bass|Singer/Songwriter|dream pop|concept album|R&B|alt-country|Electropop; synth-pop|Death Metal|chamber folk|dark|trip hop|Neo-Psychedelia|Latin + World|rock & roll|acid jazz|metalcore, hardcore|emo-folk|jazzrock|soundtrack|Art Pop|Techno|postrock".split("|")
 
 
 def _pool(t: Tables):
-    # all candidates, or the best POOL of them; each step below uses its input twice, so the plan would double with each
-    top = checkpointed(recommend.page(ranking_queries._archive(t), 0, POOL))
-    return playlist.album_weights(top.withColumn("place", F.col("rank") - 1))
+    # all candidates; each step below uses its input twice, so the plan would double with each
+    return playlist.album_weights(checkpointed(recommend.archive_pool(ranking_queries._archive(t))))
 
 
 def album_weights(spark, sf_dir):
@@ -47,7 +46,7 @@ def weighted_sample(spark, sf_dir):
 
 def weighted_draws(spark, sf_dir):
     """More draws than albums with a weight: what is left is drawn with replacement."""
-    orders = Tables(spark, sf_dir).read("orders").where("o_orderkey < 60").select(F.col("o_orderkey").alias("review_id"), F.round(F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(F.col("o_orderkey") / 100), 6).alias("weight"))
+    orders = Tables(spark, sf_dir).read("orders").select(F.col("o_orderkey").alias("review_id"), F.round(F.when(F.col("o_orderkey") >= 60, -1.0).when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(F.col("o_orderkey") / 100), 6).alias("weight"))
     return playlist.weighted_sample(orders, 90, SEED).select("nth", "review_id", F.round("draw", 6).alias("draw"))
 
 
@@ -188,7 +187,7 @@ def html_pages(spark, sf_dir):
     return pages.page_headings(Tables(spark, sf_dir).read("pages"))
 
 
-_POOL = f"""{ranking_queries._ARCHIVE}, top AS (SELECT *, row_number() OVER (ORDER BY {ranking_queries._ORDER}) - 1 AS place FROM archive QUALIFY place < {POOL}),
+_POOL = f"""{ranking_queries._ARCHIVE}, top AS (SELECT *, row_number() OVER (ORDER BY {ranking_queries._ORDER}) - 1 AS place FROM archive),
     pool AS (SELECT *, CASE WHEN sum(greatest(0, overall_score)) OVER () > 0 THEN greatest(0, overall_score) / sum(greatest(0, overall_score)) OVER () ELSE 1.0::DOUBLE / count(*) OVER () END AS w1 FROM top),
     amplified AS (SELECT *, w1 ** {EXPONENT} / sum(w1 ** {EXPONENT}) OVER () AS weight FROM pool)"""
 _SLOTS = f"""{_POOL}, cut AS (SELECT *, round({TARGET} * weight, 9) AS ideal, floor(round({TARGET} * weight, 9))::BIGINT AS floor_slots FROM amplified),
@@ -232,7 +231,7 @@ SQL = {
     "graduated_caps": f"""{_POOL}, n AS (SELECT *, row_number() OVER (ORDER BY round(w1, 9) DESC, place) - 1 AS nth FROM pool)
         SELECT place, review_id, {_CAPS(((1, 4), (3, 3), (7, 2)))} AS deep, {_CAPS(((2, 3), (11, 2)))} AS balanced FROM n""",
     "weighted_sample": f"{_POOL} SELECT row_number() OVER (ORDER BY draw DESC, review_id) AS nth, review_id, round(draw, 6) AS draw FROM (SELECT review_id, ln({_U.format(x='review_id', s=SEED)}) / round(w1, 9) AS draw FROM pool WHERE round(w1, 9) > 0) QUALIFY nth <= 10",
-    "weighted_draws": f"""WITH p AS (SELECT o_orderkey AS review_id, round(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey / 100 END, 6)::DOUBLE AS w FROM orders WHERE o_orderkey < 60), v AS (SELECT * FROM p WHERE w > 0 OR (SELECT max(w) FROM p) = 0),
+    "weighted_draws": f"""WITH p AS (SELECT o_orderkey AS review_id, round(CASE WHEN o_orderkey >= 60 THEN -1 WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey / 100 END, 6)::DOUBLE AS w FROM orders), v AS (SELECT * FROM p WHERE w > 0 OR (SELECT max(w) FROM p) = 0),
         f AS (SELECT row_number() OVER (ORDER BY ln({_U.format(x="review_id", s=SEED)}) / w DESC, review_id) AS nth, review_id, round(ln({_U.format(x="review_id", s=SEED)}) / w, 6) AS draw FROM v QUALIFY nth <= 90),
         c AS (SELECT review_id, sum(w) OVER (ORDER BY review_id) AS high, sum(w) OVER (ORDER BY review_id) - w AS low, sum(w) OVER () AS total FROM v), n AS (SELECT count(*) AS n FROM v),
         e AS (SELECT nth, {_U.format(x="nth", s=SEED + 1)} AS u FROM n, range(1, 91) r(nth) WHERE nth > n)

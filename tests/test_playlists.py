@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from groovemill.functions.text import track_key
-from groovemill.operators import playlist, scoring, taste
+from groovemill.operators import playlist, recommend, scoring, taste
 from groovemill.plans import album_queries, taste_queries
 
 
@@ -72,11 +72,34 @@ def test_playlist_fill_passes_slots_on(spark):
         playlist.fill_playlist(pool, spark.createDataFrame(candidates, "review_id long, number long, title string, source string"), 101)
 
 
-def test_too_large_a_pool_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(playlist, "MOST_ALBUMS", 3)
-    pool = spark.range(5).selectExpr("id AS review_id", "'x' AS artist", "id AS place", "1L AS quota", "1L AS cap")
+def test_fill_asks_again_when_albums_close(spark, monkeypatch):
+    """Many albums have the same track, so that one pick closes all of them; slots pass on over them and past the end."""
+    albums = [(i, f"artist{i // 6 if i < 24 else i}", i, 4 if i in (3, 27) else 0, 4 if i == 3 else 1) for i in range(30)]
+    titles = {3: ["x", "y"], 27: ["a", "b"], 28: ["c"], 29: []}
+    candidates = [(i, n, t, "fallback" if n % 2 else "highlight") for i, *_ in albums for n, t in enumerate(titles.get(i, ["same"] if i < 24 else [f"t{i}"]))]
+    pool = spark.createDataFrame(albums, "review_id long, artist string, place long, quota long, cap long")
+    df = spark.createDataFrame(candidates, "review_id long, number long, title string, source string")
+    tracks = defaultdict(list)
+    for i, n, title, source in candidates:
+        tracks[i].append((f"{albums[i][1]}::{title}", title, source, n))
+    small, once = playlist._Shelf.__init__, playlist._Shelf
+    for seed in range(3):
+        wanted = _plain_fill([(a[0], a[2], a[3], a[4]) for a in albums], tracks, 20, seed)
+        for at_once in (20, 2):
+            monkeypatch.setattr(once, "__init__", lambda self, ranked, n, at_once=at_once: small(self, ranked, at_once))
+            assert [(r["review_id"], r["title"], r["source"]) for r in sorted(playlist.fill_playlist(pool, df, 20, seed).collect())] == wanted
     with pytest.raises(ValueError):
-        playlist.fill_playlist(pool, spark.createDataFrame([], "review_id long, number long, title string, source string"), 2)
+        playlist.fill_playlist(pool.selectExpr("review_id", "artist", "place", "3000L AS quota", "3000L AS cap"), df, 20)
+
+
+def test_pool_of_a_request(spark):
+    rows = spark.range(50).selectExpr("id AS review_id", "id % 7 / 7D AS overall_score", "0.5D AS score")
+    every = [r["review_id"] for r in recommend.archive_pool(rows).orderBy("place").collect()]
+    assert every == [i for _, i in sorted(((-(i % 7), -i) for i in range(50)))] or every == sorted(range(50), key=lambda i: (-(i % 7), -i))
+    assert [r["review_id"] for r in recommend.archive_pool(rows, 9).orderBy("place").collect()] == every[:9]
+    for bad in (0, 20_001):
+        with pytest.raises(ValueError):
+            recommend.archive_pool(rows, bad)
 
 
 def test_draws_of_weights_that_are_all_zero(spark):
