@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groovemill.functions.text import repair_cp1252, strip
 from groovemill.operators.batches import last_wins
@@ -117,3 +118,26 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
+
+
+def review_lines(reviews: DataFrame) -> DataFrame:
+    """``value``: reviews as lines of JSON with all fields of REVIEW, as ``read_reviews`` reads them.
+
+    Fields that ``reviews`` doesn't have are null; lists and ``extra`` are empty instead of null; times are in UTC, with
+    fractions of a second where there are any. Further columns are left out.
+    """
+    empty = {"labels": F.array(), "tracklist": F.array(), "highlights": F.array(), "references": F.array(), "extra": F.create_map()}
+    fields = T.StructType.fromDDL(REVIEW)
+    known = {f.name: (F.col(f.name) if f.name in reviews.columns else F.lit(None)).cast(f.dataType) for f in fields}
+    for name, nothing in empty.items():
+        known[name] = F.coalesce(known[name], nothing.cast(fields[name].dataType))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), known["first_seen_at"].cast("timestamp_ntz"))
+    known["first_seen_at"] = F.replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"), F.lit(".000000"), F.lit(""))
+    known["release_date"] = known["release_date"].cast("string")
+    return reviews.select(F.to_json(F.struct(*(c.alias(n) for n, c in known.items())), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_reviews(reviews: DataFrame, path: str, append: bool = False) -> None:
+    """Reviews as lines of JSON, in ranges of their ids."""
+    ranged = reviews.repartitionByRange("id").sortWithinPartitions("id")
+    review_lines(ranged).write.mode("append" if append else "overwrite").text(path)

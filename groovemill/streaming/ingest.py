@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from groovemill.sources import versions
 from groovemill.sources.checkpoints import checkpointed
-from groovemill.sources.documents import exists
-from groovemill.sources.jsonl import BATCH, write_jsonl
 
 
 def unseen(stream: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -26,19 +25,24 @@ def write_new_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def register_batch(rows: DataFrame, batch_id: int, path: str, key: str) -> None:
-    """Appends the batch's distinct ids to the folder of batches (run_at, review_ids, batch_id) as JSON lines.
+def register_batch(rows: DataFrame, batch_id: int, path: str, key: str, stream: str = "batches") -> None:
+    """Appends the batch's distinct ids to the versioned registry of batches (run_at, review_ids) as JSON lines, whole or not at all.
 
     Nothing is written if the batch has no ids, has been registered before (a batch may be delivered twice), or the latest
-    batch has the same ids. A batch's ids are one row, as the registry's readers expect.
+    batch has the same ids, also where another writer commits meanwhile. A batch's ids are one row, as the registry's
+    readers expect.
     """
     spark = rows.sparkSession
-    new = rows.where(F.col(key).isNotNull()).agg(F.array_sort(F.collect_set(key)).alias("review_ids")).where(F.size("review_ids") > 0).select(F.current_timestamp().alias("run_at"), "review_ids", F.lit(batch_id).cast("long").alias("batch_id"))
-    if exists(spark, path):
-        stored = spark.read.schema(f"{BATCH}, batch_id long").json(path)
-        latest = stored.orderBy(F.col("run_at").desc(), F.col("batch_id").desc()).limit(1).select(F.array_sort("review_ids").alias("review_ids"))
-        new = new.join(stored.select("batch_id"), "batch_id", "left_anti").join(latest, "review_ids", "left_anti").select("run_at", "review_ids", "batch_id")
-    write_jsonl(checkpointed(new).where("batch_id >= 0"), path, append=True)
+    new = checkpointed(rows.where(F.col(key).isNotNull()).agg(F.array_sort(F.collect_set(key)).alias("review_ids")).where(F.size("review_ids") > 0).select(F.current_timestamp().alias("run_at"), "review_ids"))
+
+    def with_new(known: DataFrame | None) -> DataFrame | None:
+        if new.isEmpty() or known is None:
+            return None if new.isEmpty() else new
+        latest = known.orderBy(F.col("run_at").desc()).limit(1).select(F.array_sort("review_ids").alias("review_ids"))
+        added = new.join(latest, "review_ids", "left_anti").select("run_at", "review_ids")
+        return None if added.isEmpty() else known.unionByName(added)
+
+    versions.replace(spark, path, with_new, "json", (stream, batch_id))
 
 
 def register_batches(stream: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groovemill.operators import batches, pages
-from groovemill.sources import documents, jsonl
+from groovemill.sources import documents, jsonl, versions
 from groovemill.streaming import ingest
 
 
@@ -172,9 +172,11 @@ def test_batches_are_registered_once(spark, tmp_path):
         os.utime(folder / f"{i}.json", (i, i))  # files are read by their times
     for _ in range(2):
         _run(ingest.register_batches(_stream(spark, folder, "id long"), path, marks, "id"))
-    assert sorted(sorted(r["review_ids"]) for r in spark.read.schema(jsonl.BATCH + ", batch_id long").json(path).collect()) == [[1, 2], [3]]
-    ingest.register_batch(spark.createDataFrame([(3,)], "id long"), 2, path, "id")  # the same batch delivered again
-    assert spark.read.schema(jsonl.BATCH).json(path).count() == 2
+    assert sorted(sorted(r["review_ids"]) for r in versions.read(spark, path).collect()) == [[1, 2], [3]]
+    ingest.register_batch(spark.createDataFrame([(4,)], "id long"), 2, path, "id")  # a batch of this number again
+    ingest.register_batch(spark.createDataFrame([(3,)], "id long"), 3, path, "id")  # the same ids again
+    ingest.register_batch(spark.createDataFrame([(None,)], "id long"), 4, path, "id")
+    assert versions.read(spark, path).count() == 2 and versions.read(spark, path).columns == ["run_at", "review_ids"]
 
 
 def test_kept_until_the_files_change(spark, tmp_path):
