@@ -149,19 +149,38 @@ def described_communities(edges: DataFrame, memberships: DataFrame, k: int = 10)
     return listed.join(memberships.groupBy("community").agg(F.count("*").alias("size")), "community").select("community", "centroid", "size", "top_artists")
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
-    """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().where("src <> dst")
-    both = stored(both, "edges")
-    seen = stored(sources.select(F.col("artist").alias("source"), "artist", F.lit(0).cast("long").alias("hops")).distinct(), "hops")
-    front = seen
+def reached_bits(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
+    """artist, word, bits, hops: which of the sources (nth from 0, artist) reach an artist first in so many steps over undirected edges.
+
+    Bit i of word w stands for source 64 * w + i. All sources go at once: in each level an artist is a row for each word that any
+    source is new in, and a step is one join and a bitwise sum, so a level keeps no more rows than artists times words,
+    whatever the sources.
+    """
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().where("src <> dst"), "edges")
+    own = F.expr("shiftleft(1L, CAST(nth % 64 AS INT))")
+    front = stored(sources.groupBy("artist", F.floor(F.col("nth") / 64).cast("long").alias("word")).agg(F.bit_or(own).alias("bits")), "front")
+    levels, seen = [front.withColumn("hops", F.lit(0).cast("long"))], front
     for hop in range(1, cutoff + 1):
-        step = front.join(both, front["artist"] == both["src"]).select("source", F.col("dst").alias("artist")).distinct()
-        front = stored(step.join(seen, ["source", "artist"], "left_anti").withColumn("hops", F.lit(hop).cast("long")), "hops")
+        sent = front.withColumnRenamed("artist", "src").join(both, "src").groupBy(F.col("dst").alias("artist"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = seen.withColumnRenamed("bits", "known")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        front = stored(sent.join(known, ["artist", "word"], "left").select("artist", "word", fresh.alias("bits")).where("bits <> 0"), "front")
         if front.isEmpty():
             break
-        seen = stored(seen.union(front), "hops")
-    return seen
+        levels.append(front.withColumn("hops", F.lit(hop).cast("long")))
+        seen = stored(seen.union(front).groupBy("artist", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.union(level)
+    return found
+
+
+def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
+    """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set."""
+    named = stored(sources.select("artist").distinct().withColumn("nth", (F.row_number().over(Window.orderBy("artist")) - 1).cast("long")), "sources")
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    each = reached_bits(edges, named, cutoff).select("artist", "hops", "word", F.explode(set_).alias("bit"))
+    return each.withColumn("nth", F.col("word") * 64 + F.col("bit")).join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "artist", "hops")
 
 
 def community_distances(hops: DataFrame, members: DataFrame) -> DataFrame:

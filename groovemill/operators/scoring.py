@@ -33,14 +33,23 @@ class TasteProfile:
         return spark.createDataFrame([(c, DEFAULT_WEIGHT if w is None else min(1.0, max(0.0, float(w)))) for c, w in sorted(self.weights.items())], "community string, weight double")
 
 
-def percentile_table(df: DataFrame, value: str, out: str, width: float = 1e-3) -> DataFrame:
-    """p_key and its percentile among all rows of ``df``: average ranks of ties, rescaled to 0 to 1. One row, or all equal, give 1.
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """p_key (the value, rounded), n: how many rows have it. Counts of parts of a table add up to those of the whole."""
+    return df.groupBy(F.round(F.col(value), KEY_DIGITS).alias("p_key")).agg(F.count("*").alias("n"))
+
+
+def changed_counts(counts: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """Counts (p_key, n) without those of what is gone and with those of what is new; only the changed rows need to be read for them."""
+    parts = counts.select("p_key", "n").union(gone.select("p_key", -F.col("n"))).union(new.select("p_key", "n"))
+    return parts.groupBy("p_key").agg(F.sum("n").alias("n")).where("n > 0")
+
 
-    There is a row for each distinct (rounded) value. They are counted once and kept by a checkpoint; ranks are sums
-    within ranges of ``width`` and over the ranges, so that no task sees all values.
+def percentiles(counts: DataFrame, out: str, width: float = 1e-3) -> DataFrame:
+    """p_key and its percentile by counts (p_key, n; read several times): average ranks of ties, rescaled to 0 to 1. One row, or all equal, give 1.
+
+    Ranks are sums within ranges of ``width`` and over the ranges, so that no task sees all values.
     """
-    counts = df.groupBy(F.round(F.col(value), KEY_DIGITS).alias("p_key")).agg(F.count("*").alias("n"))
-    counts = checkpointed(counts.withColumn("range", F.floor(F.col("p_key") / width)))
+    counts = counts.withColumn("range", F.floor(F.col("p_key") / width))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.groupBy("range").agg(F.sum("n").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("earlier"))
     ends = counts.agg(((F.min_by("n", "p_key") + 1) / 2).alias("low"), (F.sum("n") - (F.max_by("n", "p_key") - 1) / 2).alias("high"))
@@ -50,6 +59,11 @@ def percentile_table(df: DataFrame, value: str, out: str, width: float = 1e-3) -
     return ranked.select("p_key", F.when(F.col("high") <= F.col("low"), F.lit(1.0)).otherwise((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low"))).alias(out))
 
 
+def percentile_table(df: DataFrame, value: str, out: str, width: float = 1e-3) -> DataFrame:
+    """``percentiles`` of a column's values, of which there is a row for each distinct one; they are counted once and kept by a checkpoint."""
+    return percentiles(checkpointed(value_counts(df, value)), out, width)
+
+
 def with_percentile(df: DataFrame, value: str, table: DataFrame) -> DataFrame:
     """``df`` with the percentile that ``percentile_table`` has for the value."""
     return df.join(table, F.round(F.col(value), KEY_DIGITS) == F.col("p_key"), "left").drop("p_key")

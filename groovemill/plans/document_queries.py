@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groovemill.operators import batches, genres, pages, quality
 from groovemill.plans import album_queries, graph_queries, taste_queries
-from groovemill.sources import documents, jsonl
+from groovemill.sources import documents, jsonl, versions
 from groovemill.sources.checkpoints import checkpointed, shared_folder
 from groovemill.sources.domain import Tables, with_views
 
@@ -80,12 +80,32 @@ def review_documents(spark, sf_dir):
     """Texts in which a decoder has left C1 controls, some blank, one line broken; written as lines and read as typed reviews."""
     path = _path(spark, "reviews")
     rows = Tables(spark, sf_dir).read("documents")
-    text = F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.concat(F.lit("\x93"), F.coalesce(F.substring("text", 1, 80), F.lit(""))))
+    text = F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.concat(F.lit("\x93"), F.coalesce("text", F.lit(""))))
     lines = F.to_json(F.struct(F.col("doc_id").alias("id"), F.lit("u").alias("url"), F.coalesce("source", F.lit("x")).alias("artist"), F.col("lang").alias("album"), text.alias("text"), F.array(F.col("lang")).alias("labels"), (F.col("doc_id") % 11).alias("rating"), F.array(F.struct(F.lit(1).alias("number"), F.lit("t").alias("title"))).alias("tracklist"), F.create_map(F.lit("k"), F.col("source")).alias("extra")))
     rows.select(F.when(F.col("doc_id") % 13 == 0, "{broken").otherwise(lines).alias("value")).write.text(path)
     return jsonl.read_reviews(spark, path).select("id", "album", "text", "rating", F.size("labels").alias("n_labels"), F.size("tracklist").alias("n_tracks"))
 
 
+def reviews_saved(spark, sf_dir):
+    """Reviews saved as typed lines and read again."""
+    path = _path(spark, "saved")
+    rows = Tables(spark, sf_dir).read("documents")
+    reviews = rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.col("source").alias("artist"), F.col("lang").alias("album"), "text", F.when(F.col("doc_id") % 2 == 0, F.array("lang")).alias("labels"), (F.col("n_chars") / 8).alias("rating"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int")).alias("release_date"))
+    jsonl.write_reviews(reviews, path)
+    return jsonl.read_reviews(spark, path).select("id", "url", "artist", "album", F.sha2("text", 256).alias("text_sha256"), F.size("labels").alias("n_labels"), "rating", F.col("release_date").cast("string").alias("release_date"))
+
+
+def versioned_upsert(spark, sf_dir):
+    """Orders committed as a table in versions: those that aren't a third, then an upsert of every second, and a batch that is delivered twice."""
+    path = _path(spark, "versioned")
+    orders = Tables(spark, sf_dir).read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("first_seen"))
+    new = orders.where("id % 2 = 0").withColumn("status", F.lit("new")).withColumn("first_seen", F.lit("2030-01-01").cast("timestamp_ntz"))
+    for _ in range(2):
+        versions.append(orders.where("id % 3 <> 0"), path, batch=("orders", 0))
+    versions.replace(spark, path, lambda known: batches.upsert(known, new, "id", "first_seen"))
+    return versions.read(spark, path)
+
+
 def review_ids(spark, sf_dir):
     path = _path(spark, "ids")
     rows = Tables(spark, sf_dir).read("orders").select(F.when(F.col("o_orderkey") % 5 == 0, "[1, 2]").when(F.col("o_orderkey") % 7 == 0, "  ").otherwise(F.format_string('{"id": %d}', F.col("o_orderkey") % 1000)).alias("value"))
@@ -116,7 +136,7 @@ def log_fallback(spark, sf_dir):
 def batch_append(spark, sf_dir):
     """Batches of each order day written and read in order; the last one again, with ids repeated and turned around, adds none, another one does."""
     path, t = _path(spark, "batches"), Tables(spark, sf_dir)
-    days = t.read("orders").where("o_orderkey % 10 = 0").groupBy(F.to_date("o_orderdate").cast("timestamp").alias("run_at")).agg(F.array_sort(F.collect_set("o_orderkey")).alias("review_ids"))
+    days = t.read("orders").groupBy(F.to_date("o_orderdate").cast("timestamp").alias("run_at")).agg(F.array_sort(F.collect_set("o_orderkey")).alias("review_ids"))
     jsonl.write_jsonl(days, path)
     stored = jsonl.read_batches(spark, path)
     latest = checkpointed(stored.orderBy(F.col("run_at").desc()).limit(1))
@@ -201,6 +221,11 @@ _PAGE = (
 )
 
 
+def _words(text: str):
+    """The letters and digits of a whole text, one space between runs of them."""
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " "))
+
+
 def _pages(t: Tables):
     d = F.col("doc_id")
     day = F.when(d % 3 == 0, F.format_string("%02d.%02d.%d", d % 28 + 1, d % 12 + 1, d % 30 + 1990)).when(d % 3 == 1, (d % 30 + 1990).cast("string")).otherwise("31.02.2001")
@@ -212,7 +237,7 @@ def _pages(t: Tables):
         "rating": F.when(d % 2 == 0, "7,5").otherwise((d % 10).cast("string")),
         "title": F.concat(F.lit("Title "), d.cast("string")),
         "author": F.concat(F.lit("Author "), (d % 7).cast("string")),
-        "body": F.concat(F.lit("Body "), d.cast("string")),
+        "body": F.concat(F.lit("Body "), d.cast("string"), F.lit(" "), _words("text")),
         "ref": F.when(d % 4 == 0, "wilco").otherwise(F.concat(F.lit("Ref "), (d % 5).cast("string"))),
     }
     parts, rest = [], _PAGE
@@ -258,12 +283,15 @@ SQL = {
         SELECT artist_key, total_albums, main_genres, n_genres FROM profiles JOIN n USING (artist_key) JOIN (SELECT {graph_queries._KEY} AS artist_key, count(DISTINCT review_id) AS total_albums FROM metadata GROUP BY 1) USING (artist_key)""",
     "metadata_document": f"{with_views('metadata')} SELECT review_id, mbid AS artist_mbid, array_to_string(genres, ',') AS genres FROM metadata WHERE review_id % 2 = 0",
     "images_document": """WITH l AS (SELECT user_id, arg_max(event_type, (event_type = 'click', ts)) AS status FROM events WHERE event_type IN ('view', 'click') GROUP BY 1) SELECT 'mb' || user_id AS artist_mbid, 'Artist ' || user_id % 7 AS artist_name, status FROM l""",
-    "review_documents": """SELECT doc_id AS id, lang AS album, '“' || translate(coalesce(substr(text, 1, 80), ''), chr(146), '’') AS text, (doc_id % 11)::DOUBLE AS rating, 1 AS n_labels, 1 AS n_tracks FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 13 <> 0""",
+    "review_documents": """SELECT doc_id AS id, lang AS album, '“' || translate(coalesce(text, ''), chr(146), '’') AS text, (doc_id % 11)::DOUBLE AS rating, 1 AS n_labels, 1 AS n_tracks FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 13 <> 0""",
+    "reviews_saved": """SELECT doc_id AS id, 'u' || doc_id AS url, source AS artist, lang AS album, sha256(text) AS text_sha256, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_labels, n_chars / 8 AS rating,
+        CAST(DATE '2000-01-01' + (doc_id % 9000)::INT AS DATE)::VARCHAR AS release_date FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\\s]')""",
+    "versioned_upsert": album_queries.SQL["upsert_reviews"],
     "review_ids": "SELECT DISTINCT o_orderkey % 1000 AS id FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0",
     "log_batches": f"""{with_views("reviews")}, {_MONTHS} SELECT strftime(m, '%Y-%m-%d %H:%M:%S') || CASE WHEN month(m) % 2 = 0 THEN '.678' ELSE '.000' END AS run_at, string_agg(DISTINCT review_id, ',' ORDER BY review_id) AS review_ids
         FROM months JOIN reviews ON review_id BETWEEN low AND high WHERE month(m) <> 5 AND review_id % 3 <> 0 GROUP BY m""",
     "log_fallback": f"""{with_views("reviews")} SELECT '{NOW}' AS run_at, string_agg(DISTINCT review_id, ',' ORDER BY review_id) AS review_ids FROM (VALUES (1, 40), (60, 90)) v(low, high) JOIN reviews ON review_id BETWEEN low AND high GROUP BY low""",
-    "batch_append": f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders WHERE o_orderkey % 10 = 0) SELECT strftime(day, '%Y-%m-%d') AS day, string_agg(DISTINCT o_orderkey, ',' ORDER BY o_orderkey) AS review_ids FROM d GROUP BY d.day
+    "batch_append": f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders) SELECT strftime(day, '%Y-%m-%d') AS day, string_agg(DISTINCT o_orderkey, ',' ORDER BY o_orderkey) AS review_ids FROM d GROUP BY d.day
         UNION ALL SELECT '{NOW[:10]}', '3,1'""",
     "favorites_list": f"""WITH {_FAVORITES} SELECT user_id, review_id, row_number() OVER (PARTITION BY user_id ORDER BY saved_at DESC, review_id DESC) AS place FROM s WHERE (user_id, review_id) NOT IN (SELECT (user_id, review_id) FROM r WHERE event_type = 'view')""",
     "favorites_inserted": f"""{with_views("reviews")}, {_FAVORITES} SELECT user_id, count(DISTINCT review_id) AS inserted FROM r WHERE event_type = 'purchase' AND review_id IN (SELECT review_id FROM reviews) AND (user_id, review_id) NOT IN (SELECT (user_id, review_id) FROM s) GROUP BY 1""",
@@ -275,13 +303,13 @@ SQL = {
     "html_reviews": """SELECT doc_id AS page_id, 'Band ' || doc_id % 50 AS artist, 'Record - ' || doc_id AS album, CASE WHEN doc_id % 2 = 0 THEN 'Sony|Sub Label|Partner|Other' ELSE 'Own' END AS labels, 'song two|Song 3' AS highlights,
         CASE WHEN doc_id % 4 = 0 THEN 'wilco' ELSE 'Ref ' || doc_id % 5 || '|Wilco' END AS refs, CASE WHEN doc_id % 3 = 0 THEN printf('%04d-%02d-%02d', doc_id % 30 + 1990, doc_id % 12 + 1, doc_id % 28 + 1) END AS release_date,
         CAST(CASE WHEN doc_id % 3 = 2 THEN 2001 ELSE doc_id % 30 + 1990 END AS INT) AS release_year, CASE WHEN doc_id % 2 = 0 THEN 7.5 ELSE doc_id % 10 END::DOUBLE AS rating, 7.0::DOUBLE AS user_rating, 'Title ' || doc_id AS title, 'Author ' || doc_id % 7 AS author,
-        'First paragraph' || chr(10) || chr(10) || 'Body ' || doc_id AS text, '1:Song One:false|2:Song Two:true|3:Song 3:true' AS tracks, '45:00' AS total_duration FROM documents WHERE doc_id % 11 <> 5 AND doc_id % 10 <> 7""",
+        'First paragraph' || chr(10) || chr(10) || trim('Body ' || doc_id || ' ' || trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))) AS text, '1:Song One:false|2:Song Two:true|3:Song 3:true' AS tracks, '45:00' AS total_duration FROM documents WHERE doc_id % 11 <> 5 AND doc_id % 10 <> 7""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
-        memberships_document, affinities_document, communities_document, labels_document, categories_document, profiles_document, metadata_document, images_document, review_documents, review_ids,
+        memberships_document, affinities_document, communities_document, labels_document, categories_document, profiles_document, metadata_document, images_document, review_documents, reviews_saved, versioned_upsert, review_ids,
         log_batches, log_fallback, batch_append, favorites_list, favorites_inserted, next_ids, metadata_modes, dq_all, dq_report, html_reviews,
     )
 }

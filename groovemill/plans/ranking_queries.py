@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import best_year, bias_to_weight, fit_display, fit_level, weight_to_bias
 from groovemill.functions.text import excerpt
-from groovemill.operators import affinity, recommend, scoring
-from groovemill.sources.checkpoints import checkpointed
+from groovemill.operators import affinity, recommend, scorebook, scoring
+from groovemill.sources.checkpoints import checkpointed, shared_folder
 from groovemill.sources.domain import Tables, with_views
 
 PROFILE = scoring.TasteProfile(weights={"C001": 1.0, "C005": 0.5, "C009": 0.25})
@@ -43,6 +45,17 @@ def breadth_percentile(spark, sf_dir):
     return scoring.with_percentile(scores, "n_eff", scoring.percentile_table(scores, "n_eff", "breadth_pct")).select("review_id", *_r("breadth_pct"))
 
 
+def score_book(spark, sf_dir):
+    """Percentiles kept between two runs: the first has two thirds of the albums, some with but one community; the second gets only albums that are new or changed."""
+    path = f"{shared_folder(spark)}/book-{uuid.uuid4().hex}"
+    every = checkpointed(_affinities(Tables(spark, sf_dir)))
+    first = every.where("review_id % 3 <> 0 AND (review_id % 5 <> 0 OR community = 'C001')")
+    scorebook.update(spark, path, first, first.select("review_id"), PROFILE, 1)
+    changed = every.where("review_id % 3 = 0 OR review_id % 5 = 0")
+    scorebook.update(spark, path, changed, changed.select("review_id"), PROFILE, 2)
+    return scorebook.scores(spark, path).select("review_id", *_r("fit_pct", "breadth_pct"))
+
+
 def batch_max_norm(spark, sf_dir):
     scores = scoring.album_scores(_affinities(Tables(spark, sf_dir)), PROFILE.selected(spark))
     normed = scoring.batch_max_norm(scores, "best", "best_norm")
@@ -188,11 +201,12 @@ SQL = {
         SELECT doc_id, t, length(t) AS n, 300 - strpos(reverse(substr(t, 1, 300)), ' ') - CASE WHEN contains(substr(t, 1, 300), ' ') THEN 0 ELSE 1000 END AS last FROM (
         SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_TEXT}', '€‚ƒ„…†‡ˆ‰š‹Œž‘’“”•–—˜™š›œžŸ'), '^\\s+|\\s+$', '', 'g') AS t FROM documents))""",
 }
+SQL["score_book"] = f"SELECT * FROM ({SQL['style_fit_percentile']}) JOIN ({SQL['breadth_percentile']}) USING (review_id)"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        style_diversity, style_fit_percentile, breadth_percentile, batch_max_norm, archive_recommendations, archive_page, archive_filtered, newest_ranked, newest_pool, community_tags, label_filter, release_year_bounds,
+        style_diversity, style_fit_percentile, breadth_percentile, score_book, batch_max_norm, archive_recommendations, archive_page, archive_filtered, newest_ranked, newest_pool, community_tags, label_filter, release_year_bounds,
         score_histogram, score_summary, highlights, weight_mapping, text_repair_excerpt,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -56,6 +57,20 @@ def _modularity(edges, label):
     return inside / total - sum(v * v for v in volume.values()) / (2 * total) ** 2
 
 
+def test_distances_from_more_sources_than_a_word_has_bits(spark):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(120), rng.randrange(120)) for _ in range(150)})
+    edges = spark.createDataFrame([(f"a{a:03}", f"a{b:03}", 1.0) for a, b in pairs], "src string, dst string, weight double")
+    sources = [f"a{i:03}" for i in range(0, 120)] + ["nowhere"]
+    got = {(r["source"], r["artist"]): r["hops"] for r in graph.hop_distances(edges, spark.createDataFrame([(x,) for x in sources + sources[:5]], "artist string"), 4).collect()}
+    wanted = {}
+    for x in sources:
+        wanted |= {(x, y): h for y, h in _distances([(f"a{a:03}", f"a{b:03}") for a, b in pairs], x).items() if h <= 4}
+    assert got == wanted
+    bits = graph.reached_bits(edges, spark.createDataFrame([(x, i) for i, x in enumerate(sources)], "artist string, nth long"), 4)
+    assert max(r["count"] for r in bits.groupBy("hops", "word").count().collect()) <= 121
+
+
 BLOCKS = [(f"{c}{i}", f"{c}{j}", 1.0 + 0.1 * ((i * j) % 3)) for c in "abcd" for i in range(5) for j in range(i)] + [("a0", "b0", 0.5), ("b1", "a2", 0.7), ("c0", "d0", 2.5), ("d1", "c1", 2.0), ("z", "z", 3.0), ("a0", "a0", 1.0)]
 
 

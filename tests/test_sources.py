@@ -194,6 +194,19 @@ def test_kept_until_the_files_change(spark, tmp_path):
     assert cache.kept(spark, "all", folder, build).count() == 5 and len(built) == 2
 
 
+def test_kept_results_of_ended_applications_go(spark, tmp_path, monkeypatch):
+    from groovemill.sources import cache
+
+    folder = str(tmp_path / "files")
+    spark.range(3).write.parquet(folder)
+    monkeypatch.setitem(cache._KEPT, ("ended", "all", folder), (cache.signature(spark, folder), None))
+    assert cache.kept(spark, "all", folder, lambda: spark.read.parquet(folder)).count() == 3
+    monkeypatch.setattr(cache, "MOST", 2)
+    for name in ("b", "c"):
+        cache.kept(spark, name, folder, lambda: spark.range(1))
+    assert [k[1] for k in cache._KEPT] == ["b", "c"] and all(k[0] != "ended" for k in cache._KEPT)
+
+
 def test_bounds_of_requests():
     from groovemill.operators import recommend
 
