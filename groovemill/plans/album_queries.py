@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groovemill.functions.tags import GENRES, NO_STYLE_PARTS, NO_STYLES
 from groovemill.functions.text import track_key
-from groovemill.operators import batches, genres, lookups, names, pages, playlist, quality, recommend
+from groovemill.operators import batches, genres, lookups, name_index, names, pages, playlist, quality, recommend
 from groovemill.plans import ranking_queries
 from groovemill.sources.checkpoints import checkpointed
 from groovemill.sources.domain import Tables, with_views
@@ -166,6 +166,24 @@ def name_match(spark, sf_dir):
     return lookups.matched(rows.withColumn("found", found), "asked", "found", "same").select("s_suppkey", "asked", "found", "same")
 
 
+def _written_names(t: Tables):
+    key, name = F.col("c_custkey"), F.col("c_name")
+    return t.read("customer").select(F.when(key % 3 == 0, F.concat(F.lit("The "), F.upper(name))).when(key % 3 == 1, F.concat(name, F.lit(" and Friends"))).otherwise(F.reverse(name)).alias("text"))
+
+
+def name_pairs(spark, sf_dir):
+    """Customers' names and other ways in which they are written, met by an index of their words."""
+    t = Tables(spark, sf_dir)
+    return name_index.same_artists(t.read("customer").select(F.col("c_name").alias("name")), _written_names(t), "name", "text")
+
+
+def names_in_texts(spark, sf_dir):
+    """Nations' names that stand in names of suppliers' pictures."""
+    t = Tables(spark, sf_dir)
+    titles = t.read("supplier").join(t.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("s_name", F.lit(" "), F.when(F.col("s_suppkey") % 3 == 0, F.lower("n_name")).when(F.col("s_suppkey") % 3 == 1, F.col("n_name")).otherwise(F.reverse("n_name"))).alias("text"))
+    return name_index.names_in_texts(t.read("nation").select(F.col("n_name").alias("name")), titles)
+
+
 def _images(t: Tables):
     key = F.col("c_custkey")
     rows = t.read("customer").select("c_custkey", F.col("c_name").alias("artist"), F.when(key % 2 == 0, F.concat(F.lit("mb"), "c_custkey")).alias("mbid"), F.when(key % 3 == 0, "group").alias("artist_type"), F.get(F.array(*map(F.lit, ("wikidata_p18", "commons_search", "member_fallback"))), (key % 3).cast("int")).alias("source"))
@@ -262,6 +280,7 @@ SQL = {
         SELECT n_reviews, n_missing, n_missing / greatest(n_reviews, 1) AS rate, n_missing / greatest(n_reviews, 1) > 0.5 AS too_low, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 15)) AS sample_ids FROM c""",
     "label_buckets": f"{with_views('reviews')} SELECT label, count(*) AS n, count(*) > 350 AS frequent FROM reviews WHERE label IS NOT NULL GROUP BY 1",
     "tag_to_genre": _tag_sql(),
+    "name_pairs": "SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'The ' || upper(c_name) ELSE c_name || ' and Friends' END AS text FROM customer WHERE c_custkey % 3 < 2",
     "image_targets": f"""{with_views("metadata")}, k AS (SELECT coalesce(nullif(trim(mbid), ''), 'name:' || lower(trim(artist))) AS lookup_key, * FROM metadata),
         n AS (SELECT lookup_key, arg_min(trim(artist), review_id) AS artist, count(*) AS review_count FROM k GROUP BY 1), g AS (SELECT lookup_key, string_agg(DISTINCT genre, ',' ORDER BY genre) AS genres FROM (SELECT lookup_key, unnest(genres) AS genre FROM k) GROUP BY 1)
         SELECT lookup_key, artist, coalesce(genres, '') AS genres, review_count FROM n LEFT JOIN g USING (lookup_key)""",
@@ -271,6 +290,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         album_weights, stratified_slots, graduated_caps, weighted_sample, weighted_draws, track_candidates, playlist_fill, playlist_export, playlist_text, integer_percents, anchored_batches, batch_merge, last_wins, upsert_reviews,
-        favorites_merge, incremental_new_ids, missing_runs, dq_review_stats, dq_findings, dq_severity, dq_coverage, label_buckets, tag_to_genre, name_match, image_confidence, image_targets, html_pages,
+        favorites_merge, incremental_new_ids, missing_runs, dq_review_stats, dq_findings, dq_severity, dq_coverage, label_buckets, tag_to_genre, name_match, name_pairs, names_in_texts, image_confidence, image_targets, html_pages,
     )
 }

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from groovemill.operators import lookups, names
+from groovemill.operators import lookups, name_index, names
 from groovemill.plans import album_queries, lookup_queries
 from groovemill.sources.domain import Tables
 
@@ -96,3 +96,26 @@ def test_answers(spark):
 def test_dict_genres_keep_order(spark):
     row = spark.range(1).select(lookups.dict_genres(lookup_queries.F.array(*map(lookup_queries.F.lit, (" Hip-Hop", "nothing", "indie", "hip hop", "Indie Rock")))).alias("g")).first()
     assert row["g"] == ["hip_hop", "indie_rock"]
+
+
+def _pairs(found):
+    return {(r["name"], r["text"]) for r in found.collect()}
+
+
+def test_index_finds_what_all_pairs_find(spark, sf_dir):
+    t = album_queries.Tables(spark, sf_dir)
+    asked = [r["c_name"] for r in t.read("customer").select("c_name").collect()] + ["The Beatles", "Beatles", "Bon & Iver", "a", "the", "", "Sigur Rós", "Motörhead", "Yes", "Straße", "Iron and Wine", "Wine"]
+    texts = [r["text"] for r in album_queries._written_names(t).collect()] + ["THE BEATLES live", "beatles", "Bon and Iver", "the", "Sigur Ros", "Motorhead", "oh yes", "Yes", "STRASSE", "Iron & Wine", "iron and wine tour 2004", "!!!", ""]
+    rows = lambda values, name: spark.createDataFrame([(v,) for v in [*values, None, *values[:3]]], f"{name} string")
+    got = _pairs(name_index.same_artists(rows(asked, "name"), rows(texts, "text"), "name", "text"))
+    assert got == {(a, b) for a in asked for b in texts if names.same_artist(a, b)} and len(got) > 60
+    inside = _pairs(name_index.names_in_texts(rows(asked, "name"), rows(texts, "text")))
+    assert inside == {(a, b) for a in asked for b in texts if names.in_text(a, b)} and ("Yes", "oh yes") not in inside
+
+
+def test_names_in_titles_by_all_pairs(spark, sf_dir):
+    t = album_queries.Tables(spark, sf_dir)
+    nations = {r["n_nationkey"]: r["n_name"] for r in t.read("nation").collect()}
+    write = {0: str.lower, 1: str, 2: lambda x: x[::-1]}
+    titles = {f"{r['s_name']} {write[r['s_suppkey'] % 3](nations[r['s_nationkey']])}" for r in t.read("supplier").collect()}
+    assert _pairs(album_queries.names_in_texts(spark, sf_dir)) == {(n, x) for n in nations.values() for x in titles if names.in_text(n, x)}

@@ -22,7 +22,7 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, con, name):
 
 
 #: Queries without SQL, and the tests that compare their rows with plain versions.
-ELSEWHERE = {"modular_communities": "test_graph", "playlist_fill": "test_playlists", "photo_ranks": "test_playlists", "name_match": "test_names", "image_confidence": "test_names", "html_pages": "test_graph"}
+ELSEWHERE = {"modular_communities": "test_graph", "playlist_fill": "test_playlists", "photo_ranks": "test_playlists", "name_match": "test_names", "names_in_texts": "test_names", "image_confidence": "test_names", "html_pages": "test_graph"}
 
 
 def test_queries_without_sql_have_a_plain_version():
