@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groovemill.operators import batches, genres, pages, quality
 from groovemill.plans import album_queries, graph_queries, taste_queries
-from groovemill.sources import documents, jsonl, versions
+from groovemill.sources import documents, jsonl, sample_corpus, versions
 from groovemill.sources.checkpoints import checkpointed, shared_folder
 from groovemill.sources.domain import Tables, with_views
 
@@ -106,6 +106,15 @@ def versioned_upsert(spark, sf_dir):
     return versions.read(spark, path)
 
 
+def sample_reviews(spark, sf_dir):
+    """The sample corpus as large as the table of orders' keys, read by their bounds, beside each order."""
+    orders = Tables(spark, sf_dir).read("orders").select((F.col("o_orderkey") + 1).alias("order_id"), F.col("o_totalprice").alias("price"))
+    ends = orders.agg(F.min("order_id").alias("low"), F.max("order_id").alias("high")).first()
+    corpus = sample_corpus.read(spark, "reviews", ends["high"] or 0, 8).where(F.col("id") >= (ends["low"] or 0))
+    best = sample_corpus.read(spark, "affinities", ends["high"] or 0, 8).where("share > 0.5").select("id", "community")
+    return orders.join(corpus, F.col("order_id") == F.col("id")).join(best, "id").select("id", "artist", "album", "release_year", "rating", "community", F.round("price", 2).alias("price"))
+
+
 def review_ids(spark, sf_dir):
     path = _path(spark, "ids")
     rows = Tables(spark, sf_dir).read("orders").select(F.when(F.col("o_orderkey") % 5 == 0, "[1, 2]").when(F.col("o_orderkey") % 7 == 0, "  ").otherwise(F.format_string('{"id": %d}', F.col("o_orderkey") % 1000)).alias("value"))
@@ -286,6 +295,8 @@ SQL = {
     "review_documents": """SELECT doc_id AS id, lang AS album, '“' || translate(coalesce(text, ''), chr(146), '’') AS text, (doc_id % 11)::DOUBLE AS rating, 1 AS n_labels, 1 AS n_tracks FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 13 <> 0""",
     "reviews_saved": """SELECT doc_id AS id, 'u' || doc_id AS url, source AS artist, lang AS album, sha256(text) AS text_sha256, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_labels, n_chars / 8 AS rating,
         CAST(DATE '2000-01-01' + (doc_id % 9000)::INT AS DATE)::VARCHAR AS release_date FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\\s]')""",
+    "sample_reviews": """WITH o AS (SELECT o_orderkey + 1 AS id, o_totalprice FROM orders) SELECT id, printf('Sample Artist %02d', id * 31 % 97) AS artist, 'Album ' || id AS album, (1997 + id * 7 % 27)::INT AS release_year, 5 + (id % 11) / 2 AS rating,
+        printf('C%03d', id % 4 + 1) AS community, round(o_totalprice, 2) AS price FROM o""",
     "versioned_upsert": album_queries.SQL["upsert_reviews"],
     "review_ids": "SELECT DISTINCT o_orderkey % 1000 AS id FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0",
     "log_batches": f"""{with_views("reviews")}, {_MONTHS} SELECT strftime(m, '%Y-%m-%d %H:%M:%S') || CASE WHEN month(m) % 2 = 0 THEN '.678' ELSE '.000' END AS run_at, string_agg(DISTINCT review_id, ',' ORDER BY review_id) AS review_ids
@@ -309,7 +320,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        memberships_document, affinities_document, communities_document, labels_document, categories_document, profiles_document, metadata_document, images_document, review_documents, reviews_saved, versioned_upsert, review_ids,
+        memberships_document, affinities_document, communities_document, labels_document, categories_document, profiles_document, metadata_document, images_document, review_documents, reviews_saved, versioned_upsert, sample_reviews, review_ids,
         log_batches, log_fallback, batch_append, favorites_list, favorites_inserted, next_ids, metadata_modes, dq_all, dq_report, html_reviews,
     )
 }

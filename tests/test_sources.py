@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groovemill.operators import batches, pages
-from groovemill.sources import documents, jsonl, versions
+from groovemill.sources import documents, jsonl, sample_corpus, versions
 from groovemill.streaming import ingest
 
 
@@ -215,3 +215,23 @@ def test_bounds_of_requests():
     for bad in ({"limit": 0}, {"limit": 101}, {"rounds": 21}, {"target": 0}, {"exponent": 6}, {"offset": -1}):
         with pytest.raises(ValueError):
             recommend.checked_request(**bad)
+
+
+@pytest.mark.parametrize("table", ["reviews", "metadata", "affinities", "communities"])
+def test_sample_corpus_is_the_same_in_any_partitions(spark, table):
+    plain = sorted(r for i in range(1, 31) for r in sample_corpus.rows_of(table, i))
+    for partitions in (1, 3, 100):
+        df = sample_corpus.read(spark, table, 30, partitions)
+        assert sorted(tuple(list(v) if isinstance(v, list) else v for v in r) for r in df.collect()) == plain
+        assert df.rdd.getNumPartitions() == min(partitions, 30)
+    assert sample_corpus.read(spark, table, 0).count() == 0
+
+
+def test_sample_corpus_makes_only_what_is_asked_for(spark):
+    df = sample_corpus.read(spark, "reviews", 10**12, 5)  # would never end
+    assert sorted(r["id"] for r in df.where("id > 10 AND id <= 13 AND artist <> ''").collect()) == [11, 12, 13]
+    assert sorted(r["id"] for r in df.where("id IN (5, 999999999999, -1)").where("id >= 6").collect()) == [999999999999]
+    assert df.where("id = 7").count() == 1 and df.where("id < 1").count() == 0
+    assert [r["id"] for r in sample_corpus.newest(df.where("id <= 40"), 2).collect()] == [40, 39]
+    with pytest.raises(Exception, match="table"):
+        sample_corpus.read(spark, "other").count()
