@@ -1,175 +1,174 @@
-"""Reviews from saved HTML pages."""
+"""Reviews and headings from saved HTML pages.
+
+A page becomes two arrays, its elements with the range of the page that each covers, and its pieces of text. What stands where
+is then asked by Spark's own functions: an element is in another if it starts within its range.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from datetime import date
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groovemill.functions.text import strip
+
+ELEMENTS = "array<struct<at: int, end: int, above: int, tag: string, id: string, classes: array<string>>>"
+STRINGS = "array<struct<at: int, text: string>>"
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SCHEMA = "artist string, album string, labels array<string>, release_date date, release_year int, rating double, user_rating double, title string, author string, text string, tracks array<struct<number:int,title:string,is_highlight:boolean>>, highlights array<string>, total_duration string, refs array<string>"
 
 
-class Element:
-    """A tag with its attributes and children; texts are children as well."""
+class _Parts(HTMLParser):
+    """Numbers elements and pieces of text as they come; an element ends where the next thing outside of it starts."""
 
-    def __init__(self, tag: str, attributes: dict[str, str | None]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self):
+        super().__init__()
+        self.at, self.elements, self.strings, self.open = 0, [], [], []
 
-    def walk(self) -> Iterator[Element]:
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+    def _next(self) -> int:
+        self.at += 1
+        return self.at
 
-    def all(self, tag: str, name: str | None = None, kind: str | None = None) -> list[Element]:
-        return [e for e in self.walk() if e.tag == tag and (name is None or e.attributes.get("id") == name) and (kind is None or kind in e.classes())]
+    def _close(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            element["end"] = self.at + 1
+        del self.open[depth:]
 
-    def first(self, tag: str, name: str | None = None, kind: str | None = None) -> Element | None:
-        return next(iter(self.all(tag, name, kind)), None)
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "li") and self.open and self.open[-1]["tag"] == tag:
+            self._close(-1)
+        known = dict(reversed(attrs))
+        above = self.open[-1]["at"] if self.open else 0
+        element = {"at": self._next(), "end": None, "above": above, "tag": tag, "id": known.get("id"), "classes": (known.get("class") or "").split()}
+        self.elements.append(element)
+        self.open.append(element)
+        if tag in _EMPTY:
+            self._close(-1)
 
-    def classes(self) -> list[str]:
-        return (self.attributes.get("class") or "").split()
+    def handle_endtag(self, tag):
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth]["tag"] == tag:
+                self._close(depth)
+                break
 
-    def strings(self) -> list[str]:
-        found = []
-        for child in self.children:
-            found += child.strings() if isinstance(child, Element) else [child.strip()]
-        return [s for s in found if s]
+    def handle_data(self, data):
+        at = self._next()
+        if text := data.strip():
+            self.strings.append({"at": at, "text": text})
 
-    def text(self, between: str = "") -> str:
-        return between.join(self.strings()).strip()
 
+def page_parts(page: str | None) -> tuple[list[dict], list[dict]]:
+    """Elements and pieces of text of a page in their order."""
+    parts = _Parts()
+    parts.feed(page or "")
+    parts.close()
+    parts._close(0)
+    return parts.elements, parts.strings
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.open = [Element("", {})]
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.open[-1].tag == tag:
-            self.open.pop()
-        element = Element(tag, dict(attrs))
-        self.open[-1].children.append(element)
-        if tag not in _EMPTY:
-            self.open.append(element)
+def with_parts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id, elements and strings of pages (page_id, html)."""
 
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                break
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        element = pa.struct([("at", pa.int32()), ("end", pa.int32()), ("above", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string()))])
+        for batch in batches:
+            found = [page_parts(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in found], pa.list_(element)), pa.array([s for _, s in found], pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))], names=["page_id", "elements", "strings"])
 
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def parse_tree(html: str) -> Element:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.open[0]
-
-
-def _number(text: str) -> float | None:
-    found = re.match(r"\d+(?:[.,]\d+)?", text)
-    return float(found[0].replace(",", ".")) if found else None
-
-
-def _release(parts: list[str]) -> tuple[date | None, int | None]:
-    day = year = None
-    for part in parts:
-        if found := re.search(r"(\d{1,2})\.(\d{1,2})\.(\d{4})", part):
-            year = int(found[3])
-            try:
-                day = date(year, int(found[2]), int(found[1]))
-            except ValueError:
-                pass
-        elif found := re.search(r"\b(\d{4})\b", part):
-            year = int(found[1])
-    return day, year
-
-
-def _tracks(box: Element) -> list[str]:
-    discs = box.first("ul")
-    if discs is None:
-        lists = [box.first("ol")]
-    else:
-        lists = [e.first("ol") for e in discs.children if isinstance(e, Element) and e.tag == "li"]
-    return [t for ol in lists if ol for li in ol.all("li") if (t := li.text(" "))]
-
-
-def parse_review(html: str | None) -> dict | None:
-    """The fields of a review page; None without the review's container, artist, album or text."""
-    page = parse_tree(html or "").first("div", name="rezension")
-    head = page and next((b for b in page.all("div", kind="headerbox") if b.first("h1")), None)
-    body = page and page.first("div", name="rezitext")
-    if not head or not body:
-        return None
-    artist, dash, album = head.first("h1").text().partition(" - ")
-    paragraphs = [p.text(" ") for p in body.all("p") if "autor" not in p.classes()]
-    text = "\n\n".join(p for p in paragraphs if p)
-    if not dash or not artist.strip() or not album.strip() or not text:
-        return None
-    facts = next((p.strings() for p in head.all("p") if "bewertung" not in p.classes()), [])
-    day, year = _release(facts[1:])
-    ratings: dict[str, float | None] = {"Unsere": None, "Eure": None}
-    for p in head.all("p", kind="bewertung"):
-        value = _number(p.first("strong").text()) if p.first("strong") else None
-        whose = next((w for w in ratings if w in p.text(" ")), None)
-        if whose and value is not None:
-            ratings[whose] = value
-    title, author = body.first("h2"), body.first("p", kind="autor")
-    texts = lambda box, tag: [t for e in (box.all(tag) if box else []) if (t := e.text())]
-    liked = texts(page.first("div", name="rezihighlights"), "li")
-    box = page.first("div", name="rezitracklist")
-    titles = _tracks(box) if box else []
-    length = re.search(r"\d{1,3}:\d{2}", box.first("p").text(" ")) if box and box.first("p") else None
-    named = texts(page.first("div", name="reziref"), "a")
-    loud, refs = {t.lower() for t in liked}, {}
-    for name in named:
-        refs.setdefault(name.lower(), name)
-    return {
-        "artist": artist.strip(),
-        "album": album.strip(),
-        "labels": [x.strip() for x in re.split("[/,;]", facts[0]) if x.strip()] if facts else [],
-        "release_date": day,
-        "release_year": year,
-        "rating": ratings["Unsere"],
-        "user_rating": ratings["Eure"],
-        "title": title.text() if title else None,
-        "author": (author.text().strip("() ").strip() or None) if author else None,
-        "text": text,
-        "tracks": [{"number": i + 1, "title": t, "is_highlight": t.lower() in loud} for i, t in enumerate(titles)],
-        "highlights": liked,
-        "total_duration": length[0] if length else None,
-        "refs": list(refs.values()),
-    }
+    return pages.select("page_id", html).mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, elements {ELEMENTS}, strings {STRINGS}")
 
 
-def parse_reviews(pages: DataFrame) -> DataFrame:
-    """page_id and the fields of ``parse_review`` of pages (page_id, html) that are reviews."""
+def _all(tag: str, box: Column | None = None, name: str | None = None, kind: str | None = None, not_kind: str | None = None) -> Column:
+    """The elements of a tag within a box, in their order."""
 
-    @F.pandas_udf(f"ok boolean, {SCHEMA}")
-    def parse(html: pd.Series) -> pd.DataFrame:
-        names = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", SCHEMA)]
-        rows = [parse_review(h) for h in html]
-        return pd.DataFrame([{"ok": r is not None, **(r or dict.fromkeys(names))} for r in rows], columns=["ok", *names])
+    def fits(x: Column) -> Column:
+        found = x["tag"] == tag
+        if box is not None:
+            found &= (x["at"] > box["at"]) & (x["at"] < box["end"])
+        if name is not None:
+            found &= F.coalesce(x["id"] == name, F.lit(False))
+        if kind is not None:
+            found &= F.array_contains(x["classes"], kind)
+        return found & ~F.array_contains(x["classes"], not_kind) if not_kind is not None else found
 
-    return pages.select("page_id", parse("html").alias("r")).where("r.ok").select("page_id", *(f"r.{c.split(' ')[0]}" for c in re.split(r", (?=\w+ )", SCHEMA)))
+    return F.filter("elements", fits)
 
 
-def page_headings(pages: DataFrame) -> DataFrame:
-    """page_id, title, n_paragraphs, n_links of any page."""
+def _first(tag: str, box: Column | None = None, **having) -> Column:
+    return F.get(_all(tag, box, **having), F.lit(0))
+
+
+def _strings(box: Column) -> Column:
+    return F.transform(F.filter("strings", lambda s: (s["at"] > box["at"]) & (s["at"] < box["end"])), lambda s: s["text"])
+
+
+def _text(box: Column, between: str = "") -> Column:
+    return F.array_join(_strings(box), between)
+
+
+def _texts(boxes: Column, between: str = "") -> Column:
+    return F.filter(F.transform(boxes, lambda b: _text(b, between)), lambda t: t != "")
 
-    @F.pandas_udf("title string, n_paragraphs long, n_links long")
-    def parse(html: pd.Series) -> pd.DataFrame:
-        trees = [parse_tree(h or "") for h in html]
-        return pd.DataFrame({"title": [t.first("title").text() if t.first("title") else None for t in trees], "n_paragraphs": [len(t.all("p")) for t in trees], "n_links": [len(t.all("a")) for t in trees]})
 
-    return pages.select("page_id", parse("html").alias("r")).select("page_id", "r.*")
+def _last(values: Column) -> Column:
+    return F.element_at(F.concat(F.array(F.lit(None)), F.array_compact(values)), -1)
+
+
+def parse_reviews(pages: DataFrame) -> DataFrame:
+    """page_id and the review's fields of pages (page_id, html) that have a review's container, artist, album and text."""
+    c = F.col
+    box = with_parts(pages).withColumn("page", _first("div", name="rezension")).where("page IS NOT NULL")
+    heads = F.filter(_all("div", c("page"), kind="headerbox"), lambda b: F.size(_all("h1", b)) > 0)
+    box = box.withColumns({"head": F.get(heads, F.lit(0)), "body": _first("div", c("page"), name="rezitext"), "list": _first("div", c("page"), name="rezitracklist")}).where("head IS NOT NULL AND body IS NOT NULL")
+    liked = F.coalesce(_texts(_all("li", _first("div", c("page"), name="rezihighlights"))), F.array().cast("array<string>"))
+    named = F.coalesce(_texts(_all("a", _first("div", c("page"), name="reziref"))), F.array().cast("array<string>"))
+    discs = _first("ul", c("list"))
+    lists = F.when(discs.isNull(), F.array(_first("ol", c("list")))).otherwise(F.transform(F.filter("elements", lambda x: (x["tag"] == "li") & (x["above"] == discs["at"])), lambda li: _first("ol", li)))
+    titles = F.flatten(F.transform(F.array_compact(lists), lambda ol: _texts(_all("li", ol), " ")))
+    read = box.withColumns(
+        {
+            "h1": _text(_first("h1", c("head"))),
+            "text": F.array_join(_texts(_all("p", c("body"), not_kind="autor"), " "), "\n\n"),
+            "facts": F.coalesce(_strings(_first("p", c("head"), not_kind="bewertung")), F.array().cast("array<string>")),
+            "marks": F.transform(_all("p", c("head"), kind="bewertung"), lambda p: F.struct(_text(p, " ").alias("says"), F.replace(F.nullif(F.regexp_extract(_text(_first("strong", p)), r"^\d+(?:[.,]\d+)?", 0), F.lit("")), F.lit(","), F.lit(".")).cast("double").alias("value"))),
+            "title": F.when(_first("h2", c("body")).isNotNull(), _text(_first("h2", c("body")))),
+            "author": F.nullif(strip(F.btrim(_text(_first("p", c("body"), kind="autor")), F.lit("() "))), F.lit("")),
+            "highlights": liked,
+            "named": named,
+            "titles": F.coalesce(titles, F.array().cast("array<string>")),
+            "total_duration": F.nullif(F.regexp_extract(_text(_first("p", c("list")), " "), r"\d{1,3}:\d{2}", 0), F.lit("")),
+        }
+    )
+    later = F.slice(c("facts"), 2, F.greatest(F.size("facts") - 1, F.lit(0)))
+    dmy = lambda x, i: F.nullif(F.regexp_extract(x, r"(\d{1,2})\.(\d{1,2})\.(\d{4})", i), F.lit(""))
+    day = lambda x: F.concat_ws("-", dmy(x, 3), F.lpad(dmy(x, 2), 2, "0"), F.lpad(dmy(x, 1), 2, "0")).try_cast("date")
+    year = lambda x: F.coalesce(dmy(x, 3), F.nullif(F.regexp_extract(x, r"\b(\d{4})\b", 1), F.lit(""))).cast("int")
+    mark = lambda whose: _last(F.transform(F.filter("marks", whose), lambda m: m["value"]))
+    loud = F.transform("highlights", F.lower)
+    lower = F.transform("named", F.lower)
+    found = read.select(
+        "page_id",
+        strip(F.substring_index("h1", " - ", 1)).alias("artist"),
+        F.when(F.contains("h1", F.lit(" - ")), strip(F.expr("substring(h1, instr(h1, ' - ') + 3)"))).alias("album"),
+        F.when(F.size("facts") > 0, F.filter(F.transform(F.split(F.get("facts", F.lit(0)), "[/,;]"), strip), lambda x: x != "")).otherwise(F.array().cast("array<string>")).alias("labels"),
+        _last(F.transform(later, day)).alias("release_date"),
+        _last(F.transform(later, year)).alias("release_year"),
+        mark(lambda m: F.contains(m["says"], F.lit("Unsere"))).alias("rating"),
+        mark(lambda m: F.contains(m["says"], F.lit("Eure")) & ~F.contains(m["says"], F.lit("Unsere"))).alias("user_rating"),
+        "title",
+        "author",
+        "text",
+        F.transform("titles", lambda t, i: F.struct((i + 1).alias("number"), t.alias("title"), F.array_contains(loud, F.lower(t)).alias("is_highlight"))).alias("tracks"),
+        "highlights",
+        "total_duration",
+        F.filter("named", lambda x, i: F.array_position(lower, F.lower(x)) == i + 1).alias("refs"),
+    )
+    return found.where("artist <> '' AND album <> '' AND text <> ''")
+
+
+def page_headings(pages: DataFrame) -> DataFrame:
+    """page_id, title, n_paragraphs, n_links of any page."""
+    title = _first("title")
+    return with_parts(pages).select("page_id", F.when(title.isNotNull(), _text(title)).alias("title"), F.size(_all("p")).cast("long").alias("n_paragraphs"), F.size(_all("a")).cast("long").alias("n_links"))
