@@ -24,12 +24,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _path(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -54,6 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: computed once, and read from a stored table from then on."""
+    return stored(df, "checkpoint")
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes stored tables that nothing reads any more."""
     for table in tables:

@@ -155,7 +155,7 @@ def answered_lookups(events: DataFrame, ttl_days: float = TTL_DAYS) -> DataFrame
     kind: ``ask``, or what a lookup came back with, ``found`` (image) or ``not_found``. answer: ``cached`` if an image is known,
     ``blocked`` if nothing was found less than ``ttl_days`` before, else ``resolve``. Events of one artist are taken by
     time, those of a micro-batch together; a question at the time of a result comes before it. What wasn't found leaves
-    the state by its time to live.
+    the state by its time to live, by the clock; a query by the clock runs until it is stopped, also with ``availableNow``.
     """
     timed = events.where("artist IS NOT NULL AND at IS NOT NULL").select("artist", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "kind", "image")
     found = timed.groupBy("artist").transformWithStateInPandas(_Missing(int(ttl_days * 86_400 * 1_000_000)), "artist string, at long, answer string, image string", "append", "processingtime")

@@ -30,15 +30,20 @@ def _at(minute):
     return (START + timedelta(minutes=minute)).isoformat()
 
 
-def _fed(spark, folder, files, schema, made, name):
-    """The rows that ``made`` gives for files of rows, read one file after the other."""
+def _fed(spark, folder, files, schema, made, name, ends=True):
+    """The rows that ``made`` gives for files of rows, read one file after the other; queries by the clock don't end by themselves."""
     folder.mkdir()
     for i, rows in enumerate(files):
         (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
         os.utime(folder / f"{i}.json", (i + 1, i + 1))  # files are read by their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    query = made(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(folder) + "-marks").trigger(availableNow=True).start()
-    query.awaitTermination(180)
+    sink = made(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(folder) + "-marks")
+    if ends:
+        assert sink.trigger(availableNow=True).start().awaitTermination(180)
+    else:
+        query = sink.start()
+        query.processAllAvailable()
+        query.stop()
     return spark.table(name).collect()
 
 
@@ -98,7 +103,7 @@ def test_lookups_that_found_nothing_expire(spark, tmp_path):
         _events(("x", 31, "ask", None), ("y", 400, "ask", None), (None, 3, "ask", None)),
         _events(("x", 32, "not_found", None), ("x", 33, "ask", None), ("x", 34, "found", "q.jpg"), ("x", 35, "not_found", None), ("x", 36, "ask", None)),
     ]
-    got = _fed(spark, tmp_path / "in", files, EVENTS, stateful.answered_lookups, "lookups")
+    got = _fed(spark, tmp_path / "in", files, EVENTS, stateful.answered_lookups, "lookups", ends=False)
     day = lambda r: round((r["at"].replace(tzinfo=timezone.utc) - START) / timedelta(days=1), 1)
     assert sorted((r["artist"], day(r), r["answer"], r["image"]) for r in got) == [
         ("x", 0.0, "resolve", None), ("x", 2.0, "blocked", None), ("x", 30.9, "blocked", None), ("x", 31.0, "resolve", None), ("x", 33.0, "blocked", None), ("x", 36.0, "cached", "q.jpg"),
