@@ -119,26 +119,33 @@ def _last(values: Column) -> Column:
 def parse_reviews(pages: DataFrame) -> DataFrame:
     """page_id and the review's fields of pages (page_id, html) that have a review's container, artist, album and text."""
     c = F.col
+    # elements that others are looked up in are columns first, as an expression would be evaluated for each element again
+    none = F.array().cast("array<string>")
     box = with_parts(pages).withColumn("page", _first("div", name="rezension")).where("page IS NOT NULL")
     heads = F.filter(_all("div", c("page"), kind="headerbox"), lambda b: F.size(_all("h1", b)) > 0)
-    box = box.withColumns({"head": F.get(heads, F.lit(0)), "body": _first("div", c("page"), name="rezitext"), "list": _first("div", c("page"), name="rezitracklist")}).where("head IS NOT NULL AND body IS NOT NULL")
-    liked = F.coalesce(_texts(_all("li", _first("div", c("page"), name="rezihighlights"))), F.array().cast("array<string>"))
-    named = F.coalesce(_texts(_all("a", _first("div", c("page"), name="reziref"))), F.array().cast("array<string>"))
-    discs = _first("ul", c("list"))
-    lists = F.when(discs.isNull(), F.array(_first("ol", c("list")))).otherwise(F.transform(F.filter("elements", lambda x: (x["tag"] == "li") & (x["above"] == discs["at"])), lambda li: _first("ol", li)))
-    titles = F.flatten(F.transform(F.array_compact(lists), lambda ol: _texts(_all("li", ol), " ")))
-    read = box.withColumns(
+    parts = {"body": "rezitext", "list": "rezitracklist", "likes": "rezihighlights", "names": "reziref"}
+    box = box.withColumns({"head": F.get(heads, F.lit(0)), **{to: _first("div", c("page"), name=name) for to, name in parts.items()}}).where("head IS NOT NULL AND body IS NOT NULL")
+    marks = F.transform(_all("p", c("head"), kind="bewertung"), lambda p: F.struct(p.alias("p"), _first("strong", p).alias("strong")))
+    box = box.withColumns(
         {
-            "h1": _text(_first("h1", c("head"))),
+            "h1": _first("h1", c("head")), "fact": _first("p", c("head"), not_kind="bewertung"), "marked": marks, "h2": _first("h2", c("body")), "by": _first("p", c("body"), kind="autor"),
+            "discs": _first("ul", c("list")), "ol": _first("ol", c("list")), "length": _first("p", c("list")),
+        }
+    )
+    own = F.filter("elements", lambda x: (x["tag"] == "li") & (x["above"] == c("discs")["at"]))
+    lists = F.when(c("discs").isNull(), F.array("ol")).otherwise(F.transform(own, lambda li: _first("ol", li)))
+    read = box.withColumn("lists", F.array_compact(lists)).withColumns(
+        {
+            "heading": _text(c("h1")),
             "text": F.array_join(_texts(_all("p", c("body"), not_kind="autor"), " "), "\n\n"),
-            "facts": F.coalesce(_strings(_first("p", c("head"), not_kind="bewertung")), F.array().cast("array<string>")),
-            "marks": F.transform(_all("p", c("head"), kind="bewertung"), lambda p: F.struct(_text(p, " ").alias("says"), F.replace(F.nullif(F.regexp_extract(_text(_first("strong", p)), r"^\d+(?:[.,]\d+)?", 0), F.lit("")), F.lit(","), F.lit(".")).cast("double").alias("value"))),
-            "title": F.when(_first("h2", c("body")).isNotNull(), _text(_first("h2", c("body")))),
-            "author": F.nullif(strip(F.btrim(_text(_first("p", c("body"), kind="autor")), F.lit("() "))), F.lit("")),
-            "highlights": liked,
-            "named": named,
-            "titles": F.coalesce(titles, F.array().cast("array<string>")),
-            "total_duration": F.nullif(F.regexp_extract(_text(_first("p", c("list")), " "), r"\d{1,3}:\d{2}", 0), F.lit("")),
+            "facts": F.coalesce(_strings(c("fact")), none),
+            "marks": F.transform("marked", lambda m: F.struct(_text(m["p"], " ").alias("says"), F.replace(F.nullif(F.regexp_extract(_text(m["strong"]), r"^\d+(?:[.,]\d+)?", 0), F.lit("")), F.lit(","), F.lit(".")).cast("double").alias("value"))),
+            "title": F.when(c("h2").isNotNull(), _text(c("h2"))),
+            "author": F.nullif(strip(F.btrim(_text(c("by")), F.lit("() "))), F.lit("")),
+            "highlights": F.coalesce(_texts(_all("li", c("likes"))), none),
+            "named": F.coalesce(_texts(_all("a", c("names"))), none),
+            "titles": F.coalesce(F.flatten(F.transform("lists", lambda ol: _texts(_all("li", ol), " "))), none),
+            "total_duration": F.nullif(F.regexp_extract(_text(c("length"), " "), r"\d{1,3}:\d{2}", 0), F.lit("")),
         }
     )
     later = F.slice(c("facts"), 2, F.greatest(F.size("facts") - 1, F.lit(0)))
@@ -146,12 +153,11 @@ def parse_reviews(pages: DataFrame) -> DataFrame:
     day = lambda x: F.concat_ws("-", dmy(x, 3), F.lpad(dmy(x, 2), 2, "0"), F.lpad(dmy(x, 1), 2, "0")).try_cast("date")
     year = lambda x: F.coalesce(dmy(x, 3), F.nullif(F.regexp_extract(x, r"\b(\d{4})\b", 1), F.lit(""))).cast("int")
     mark = lambda whose: _last(F.transform(F.filter("marks", whose), lambda m: m["value"]))
-    loud = F.transform("highlights", F.lower)
-    lower = F.transform("named", F.lower)
-    found = read.select(
+    loud, lower = F.col("loud"), F.col("lower")
+    found = read.withColumns({"loud": F.transform("highlights", F.lower), "lower": F.transform("named", F.lower)}).select(
         "page_id",
-        strip(F.substring_index("h1", " - ", 1)).alias("artist"),
-        F.when(F.contains("h1", F.lit(" - ")), strip(F.expr("substring(h1, instr(h1, ' - ') + 3)"))).alias("album"),
+        strip(F.substring_index("heading", " - ", 1)).alias("artist"),
+        F.when(F.contains("heading", F.lit(" - ")), strip(F.expr("substring(heading, instr(heading, ' - ') + 3)"))).alias("album"),
         F.when(F.size("facts") > 0, F.filter(F.transform(F.split(F.get("facts", F.lit(0)), "[/,;]"), strip), lambda x: x != "")).otherwise(F.array().cast("array<string>")).alias("labels"),
         _last(F.transform(later, day)).alias("release_date"),
         _last(F.transform(later, year)).alias("release_year"),
