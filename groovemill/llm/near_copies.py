@@ -11,7 +11,7 @@ shingles are compared of pairs that aren't connected yet. Tasks report spanning
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .near_dup import SEED, SHARE, Trees, components, in_cells, majority, whole_groups
+from .near_dup import SEED, SHARE, Trees, components, linked, majority, whole_groups
 from .scratch import checkpointed, stored
 from .text import slices, text_bytes
 
@@ -222,10 +222,10 @@ def shard_links(group: np.ndarray, side: np.ndarray, sim: np.ndarray, n: np.ndar
     return links
 
 
-def _linked(rows: DataFrame, light: DataFrame, whole: bool) -> DataFrame:
+def _linked(rows: Callable[[DataFrame | None], DataFrame], light: DataFrame, whole: bool) -> DataFrame:
     """a > b: enough links of sets to connect all that are alike (``whole``, from their hashes) or may be (from n and parities).
 
-    rows: key, fp, sim and those columns; light: its key and fp.
+    rows: gives key, fp, sim and those columns, of all rows or of given ones (key, fp); light: key and fp of all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def _linked(rows: DataFrame, light: DataFrame, whole: bool) -> DataFrame:
             one, other = fp[links[:, 0]], fp[links[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], names=["a", "b"])
 
-    return in_cells(rows, ["key"], HOT, light).mapInArrow(run, "a long, b long")
+    return linked(rows, light, ["key"], "fp", lambda dealt: dealt.mapInArrow(run, "a long, b long"), HOT)
 
 
 def _map_of(ids: DataFrame) -> np.ndarray:
@@ -267,16 +267,21 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Documents are connected whose sets of shingles have a Jaccard similarity of 4/5 or more, also through others; texts
     without words are alike. Sets are made twice, for their prefixes and for the check, as those of all would take more
-    room than the texts. A map says which documents may be alike to others, so that texts aren't shuffled; what it lets pass
+    room than the texts; a third time for groups of more than HOT sets that aren't connected in the first blocks. A map says which documents may be alike to others, so that texts aren't shuffled; what it lets pass
     beyond them (one in nine, and more beyond MOST_BITS / BITS_EACH documents) is dropped by the join.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     known = stored(prints_and_prefixes(docs, _frequent(docs, shingle), shingle), "prints")
     dealt = stored(shards(known.select(F.explode("prefix").alias("key"), "fp")), "shards")
     marks = known.select("fp", "n", "sim", "parities").dropDuplicates(["fp"])
-    near = checkpointed(components(_linked(dealt.join(marks, "fp"), dealt, False)).select(F.col("id").alias("fp"), F.col("component").alias("key")))
-    used = checkpointed(known.select("doc_id", "fp").join(near, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    own = shingle_sets(docs, shingle, _map_of(used)).select("fp", "sim", "hashes").join(near, "fp").dropDuplicates(["fp"])
+    marked = lambda only: (dealt if only is None else only).join(marks, "fp")
+    near = checkpointed(components(_linked(marked, dealt, False)).select(F.col("id").alias("fp"), F.col("component").alias("key")))
+
+    def own(only: DataFrame | None) -> DataFrame:
+        wanted = near if only is None else only
+        used = checkpointed(known.select("doc_id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+        return shingle_sets(docs, shingle, _map_of(used)).select("fp", "sim", "hashes").join(wanted, "fp").dropDuplicates(["fp"])
+
     labels = components(_linked(own, near, True)).select(F.col("id").alias("fp"), F.col("component").alias("label"))
     prints = known.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label"))
     return prints.join(prints.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")

@@ -6,8 +6,10 @@ keys share a tree. A tree's children are keyed by their distance to the parent,
 within the radius. The trees of a task are built and searched together, level by level, in numpy arrays.
 
 The trees aren't broadcast: they would grow with the input. Each is built where its searches are, by the shuffle that
-deals out the keys; a key that many fingerprints have is cut into cells, and tasks hold a few keys at once. A task reports a spanning forest of its links, not the pairs, and branches whose nodes are linked
-to the searching one already are left out; so large groups of near copies don't cost their square in links.
+deals out the keys; a key that many fingerprints have is cut into blocks, and tasks hold a few keys at once. A task
+reports a spanning forest of its links, not the pairs, and branches whose nodes are linked to the searching one already
+are left out; blocks whose rows are connected already don't meet. So large groups of near copies cost their square
+neither in links nor in rows.
 
 Components are the fixpoint of alternating star contractions over the forest's edges.
 """
@@ -20,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import checkpointed, forget, stored
@@ -187,24 +189,64 @@ def _parts(n: int, radius: int) -> int:
     return parts
 
 
-def in_cells(rows: DataFrame, keys: list[str], hot_rows: int | None = None, light: DataFrame | None = None) -> DataFrame:
-    """``rows`` (keys, fp) dealt out by their keys and a cell (low, high), sorted by them and by side and fp.
+def linked(rows: Callable[[DataFrame | None], DataFrame], light: DataFrame, keys: list[str], node: str, link: Callable[[DataFrame], DataFrame], hot_rows: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, that connect what ``link`` connects among rows of equal keys.
 
-    A key of more than about ``hot_rows`` (else HOT) rows is cut into blocks by a hash of fp, and a cell has the rows of two blocks (of one,
-    where low = high): each two rows of a key meet in a cell, and no task gets all of a key. side is 1 for rows of the
-    higher block. How many rows a key has is estimated from one in SHARE; it decides the blocks, never the result. light: the same keys and fp, where they cost less than ``rows``.
+    light: keys and node of all rows; rows: gives the rows themselves (keys, node, fp and what else ``link`` reads), or only
+    those of (keys, node) that it is given. ``link`` makes edges of rows that are sorted by keys, cell (low, high), side and fp:
+    rows of a cell meet each other where low = high, else those of side 1 meet those of side 0.
+
+    A key of more than about ``hot_rows`` (else HOT) rows is never in one task. First each of its rows meets two blocks, by two
+    hashes, which connects most of a large group of near copies; then blocks meet each other, two in a cell, but for
+    blocks of rows that are connected already. So n connected rows and m others are shipped 2 n + n m / hot_rows times,
+    about, not n * n / hot_rows times, and no pair of rows that aren't connected is left out. How many rows a key has is
+    estimated from one in SHARE; it decides the blocks, never the result.
     """
     most = hot_rows or HOT
-    counted = (rows if light is None else light).where(F.pmod(F.xxhash64("fp", F.lit("share")), F.lit(SHARE)) == 0).groupBy(*keys).agg((F.count("*") * SHARE).alias("n_key"))
-    hot = checkpointed(counted.where(F.col("n_key") > most).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.ceil(F.col("n_key") / most).alias("blocks")))
+    cell = "struct<low:bigint,high:bigint,side:int>"
+
+    def met(cells: DataFrame) -> DataFrame:
+        spread = cells.select("*", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cells", "cell")
+        return link(spread.repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high", "side", "fp"))
+
+    one = lambda block: F.struct(block.alias("low"), block.alias("high"), F.lit(0).alias("side"))
+    counted = light.where(F.pmod(F.xxhash64(node, F.lit("share")), F.lit(SHARE)) == 0).groupBy(*keys).agg((F.count("*") * SHARE).alias("n_key"))
+    hot = checkpointed(counted.where(F.col("n_key") > most).select(*keys, F.ceil(F.col("n_key") / most).alias("blocks")))
     if hot.isEmpty():
-        cells = rows.select("*", *(F.lit(0).cast("long").alias(c) for c in ("low", "high")), F.lit(0).alias("side"))
-    else:
-        marked = rows.join(hot, [F.col(k) == F.col(f"of_{k}") for k in keys], "left").select(*rows.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"))
-        marked = marked.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")))
-        cell = lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high"), (F.col("own") > b).cast("int").alias("side"))
-        cells = marked.select(*rows.columns, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell)).alias("cell")).select(*rows.columns, "cell.*")
-    return cells.repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high", "side", "fp")
+        return met(rows(None).withColumn("cells", F.array(one(F.lit(0))).cast(f"array<{cell}>")))
+    block = lambda name, of, n: F.pmod(F.xxhash64(of, F.lit(name)), n)
+    both = F.array(one(block("first", node, F.col("blocks"))), one(F.col("blocks") + block("second", node, F.col("blocks"))))
+    dealt = rows(None).join(hot, keys, "left").withColumn("cells", F.when(F.col("blocks").isNull(), F.array(one(F.lit(0))).cast(f"array<{cell}>")).otherwise(both.cast(f"array<{cell}>"))).drop("blocks")
+    first = stored(met(dealt), "links")
+    still = _apart(light.select(*keys, node).join(hot.select(*keys), keys), keys, node, first, most)
+    if still.isEmpty():
+        return first
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("total") - 1)
+    others = F.filter(blocks, lambda b: (b < F.col("low_own")) | (b >= F.col("high_own")))
+    pair = lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high"), (F.col("own") > b).cast("int").alias("side"))
+    again = rows(still.select(*keys, node)).join(still, [*keys, node]).withColumn("cells", F.transform(others, pair).cast(f"array<{cell}>")).drop("own", "low_own", "high_own", "total")
+    return first.unionByName(met(again))
+
+
+def _apart(rows: DataFrame, keys: list[str], node: str, edges: DataFrame, most: int) -> DataFrame:
+    """The rows (keys, node) of which some in their key aren't connected by the edges, with block (own), the blocks of rows
+    connected to it (low_own to high_own, which is left out; none for those of mixed blocks) and the number of blocks of the key.
+
+    Connected rows of a key, if ``most`` or more, have blocks of their own; all others share blocks, those connected one.
+    """
+    found = components(edges).select(F.col("id").alias(node), "component")
+    labelled = stored(rows.join(found, node, "left").select(*keys, node, F.coalesce("component", node).alias("label")), "labelled")
+    sizes = stored(labelled.groupBy(*keys, "label").agg(F.count("*").alias("size")), "sizes")
+    mixed = sizes.groupBy(*keys).agg(F.ceil(F.sum(F.when(F.col("size") < most, F.col("size")).otherwise(0)) / most).alias("mixed"), F.count("*").alias("labels"))
+    parts = F.ceil(F.col("size") / most)
+    before = Window.partitionBy(*keys).orderBy("label")  # of one row for each ``most`` rows of a key at most
+    large = sizes.where(F.col("size") >= most).select(*keys, "label", parts.alias("parts"), (F.sum(parts).over(before) - parts).alias("begin"))
+    total = large.groupBy(*keys).agg(F.sum("parts").alias("n_large"))
+    whole = mixed.where("labels > 1").join(total, keys, "left").select(*keys, "mixed", (F.col("mixed") + F.coalesce("n_large", F.lit(0))).alias("total"))
+    begin = F.col("mixed") + F.col("begin")
+    own = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("label", F.lit("mixed")), F.col("mixed"))).otherwise(begin + F.pmod(F.xxhash64(node, F.lit("own")), F.col("parts")))
+    placed = labelled.join(whole, keys).join(large, [*keys, "label"], "left")
+    return stored(placed.select(*keys, node, own.alias("own"), F.coalesce(begin, F.lit(-1)).alias("low_own"), F.coalesce(begin + F.col("parts"), F.lit(-1)).alias("high_own"), "total"), "apart")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], at_once: int | None = None) -> Iterator[pa.Table]:
@@ -242,7 +284,6 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keyed = prints.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("choice", "key"))
-    dealt = in_cells(keyed, ["choice", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("choice", "key", "low", "high")):
@@ -254,7 +295,9 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             tied = np.flatnonzero(forest != np.arange(len(forest)))
             yield pa.RecordBatch.from_arrays([pa.array(distinct[tied]), pa.array(distinct[forest[tied]])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    chosen_keys = ["choice", "key"]
+    some = lambda only: keyed if only is None else keyed.join(only, [*chosen_keys, "id"], "left_semi")
+    return linked(some, keyed, chosen_keys, "id", lambda dealt: dealt.mapInArrow(run, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

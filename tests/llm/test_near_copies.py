@@ -104,3 +104,31 @@ def test_pipeline_of_odd_tables(clashing, none, tmp_path, spark):
         packed = corpus_pipeline.run(spark, folder)
         assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
         assert packed.count() == 0 or name == "odd"
+
+
+def test_one_template_on_many_rows(spark, monkeypatch):
+    """Different pages of one template, each alike to it and to few others, and strangers: blocks of connected rows don't meet."""
+    shipped = []
+    linked = near_copies.linked
+
+    def counted(rows, light, keys, node, link, hot_rows):
+        def counting(dealt):
+            shipped.append(dealt.count())
+            return link(dealt)
+
+        return linked(rows, light, keys, node, counting, hot_rows)
+
+    monkeypatch.setattr(near_copies, "linked", counted)
+    monkeypatch.setattr(near_copies, "HOT", 1 << 10)
+    rng, n = np.random.default_rng(3), 12_000
+    template = [f"t{k}" for k in range(60)]
+    texts = [" ".join(template)]
+    for k in range(n - 1):
+        at = int(rng.integers(0, 60))
+        texts.append(" ".join([*template[:at], f"x{k}", *template[at + 1 :]]))
+    texts += [" ".join(f"s{k}-{i}" for i in range(30)) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).cache()
+    found = near_copies.near_copies(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: 0 if i < n else i for i in range(len(texts))}
+    # ten rows for each document in the shards at most, two in the check; blocks against blocks would be 12 for each
+    assert shipped[-1] <= 2 * n + 1, shipped
