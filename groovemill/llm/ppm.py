@@ -15,7 +15,8 @@ log-probabilities back in the same order:
 4. ``valued``: slice -> (block, slice, word counts, log-probabilities)
 5. ``scored``: block -> documents
 
-A hot word or gram is one entry in each block that has it, however often it occurs.
+A hot word or gram is one entry in each block that has it, however often it occurs. Rows that repeat one another are
+dealt over all blocks.
 """
 
 from __future__ import annotations
@@ -326,6 +327,12 @@ def _score(left: pa.Table, right: pa.Table, n_slices: int, end_count: int) -> pa
     return pa.Table.from_arrays([left.column("doc_id"), left.column("train"), *map(pa.array, (n_tokens, n_known, logs, np.concatenate(scores), np.diff(ends)))], names=["doc_id", "train", "n_tokens", "n_known", "logs", "score", "n_bytes"])
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, text and more) with their block of ``n``, stored: a row's number in the scan is hashed as well, so that
+    repeated rows don't meet in one block, and differs from scan to scan, so that blocks are dealt once."""
+    return stored(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n))), "blocks")
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Scores of each row's whole ``text`` by models of the rows where ``train`` holds.
 
@@ -338,7 +345,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("ends")).first()
     n = max(LEAST_BLOCKS, -(-size["bytes"] // BLOCK_BYTES))
     ends = int(size["ends"])
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    blocks = dealt(rows, n)
     terms = stored(extracted(blocks, n), "terms")
     grams = stored(gathered(terms), "grams")
     values = stored(valued(terms, _modelled(grams, first_orders(grams))), "values")

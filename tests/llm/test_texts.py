@@ -275,6 +275,20 @@ def test_scores_of_odd_rows(clashing, none):
     assert ppm.score(clashing, F.lit(None).cast("boolean")).count() == clashing.count()
 
 
+def test_a_row_repeated_ten_thousand_times_is_dealt_over_all_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 10_000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    rows = rows.unionByName(spark.range(100, 140).select(F.col("id").alias("doc_id"), F.concat(F.lit("others "), F.col("id").cast("string")).alias("text")))
+    sizes = [r["count"] for r in ppm.dealt(rows, 64).groupBy("block").count().collect()]
+    assert sum(sizes) == 10_040 and len(sizes) == 64 and max(sizes) < 300
+    got = ppm.score(rows, F.col("doc_id") != 100).collect()
+    repeated = [r for r in got if r["doc_id"] == 7]
+    assert len(got) == 10_040 and len(repeated) == 10_000
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in repeated} == {(4, 4, 10_000 * 4 + 39 * 3)}
+    assert len({round(r["score"], 9) for r in repeated}) == 1
+
+
 # operator 7
 
 
