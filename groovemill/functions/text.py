@@ -22,6 +22,16 @@ def name_key(name: Column) -> Column:
     return F.lower(strip(name))
 
 
+def casefold(text: Column) -> Column:
+    """Lower case for comparisons without case: ß and ẞ are ss, ligatures their letters, a final sigma a sigma, as ``str.casefold`` has it.
+
+    The way leads over upper case, which has the expansions. Unlike ``str.casefold``, dotless i becomes i and Cherokee lower
+    case; strings that are equal there are equal here.
+    """
+    upper = F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))  # without a step between, Spark drops upper() below lower()
+    return F.translate(F.lower(upper), "ς", "σ")
+
+
 def repair_cp1252(text: Column) -> Column:
     """C1 controls replaced by the characters that they stand for."""
     return F.translate(text, C1_CONTROLS, CP1252_CHARACTERS)
@@ -40,8 +50,8 @@ def excerpt(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
 
 
 def title_norm(text: Column) -> Column:
-    """Lower case, anything but word characters a space, single spaces."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    """Without case, anything but word characters a space, single spaces."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(casefold(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
 def track_key(artist: Column, title: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groovemill.functions.text import name_key, strip
+from groovemill.functions.text import casefold, strip
 from groovemill.operators.names import PREFERRED, in_text, same_artist
 from groovemill.operators.taste import lookup_key
 
@@ -53,17 +53,52 @@ def title_variants(album: Column) -> Column:
     return F.array_distinct(F.filter(F.array_compact(F.array(*parts)), lambda x: x != ""))
 
 
-def _first_of(values: Column, key) -> Column:
-    """The strings of which each is the first with its key."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+def _first_of(values: Column) -> Column:
+    """The strings without white space around them, none blank, each the first of those that differ only in case.
+
+    One fold over the array: its expression, which may be a long one, is there once.
+    """
+    keyed = F.filter(F.transform(values, lambda x: F.struct(strip(x).alias("text"), casefold(strip(x)).alias("key"))), lambda x: x["key"] != "")
+    none = F.array().cast("array<struct<text:string,key:string>>")
+    return F.aggregate(keyed, none, lambda kept, x: F.when(F.array_contains(kept["key"], x["key"]), kept).otherwise(F.array_append(kept, x)), lambda kept: kept["text"])
 
 
 def search_names(artist: Column, aliases: Column) -> Column:
     """Distinct names to search for, whatever their case: the artist, the aliases, then each with ``The`` if it has none."""
-    given = _first_of(F.filter(F.transform(F.concat(F.array(artist), F.coalesce(aliases, F.array().cast("array<string>"))), strip), lambda x: x.isNotNull() & (x != "")), F.lower)
+    given = _first_of(F.concat(F.array(artist), F.coalesce(aliases, F.array().cast("array<string>"))))
     the = F.transform(F.filter(given, lambda x: ~F.lower(x).startswith("the ")), lambda x: F.concat(F.lit("The "), x))
-    return _first_of(F.concat(given, the), F.lower)
+    return _first_of(F.concat(given, the))
+
+
+def search_queries(names: Column, disambiguation: Column) -> Column:
+    """What to ask a search for artists of these names, most telling first: each name as a phrase and as words, with the
+    disambiguation (if there is one), with ``band``, alone; none blank, none twice whatever its case."""
+    hint = F.nullif(strip(disambiguation), F.lit(""))
+    ways = lambda name: [F.concat(F.lit('"'), name, F.lit('"')), name]
+    after = lambda name, more: [F.concat_ws(" ", way, more) for way in ways(name)]
+
+    def asked(name: Column) -> Column:
+        plain = after(name, F.lit("band")) + ways(name)
+        return F.when(hint.isNull(), F.array(*plain)).otherwise(F.array(*after(name, hint), *plain))
+
+    return _first_of(F.flatten(F.transform(F.coalesce(F.array_compact(names), F.array().cast("array<string>")), asked)))
+
+
+def search_plan(artists: DataFrame) -> DataFrame:
+    """One row for each query of each artist: key, place (from 1, the order of asking) and query.
+
+    artists: key, artist, aliases (array of strings), disambiguation; the last two may be null. An artist without a name has no rows.
+    """
+    named = artists.select("key", search_names(F.col("artist"), F.col("aliases")).alias("names"), "disambiguation")
+    listed = named.select("key", F.posexplode(search_queries(F.col("names"), F.col("disambiguation"))).alias("place", "query"))
+    return listed.withColumn("place", F.col("place") + 1)
+
+
+def shared_queries(plan: DataFrame) -> DataFrame:
+    """The distinct queries of a ``search_plan`` (whatever their case), so that each is asked once: query_key, query (of the smallest
+    key), n_keys (artists that wait for it) and first_place (the earliest place that any of them gives it)."""
+    keyed = plan.withColumn("query_key", casefold(F.col("query")))
+    return keyed.groupBy("query_key").agg(F.min_by("query", F.struct("key", "place")).alias("query"), F.count("*").alias("n_keys"), F.min("place").alias("first_place"))
 
 
 def entity_fields(rows: DataFrame) -> DataFrame:
@@ -132,8 +167,8 @@ def validated_mbids(rows: DataFrame) -> DataFrame:
 def file_hit_scores(hits: DataFrame) -> DataFrame:
     """``hits`` (artist, file) with ``score``: 50 for the name as a phrase in the file's name, 10 for each of its words, 5 for a
     preferred word, less 100 for an excluded one; -100 if either name is empty."""
-    text = F.btrim(F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace("file", "(?i)^file:", ""), "_", " ")), "[^a-z0-9]+", " "))
-    rows = matched(hits.withColumn("q_text", text).withColumn("q_name", F.btrim(F.regexp_replace(F.lower("artist"), "[^a-z0-9]+", " "))), "artist", "q_text", "q_within", _within)
+    text = F.btrim(F.regexp_replace(casefold(F.regexp_replace(F.regexp_replace("file", "(?i)^file:", ""), "_", " ")), "[^a-z0-9]+", " "))
+    rows = matched(hits.withColumn("q_text", text).withColumn("q_name", F.btrim(F.regexp_replace(casefold(F.col("artist")), "[^a-z0-9]+", " "))), "artist", "q_text", "q_within", _within)
     words = F.filter(F.split("q_name", " "), lambda w: F.length(w) > 2)
     padded = F.concat(F.lit(" "), F.col("q_text"), F.lit(" "))
     each = F.size(F.filter(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))) * 10
@@ -143,7 +178,7 @@ def file_hit_scores(hits: DataFrame) -> DataFrame:
 
 def telling_words(text: Column, longer_than: int) -> Column:
     """Words of a-z and 0-9 of more letters than that, other than ``the``."""
-    return F.filter(F.split(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " "), lambda w: (F.length(w) > longer_than) & (w != "the"))
+    return F.filter(F.split(F.btrim(F.regexp_replace(casefold(text), "[^a-z0-9]+", " ")), " "), lambda w: (F.length(w) > longer_than) & (w != "the"))
 
 
 def page_hit_scores(hits: DataFrame) -> DataFrame:
@@ -152,9 +187,9 @@ def page_hit_scores(hits: DataFrame) -> DataFrame:
     The words that all names share (else those of the first) count by how many the title has; whole names, words about
     music and venues, and words of the disambiguation count as well.
     """
-    title = F.lower(F.coalesce("title", F.lit("")))
-    combined = F.concat(title, F.lit(" "), F.lower(F.regexp_replace(F.coalesce("snippet", F.lit("")), "<[^>]+>", "")))
-    each = F.transform("names", lambda n: telling_words(n, 2))
+    title = casefold(F.coalesce("title", F.lit("")))
+    combined = F.concat(title, F.lit(" "), casefold(F.regexp_replace(F.coalesce("snippet", F.lit("")), "<[^>]+>", "")))
+    each = F.transform(F.filter("names", lambda n: strip(n) != ""), lambda n: telling_words(n, 2))
     shared = F.aggregate(F.slice(each, 2, F.greatest(F.size(each) - 1, F.lit(0))), F.coalesce(F.get(each, F.lit(0)), F.array().cast("array<string>")), F.array_intersect)
     words = F.array_distinct(F.when(F.size(shared) > 0, shared).otherwise(F.coalesce(F.get(each, F.lit(0)), F.array().cast("array<string>"))))
     music = combined.rlike(MUSIC_PAGE)
@@ -162,7 +197,7 @@ def page_hit_scores(hits: DataFrame) -> DataFrame:
     rows = hits.withColumns({"q_title": title, "q_all": combined, "q_words": words, "q_hints": hinted})
     n_title = F.size(F.filter("q_words", lambda w: F.contains("q_title", w)))
     by_words = F.when(F.size("q_words") == 0, 0).when(n_title == 0, F.when(F.exists("q_words", lambda w: F.contains("q_all", w)), -15).otherwise(-40)).when(n_title == F.size("q_words"), 35).otherwise(15)
-    lowered = F.filter(F.transform("names", name_key), lambda n: n != "")
+    lowered = F.filter(F.transform("names", lambda n: casefold(strip(n))), lambda n: n != "")
     # names count one after another, up to the first that the title has
     place = F.array_position(F.transform(lowered, lambda n: F.contains("q_title", n)), F.lit(True)).cast("int")
     tried = F.when(place > 0, F.slice(lowered, 1, F.greatest(place, F.lit(1)))).otherwise(lowered)
@@ -180,7 +215,7 @@ def merged_hits(batches: DataFrame) -> DataFrame:
 
 def license_is_open(text: Column) -> Column:
     """Whether a licence's short name allows showing a picture: public domain, CC0 or CC BY, without further limits."""
-    name = F.regexp_replace(F.lower(strip(F.coalesce(text, F.lit("")))), r"(?U)\s+", " ")
+    name = F.regexp_replace(casefold(strip(F.coalesce(text, F.lit("")))), r"(?U)\s+", " ")
     rejected = F.lit(False)
     for part in REJECTED_LICENCES:
         rejected = rejected | name.contains(part)
@@ -238,7 +273,7 @@ def image_queue(targets: DataFrame, kind: str, offset: int, limit: int | None) -
     Spark keeps only ``offset + limit`` rows in each task; without a limit places are numbered within ranges of counts.
     """
     rows = targets if kind == "all" else targets.where(F.col("mbid").isNotNull() if kind == "mbid" else F.col("mbid").isNull())
-    order = [F.col("review_count").desc(), F.lower("artist"), F.col("lookup_key")]
+    order = [F.col("review_count").desc(), casefold(F.col("artist")), F.col("lookup_key")]
     if limit is not None:
         top = rows.orderBy(*order).limit(max(0, offset) + max(1, limit))
         return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("place") > max(0, offset))

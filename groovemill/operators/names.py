@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groovemill.functions.text import casefold, strip
+
 #: Letters that Unicode doesn't take apart, words that don't tell artists apart, words before a name that
 #: don't make it another one.
 FOLDS = str.maketrans({"ı": "i", "İ": "i", "ï": "i", "ö": "o", "ü": "u", "ä": "a", "å": "a", "æ": "ae", "ø": "o", "ß": "ss", "ł": "l", "ñ": "n", "ç": "c"})
@@ -119,7 +121,7 @@ def distinctive_member(name: str) -> bool:
 
 def best_artist(candidates: DataFrame) -> DataFrame:
     """request, name, mbid, score: for each request (asked, name, mbid, score) the equal name first, then the best score."""
-    equal = (F.lower(F.btrim("asked")) == F.lower(F.btrim("name"))).cast("int")
+    equal = (casefold(strip(F.col("asked"))) == casefold(strip(F.col("name")))).cast("int")
     return candidates.groupBy("asked").agg(F.max_by(F.struct("name", "mbid", "score"), F.struct(equal.alias("e"), F.col("score"), F.col("mbid"))).alias("r")).select("asked", "r.*")
 
 

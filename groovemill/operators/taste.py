@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groovemill.functions.text import name_key, strip
+from groovemill.functions.text import casefold, strip
 from groovemill.operators.playlist import uniform
 from groovemill.operators.scoring import DEFAULT_WEIGHT
 from groovemill.sources.checkpoints import checkpointed
@@ -222,8 +222,8 @@ def photo_ranks(lists: DataFrame) -> DataFrame:
 
 
 def lookup_key(mbid: Column, artist: Column) -> Column:
-    """The mbid, else ``name:`` and the name in lower case; null if both are blank."""
-    named = F.nullif(name_key(artist), F.lit(""))
+    """The mbid, else ``name:`` and the name without case; null if both are blank."""
+    named = F.nullif(casefold(strip(artist)), F.lit(""))
     return F.coalesce(F.nullif(strip(mbid), F.lit("")), F.concat(F.lit("name:"), named))
 
 

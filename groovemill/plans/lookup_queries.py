@@ -43,6 +43,24 @@ def search_names(spark, sf_dir):
     return Tables(spark, sf_dir).read("customer").select("c_custkey", F.array_join(lookups.search_names(name, aliases), "|").alias("names"))
 
 
+def _planned(spark, sf_dir):
+    artists = Tables(spark, sf_dir).read("supplier").select(
+        F.col("s_suppkey").alias("key"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("The "), "s_name")).otherwise(F.col("s_name")).alias("artist"),
+        F.when(F.col("s_suppkey") % 4 != 0, F.array(F.lit(" "), F.upper("s_name"), F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"), F.lit(" ")))).alias("aliases"),
+        F.when(F.col("s_suppkey") % 5 == 0, " ").when(F.col("s_suppkey") % 5 < 3, F.concat(F.lit(" trio of "), F.col("s_nationkey").cast("string"))).when(F.col("s_suppkey") % 5 == 3, "BAND").alias("disambiguation"),
+    )
+    return lookups.search_plan(artists)
+
+
+def search_plan(spark, sf_dir):
+    return _planned(spark, sf_dir).select("key", F.col("place").cast("long").alias("place"), "query")
+
+
+def shared_queries(spark, sf_dir):
+    return lookups.shared_queries(_planned(spark, sf_dir)).select("query_key", "query", "n_keys", F.col("first_place").cast("long").alias("first_place"))
+
+
 def _entities(t: Tables):
     name = lambda c: F.struct(F.col(c).alias("name"))
     even = F.col("c_custkey") % 2 == 0
@@ -145,7 +163,17 @@ _ANSWER = _at(ANSWERS, "c_custkey")
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > {n} AND w <> 'the')"
 _FIRST = "list_filter({x}, lambda v, i: list_position(list_transform({x}, lambda y: lower(y)), lower(v)) = i)"
 
+_PLAN = f"""t AS (SELECT s_suppkey AS key, list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'The ' || s_name ELSE s_name END] || CASE WHEN s_suppkey % 4 <> 0 THEN ['', upper(s_name), 'Nation ' || s_nationkey] ELSE [] END, lambda x: x <> '') AS n,
+        CASE WHEN s_suppkey % 5 IN (1, 2) THEN 'trio of ' || s_nationkey WHEN s_suppkey % 5 = 3 THEN 'BAND' END AS hint FROM supplier),
+        g AS (SELECT key, hint, {_FIRST.format(x="n")} AS g FROM t), a AS (SELECT key, hint, g || list_transform(list_filter(g, lambda x: NOT starts_with(lower(x), 'the ')), lambda x: 'The ' || x) AS a FROM g),
+        n AS (SELECT key, hint, {_FIRST.format(x="a")} AS names FROM a), e AS (SELECT key, hint, unnest(names) AS name, unnest(range(len(names))) AS i FROM n),
+        q AS (SELECT key, i * 6 + j AS seq, CASE WHEN j % 2 = 0 THEN '"' || name || '"' ELSE name END || CASE WHEN j < 2 THEN ' ' || hint WHEN j < 4 THEN ' band' ELSE '' END AS query FROM e, range(6) r(j)),
+        d AS (SELECT key, min(seq) AS seq, arg_min(query, seq) AS query FROM q WHERE query IS NOT NULL GROUP BY key, lower(query)), p AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS place, query FROM d)"""
+
 SQL = {
+    "search_plan": f"WITH {_PLAN} SELECT key, place, query FROM p",
+    "shared_queries": f"""WITH {_PLAN}, o AS (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY key, place) AS o FROM p)
+        SELECT lower(query) AS query_key, max(query) FILTER (o = 1) AS query, count(*) AS n_keys, min(place) AS first_place FROM o GROUP BY 1""",
     "dict_genres": f"""WITH t AS (SELECT p_partkey, [{_at(TAGS, "p_partkey")}, ' ' || upper({_at(TAGS, "p_partkey * 7 + 3")}), {_at(TAGS, "p_partkey + 1")}] AS tags FROM part),
         g AS (SELECT p_partkey, list_filter(list_transform(tags, lambda x: {_MAP}[lower(trim(x))]), lambda x: x IS NOT NULL) AS g FROM t)
         SELECT p_partkey, coalesce(array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), ','), '') AS genres FROM g""",
@@ -191,6 +219,6 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        dict_genres, title_variants, search_names, entity_fields, best_release_groups, validated_mbids, file_hit_scores, page_hit_scores, merged_hits, licence_texts, answer_texts, image_queue, image_queue_all, blocked_lookups,
+        dict_genres, title_variants, search_names, search_plan, shared_queries, entity_fields, best_release_groups, validated_mbids, file_hit_scores, page_hit_scores, merged_hits, licence_texts, answer_texts, image_queue, image_queue_all, blocked_lookups,
     )
 }

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from groovemill.functions.text import casefold
 from groovemill.operators import lookups, name_index, names
 from groovemill.plans import album_queries, lookup_queries
 from groovemill.sources.domain import Tables
@@ -119,3 +122,66 @@ def test_names_in_titles_by_all_pairs(spark, sf_dir):
     write = {0: str.lower, 1: str, 2: lambda x: x[::-1]}
     titles = {f"{r['s_name']} {write[r['s_suppkey'] % 3](nations[r['s_nationkey']])}" for r in t.read("supplier").collect()}
     assert _pairs(album_queries.names_in_texts(spark, sf_dir)) == {(n, x) for n in nations.values() for x in titles if names.in_text(n, x)}
+
+
+def test_case_folding_of_all_characters(spark):
+    letters = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(c, c.casefold()) for c in letters], "c string, folded string")
+    differing = {r["c"] for r in rows.where(casefold(F.col("c")) != F.col("folded")).collect()}
+    unknown_to_python = {c for c in differing if unicodedata.category(c) == "Cn"}
+    cherokee = {c for c in differing if "CHEROKEE" in unicodedata.name(c, "")}
+    assert differing - unknown_to_python - cherokee == {"ı"}
+    words = ["Straße", "STRASSE", "strasse", "ΟΔΥΣΣΕΥΣ", "οδυσσευς", "ﬁn", "FIN", "İstanbul", "Mötley", "", "ẞ"]
+    found = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(casefold(F.col("w"))).collect()]
+    assert found == [w.casefold() for w in words]
+    assert spark.range(1).select(casefold(F.lit(None).cast("string"))).first()[0] is None
+
+
+def _plain_plan(artist, aliases, hint):
+    def once(values):
+        seen, out = set(), []
+        for v in values:
+            if v is not None and v.strip() and v.strip().casefold() not in seen:
+                seen.add(v.strip().casefold())
+                out.append(v.strip())
+        return out
+
+    names = once([artist, *(aliases or [])])
+    names = once(names + ["The " + n for n in names if not n.lower().startswith("the ")])
+    hint = (hint or "").strip()
+    return once(q for n in names for q in ([f'"{n}" {hint}', f"{n} {hint}"] if hint else []) + [f'"{n}" band', f"{n} band", f'"{n}"', n])
+
+
+ARTISTS = [
+    (1, "Low", None, None),
+    (2, "The Band", ["Band", "the band", " "], "band"),
+    (3, "Weiße Straße", ["WEISSE STRASSE", "Σίσυφος", "ΣΊΣΥΦΟΣ"], "  Köln "),
+    (4, " \u00a0", [None, ""], "x"),
+    (5, None, ["Only an alias"], ""),
+    (6, "The", ["The The", 'A "quoted" name'], "BAND"),
+    (7, "a" * 5000, [f"alias {i % 40}" for i in range(80)], "y"),
+    (8, None, None, None),
+    (1, "Low", None, None),
+]
+
+
+def test_search_plan_by_a_plain_version(spark):
+    schema = "key long, artist string, aliases array<string>, disambiguation string, query string"
+    df = spark.createDataFrame([(*a, "a column of the same name") for a in ARTISTS], schema)
+    plan = lookups.search_plan(df)
+    expected = sorted((k, i + 1, q) for k, *a in ARTISTS for i, q in enumerate(_plain_plan(*a)))
+    assert sorted(tuple(r) for r in plan.collect()) == expected
+    waiting = {}
+    for key, place, query in expected:
+        waiting.setdefault(query.casefold(), []).append((key, place, query))
+    asked = {r["query_key"]: tuple(r)[1:] for r in lookups.shared_queries(plan).collect()}
+    assert asked == {k: (min(v)[2], len(v), min(p for _, p, _ in v)) for k, v in waiting.items()}
+    assert lookups.shared_queries(lookups.search_plan(df.limit(0))).count() == 0
+
+
+def test_hits_are_scored_without_case(spark):
+    rows = [(1, ["Weiße Straße", " "], "WEISSE STRASSE", "eine <i>Band</i>", None), (2, ["Weiße Straße"], "Weisse", "strasse", "Fußball"), (3, ["Weiße Straße"], "Rasen", "FUSSBALL", "Fußball")]
+    hits = spark.createDataFrame(rows, "id int, names array<string>, title string, snippet string, disambiguation string")
+    scores = {r["id"]: r["score"] for r in lookups.page_hit_scores(hits).collect()}
+    # 1: music, both words in the title, the whole name there. 2: one of two words, the name in title and snippet together, no hint. 3: no word, the hint.
+    assert scores == {1: 25 + 35 + 45, 2: 15 + 20 - 45, 3: -40 + 15}
