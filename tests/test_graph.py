@@ -129,3 +129,13 @@ def test_page_headings(spark, sf_dir):
     for r in pages_:
         html = re.sub("(?s)<!--.*?-->|<(script|style).*?</\\1>", "", r["html"] or "", flags=re.I)
         assert got[r["page_id"]]["n_paragraphs"] == len(re.findall(r"(?i)<p[\s>/]", html)) and got[r["page_id"]]["n_links"] == len(re.findall(r"(?i)<a[\s>/]", html))
+
+
+def test_communities_send_and_receive_in_one_round(spark):
+    """Two cliques with some members in each other's community: all of them go home at once."""
+    edges = spark.createDataFrame([(f"{c}{i:02}", f"{c}{j:02}", 1.0) for c in "ab" for i in range(16) for j in range(i)], "src string, dst string, weight double")
+    ties, nodes = communities.first_level(edges)
+    stray = F.substring("u", 2, 2).cast("int") < 3
+    start = nodes.withColumn("label", F.when(stray, F.when(F.col("u") < "b", "b15").otherwise("a15")).otherwise(F.concat(F.substring("u", 1, 1), F.lit("15"))))
+    rounds = [{r["u"]: r["label"] for r in x.collect()} for x in communities.moves(ties, start, nodes.agg(F.sum("k")).first()[0])]
+    assert len(rounds) == 1 and all(label == f"{u[0]}15" for u, label in rounds[0].items())
