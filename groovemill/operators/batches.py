@@ -154,7 +154,9 @@ def next_ids(existing: DataFrame, key: str, first: int | None, last: int) -> Dat
     spark = existing.sparkSession
     if first is None:
         first = (existing.agg(F.max(key)).first()[0] or 0) + 1
-    return spark.range(first, max(first, last + 1)).select(F.col("id").alias(key)).join(existing.select(key), key, "left_anti")
+    # each id is needed once, and none outside of the range
+    there = existing.select(key).where(F.col(key).between(first, last)).distinct()
+    return spark.range(first, max(first, last + 1)).select(F.col("id").alias(key)).join(there, key, "left_anti")
 
 
 def gap_runs(ids: DataFrame, stop_after: int) -> DataFrame:
