@@ -17,6 +17,8 @@ from groovemill.functions.text import strip
 
 ELEMENTS = "array<struct<at: int, end: int, above: int, tag: string, id: string, classes: array<string>>>"
 STRINGS = "array<struct<at: int, text: string>>"
+#: Pages that are held parsed at once.
+PAGES = 64
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -68,12 +70,17 @@ def page_parts(page: str | None) -> tuple[list[dict], list[dict]]:
     return parts.elements, parts.strings
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into ones of PAGES rows at most, as parsed pages take many times their size."""
+    return (batch.slice(at, PAGES) for batch in batches for at in range(0, batch.num_rows, PAGES))
+
+
 def with_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, elements and strings of pages (page_id, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         element = pa.struct([("at", pa.int32()), ("end", pa.int32()), ("above", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in few_at_once(batches):
             found = [page_parts(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in found], pa.list_(element)), pa.array([s for _, s in found], pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))], names=["page_id", "elements", "strings"])
 
