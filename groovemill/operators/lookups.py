@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from groovemill.functions.text import casefold, strip
 from groovemill.operators.names import PREFERRED, in_text, same_artist
 from groovemill.operators.taste import lookup_key
+from groovemill.sources.parts import dealt
 
 #: Genres by tag of the plain mapping.
 TAG_GENRES = {
@@ -143,18 +144,21 @@ def matched(rows: DataFrame, asked: str, found: str, out: str, test=_same) -> Da
     return rows.join(known, rows[asked].eqNullSafe(known["q_asked"]) & rows[found].eqNullSafe(known["q_found"]), "left").drop("q_asked", "q_found")
 
 
-def best_release_groups(hits: DataFrame) -> DataFrame:
+def best_release_groups(hits: DataFrame, parts: int = 0) -> DataFrame:
     """asked, id, title, artist_mbid, artist_name, score of the best hit of each request.
 
     hits: asked (the artist), seq (the hit's place), json. A hit whose credited artist fits goes first, then an album, then
-    the larger score, then the earlier hit.
+    the larger score, then the earlier hit. parts: partitions that hits are dealt into, if more than Spark's own number; a
+    request's hits are compared where they are ranked, so that wide rows move once.
     """
-    rows = hits.select("asked", "seq", F.from_json("json", RELEASE_GROUP).alias("g")).where("g IS NOT NULL")
+    dealt_hits = dealt(hits.select("asked", "seq", "json").repartition("asked"), parts, "asked")
+    rows = dealt_hits.select("asked", "seq", F.from_json("json", RELEASE_GROUP).alias("g")).where("g IS NOT NULL")
     mbid, name = credited(F.col("g"))
-    rows = matched(rows.withColumn("artist_mbid", mbid).withColumn("artist_name", name), "asked", "artist_name", "fits")
     score = F.coalesce("g.score", F.lit(0))
-    rank = F.struct(F.coalesce("fits", F.lit(False)).cast("int").alias("f"), (F.lower(F.coalesce("g.primary-type", F.lit(""))) == "album").cast("int").alias("a"), score.alias("s"), (-F.col("seq")).alias("q"))
-    best = rows.groupBy("asked").agg(F.max_by(F.struct("g.id", "g.title", "artist_mbid", "artist_name", score.alias("score")), rank).alias("r"))
+    album = (F.lower(F.coalesce("g.primary-type", F.lit(""))) == "album").cast("int")
+    narrow = rows.select("asked", "seq", "g.id", "g.title", mbid.alias("artist_mbid"), name.alias("artist_name"), score.alias("score"), album.alias("album"))
+    rank = F.struct(_same("asked", "artist_name").cast("int").alias("f"), F.col("album").alias("a"), F.col("score").alias("s"), (-F.col("seq")).alias("q"))
+    best = narrow.withColumn("rank", rank).groupBy("asked").agg(F.max_by(F.struct("id", "title", "artist_mbid", "artist_name", "score"), "rank").alias("r"))
     return best.select("asked", "r.*")
 
 

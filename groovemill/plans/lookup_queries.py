@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groovemill.operators import lookups
+from groovemill.sources.parts import parts_of
 from groovemill.sources.domain import Tables, with_views
 
 TAGS = ("Indie Rock", "hip-hop ", "Electronica", "polka", "post rock", "POP", "shoegaze", "electronic", "black metal", "synthpop", "skiffle")
@@ -82,12 +83,13 @@ def entity_fields(spark, sf_dir):
 
 
 def best_release_groups(spark, sf_dir):
-    rows = Tables(spark, sf_dir).read("customer").select("c_name", "c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
+    customers = Tables(spark, sf_dir).read("customer")
+    rows = customers.select("c_name", "c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
     fits = (F.col("c_custkey") + F.col("seq")) % 3 == 0
     credit = F.struct(F.when(F.col("seq") % 2 == 0, "").otherwise(F.when(fits, F.upper("c_name")).otherwise("somebody")).alias("name"), F.struct(F.concat(F.lit("mb"), F.col("seq").cast("string")).alias("id"), F.when(fits, F.concat(F.lit("The "), "c_name")).otherwise("nobody").alias("name")).alias("artist"))
     body = F.struct(F.concat_ws("-", F.lit("g"), "c_custkey", "seq").alias("id"), F.lit("title").alias("title"), ((F.col("c_custkey") * 7 + F.col("seq") * 11) % 4).cast("int").alias("score"), F.when(F.col("seq") < 2, "Album").otherwise("Single").alias("primary-type"), F.array(credit).alias("artist-credit"))
     hits = rows.select(F.col("c_name").alias("asked"), "seq", F.to_json(body).alias("json"))
-    return lookups.best_release_groups(hits).select("asked", "id", "artist_mbid", "artist_name", "score")
+    return lookups.best_release_groups(hits, 4 * parts_of(customers)).select("asked", "id", "artist_mbid", "artist_name", "score")
 
 
 def validated_mbids(spark, sf_dir):
