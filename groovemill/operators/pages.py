@@ -126,12 +126,14 @@ def _last(values: Column) -> Column:
 def parse_reviews(pages: DataFrame) -> DataFrame:
     """page_id and the review's fields of pages (page_id, html) that have a review's container, artist, album and text."""
     c = F.col
-    # elements that others are looked up in are columns first, as an expression would be evaluated for each element again
+    # elements that others are looked up in are columns first, as an expression would be evaluated for each element again; for the
+    # same reason no filter on what was looked up stands over these columns: Spark would take it below them, with all of their lookups
+    # nested in it. A page without a head or body has no artist or text in the end
     none = F.array().cast("array<string>")
     box = with_parts(pages).withColumn("page", _first("div", name="rezension")).where("page IS NOT NULL")
     heads = F.filter(_all("div", c("page"), kind="headerbox"), lambda b: F.size(_all("h1", b)) > 0)
     parts = {"body": "rezitext", "list": "rezitracklist", "likes": "rezihighlights", "names": "reziref"}
-    box = box.withColumns({"head": F.get(heads, F.lit(0)), **{to: _first("div", c("page"), name=name) for to, name in parts.items()}}).where("head IS NOT NULL AND body IS NOT NULL")
+    box = box.withColumns({"head": F.get(heads, F.lit(0)), **{to: _first("div", c("page"), name=name) for to, name in parts.items()}})
     marks = F.transform(_all("p", c("head"), kind="bewertung"), lambda p: F.struct(p.alias("p"), _first("strong", p).alias("strong")))
     box = box.withColumns(
         {
@@ -161,8 +163,8 @@ def parse_reviews(pages: DataFrame) -> DataFrame:
     year = lambda x: F.coalesce(dmy(x, 3), F.nullif(F.regexp_extract(x, r"\b(\d{4})\b", 1), F.lit(""))).cast("int")
     mark = lambda whose: _last(F.transform(F.filter("marks", whose), lambda m: m["value"]))
     loud, lower = F.col("loud"), F.col("lower")
-    found = read.withColumns({"loud": F.transform("highlights", F.lower), "lower": F.transform("named", F.lower)}).select(
-        "page_id",
+    fields = [
+        c("page_id"),
         strip(F.substring_index("heading", " - ", 1)).alias("artist"),
         F.when(F.contains("heading", F.lit(" - ")), strip(F.expr("substring(heading, instr(heading, ' - ') + 3)"))).alias("album"),
         F.when(F.size("facts") > 0, F.filter(F.transform(F.split(F.get("facts", F.lit(0)), "[/,;]"), strip), lambda x: x != "")).otherwise(F.array().cast("array<string>")).alias("labels"),
@@ -170,15 +172,17 @@ def parse_reviews(pages: DataFrame) -> DataFrame:
         _last(F.transform(later, year)).alias("release_year"),
         mark(lambda m: F.contains(m["says"], F.lit("Unsere"))).alias("rating"),
         mark(lambda m: F.contains(m["says"], F.lit("Eure")) & ~F.contains(m["says"], F.lit("Unsere"))).alias("user_rating"),
-        "title",
-        "author",
-        "text",
+        c("title"),
+        c("author"),
+        c("text"),
         F.transform("titles", lambda t, i: F.struct((i + 1).alias("number"), t.alias("title"), F.array_contains(loud, F.lower(t)).alias("is_highlight"))).alias("tracks"),
-        "highlights",
-        "total_duration",
+        c("highlights"),
+        c("total_duration"),
         F.filter("named", lambda x, i: F.array_position(lower, F.lower(x)) == i + 1).alias("refs"),
-    )
-    return found.where("artist <> '' AND album <> '' AND text <> ''")
+    ]
+    whole = lambda r: (r["artist"] != "") & (r["album"] != "") & (r["text"] != "")
+    found = read.withColumns({"loud": F.transform("highlights", F.lower), "lower": F.transform("named", F.lower)})
+    return found.select(F.inline(F.filter(F.array(F.struct(*fields)), whole)))
 
 
 def page_headings(pages: DataFrame) -> DataFrame:

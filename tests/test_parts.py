@@ -46,3 +46,14 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     assert [x for b in cut for x in b.column(0).to_pylist()] == list(range(300)) and max(b.num_rows for b in cut) <= pages.PAGES < 300
     found = pages.with_parts(spark.range(300).repartition(1).selectExpr("id AS page_id", "concat('<p>', id, '</p>') AS html"))
     assert {r["page_id"]: r["strings"][0]["text"] for r in found.collect()} == {i: str(i) for i in range(300)}
+
+
+def test_no_lookup_is_nested_in_a_filter_of_reviews(spark):
+    """Filters that Spark takes below the columns they ask for would look everything up again, for each element of each lookup."""
+    head = '<div class="headerbox"><h1>Band - Record</h1></div>'
+    body = '<div id="rezitext"><p>Text</p></div>'
+    rows = [(1, f'<div id="rezension">{head}{body}</div>'), (2, f'<div id="rezension">{body}</div>'), (3, f'<div id="rezension">{head}</div>'), (4, f"<div>{head}{body}</div>"), (5, None), (6, f'<div id="rezension">{head.replace("Band", "")}{body}</div>')]
+    df = pages.parse_reviews(spark.createDataFrame(rows, "page_id long, html string"))
+    assert [tuple(r) for r in df.select("page_id", "artist", "album", "text").collect()] == [(1, "Band", "Record", "Text")]
+    filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "- Filter " in x]
+    assert all(x.count("lambdafunction") <= 1 for x in filters)
