@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groovemill.functions.numbers import five_year_bucket, position_weight
-from groovemill.sources.checkpoints import stored
-from groovemill.sources.parts import dealt
+from groovemill.sources.checkpoints import bucketed, stored
+from groovemill.sources.parts import dealt, parts_of
 
 
 def artist_edges(reviews: DataFrame, refs: DataFrame, parts: int = 0) -> DataFrame:
@@ -160,33 +160,49 @@ def reached_bits(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> Data
 
     Bit i of word w stands for source 64 * w + i. All sources go at once: in each level an artist is a row for each word that any
     source is new in, and a step is one join and a bitwise sum, so a level keeps no more rows than artists times words,
-    whatever the sources.
+    whatever the sources. The edges are dealt out once, into buckets by their first artist; a step deals out its front alone.
     """
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().where("src <> dst"), "edges")
-    own = F.expr("shiftleft(1L, CAST(nth % 64 AS INT))")
-    front = stored(sources.groupBy("artist", F.floor(F.col("nth") / 64).cast("long").alias("word")).agg(F.bit_or(own).alias("bits")), "front")
-    levels, seen = [front.withColumn("hops", F.lit(0).cast("long"))], front
-    for hop in range(1, cutoff + 1):
-        sent = front.withColumnRenamed("artist", "src").join(both, "src").groupBy(F.col("dst").alias("artist"), "word").agg(F.bit_or("bits").alias("bits"))
-        known = seen.withColumnRenamed("bits", "known")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
-        front = stored(sent.join(known, ["artist", "word"], "left").select("artist", "word", fresh.alias("bits")).where("bits <> 0"), "front")
-        if front.isEmpty():
-            break
-        levels.append(front.withColumn("hops", F.lit(hop).cast("long")))
-        seen = stored(seen.union(front).groupBy("artist", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst")
+    own, zero = F.expr("shiftleft(1L, CAST(nth % 64 AS INT))"), F.lit(0).cast("long")
+    first = sources.groupBy("artist", F.floor(F.col("nth") / 64).cast("long").alias("word")).agg(F.bit_or(own).alias("bits"))
+    with bucketed(both, 2 * parts_of(edges), "src") as near:
+        state = stored(first.select("artist", "word", "bits", zero.alias("known")), "reached")
+        levels = []
+        for hop in range(cutoff + 1):
+            if hop:
+                # the front is the smaller side and is hashed, so that the edges need no sorting
+                front = levels[-1].select(F.col("artist").alias("src"), "word", "bits").hint("shuffle_hash")
+                sent = near.join(front, "src").select(F.col("dst").alias("artist"), "word", "bits", zero.alias("known"))
+                before = state.select("artist", "word", zero.alias("bits"), F.col("bits").bitwiseOR(F.col("known")).alias("known"))
+                reached = sent.union(before).groupBy("artist", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("known").alias("known"))
+                state = stored(reached.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not("known"))), "reached")
+            front = state.where("bits <> 0").select("artist", "word", "bits", F.lit(hop).cast("long").alias("hops"))
+            if front.isEmpty():
+                break
+            levels.append(front)
+    if not levels:
+        return state.select("artist", "word", "bits", zero.alias("hops"))  # without sources
     found = levels[0]
     for level in levels[1:]:
         found = found.union(level)
     return found
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    return stored(sources.select("artist").distinct().withColumn("nth", (F.row_number().over(Window.orderBy("artist")) - 1).cast("long")), "sources")
+
+
+def _each_source(reached: DataFrame) -> DataFrame:
+    """``reached`` with a row and ``nth`` for each source in its bits."""
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    return reached.withColumn("bit", F.explode(set_)).withColumn("nth", F.col("word") * 64 + F.col("bit")).drop("word", "bits", "bit")
+
+
 def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
     """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set."""
-    named = stored(sources.select("artist").distinct().withColumn("nth", (F.row_number().over(Window.orderBy("artist")) - 1).cast("long")), "sources")
-    set_ = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
-    each = reached_bits(edges, named, cutoff).select("artist", "hops", "word", F.explode(set_).alias("bit"))
-    return each.withColumn("nth", F.col("word") * 64 + F.col("bit")).join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "artist", "hops")
+    named = _numbered(sources)
+    reached = reached_bits(edges, named, cutoff)
+    return _each_source(reached).join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "artist", "hops")
 
 
 def community_distances(hops: DataFrame, members: DataFrame) -> DataFrame:

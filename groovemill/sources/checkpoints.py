@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,15 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _new_table(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}"
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` from a Parquet table in the shared folder; the tables of an application go when its driver ends.
 
@@ -36,12 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     rounds the numbers alone take minutes. A table's size is that of its files.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}"
-    path, files = _path(spark, folder)
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    table = f"{folder}/{name}-{uuid.uuid4().hex}"
+    table = _new_table(spark, name)
     df.write.parquet(table)
     found = spark.read.schema(df.schema).parquet(table)
     found.stored_in = table
@@ -53,6 +59,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df, "checkpoint")
 
 
+@contextmanager
+def bucketed(df: DataFrame, parts: int, key: str) -> Iterator[DataFrame]:
+    """``df`` from a stored table in buckets by its key, for as long as the block lasts: joins by that key don't deal it out again.
+
+    There are so many buckets, but no fewer than Spark's own number of partitions, as Spark would deal fewer out again.
+    """
+    spark = df.sparkSession
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table, name = _new_table(spark, "buckets"), f"buckets_{uuid.uuid4().hex}"
+    # a bucket is a partition of the shuffle, so each is one file
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", table).saveAsTable(name)
+    found = spark.table(name)
+    found.stored_in = table
+    try:
+        yield found
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        forget(found)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes stored tables that nothing reads any more."""
     for table in tables:

@@ -139,3 +139,25 @@ def test_communities_send_and_receive_in_one_round(spark):
     start = nodes.withColumn("label", F.when(stray, F.when(F.col("u") < "b", "b15").otherwise("a15")).otherwise(F.concat(F.substring("u", 1, 1), F.lit("15"))))
     rounds = [{r["u"]: r["label"] for r in x.collect()} for x in communities.moves(ties, start, nodes.agg(F.sum("k")).first()[0])]
     assert len(rounds) == 1 and all(label == f"{u[0]}15" for u, label in rounds[0].items())
+
+
+def test_edges_are_dealt_out_once_for_all_levels(spark, monkeypatch):
+    plans, real = [], graph.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = len(spark.catalog.listTables())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = real(spark.createDataFrame([(f"a{i}", f"a{i + 1}", 1.0) for i in range(6)], "src string, dst string, weight double"), "edges")
+        found = graph.reached_bits(edges, spark.createDataFrame([("a0", 0)], "artist string, nth long"), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["artist"], r["hops"]) for r in found) == [(f"a{i}", i) for i in range(5)]
+    steps = [x for x in plans if "Join" in x]
+    assert len(steps) == 4 and all(x.count("Exchange hashpartitioning(src") == 1 for x in steps)
+    assert len(spark.catalog.listTables()) == tables
