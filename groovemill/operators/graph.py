@@ -205,9 +205,16 @@ def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> Dat
     return _each_source(reached).join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "artist", "hops")
 
 
-def community_distances(hops: DataFrame, members: DataFrame) -> DataFrame:
-    """source, community, least and mean hops to the community's reachable members."""
-    return hops.join(members, "artist").groupBy("source", "community").agg(F.min("hops").alias("min_hops"), F.avg("hops").alias("mean_hops"))
+def community_distances(edges: DataFrame, sources: DataFrame, members: DataFrame, cutoff: int = 10) -> DataFrame:
+    """source, community, least and mean hops to the community's reachable members; sources as for ``hop_distances``.
+
+    Artists get their communities while all sources are bits of one row; counts of equal hops are what is dealt out by source.
+    """
+    named = _numbered(sources)
+    placed = reached_bits(edges, named, cutoff).join(members, "artist").select("community", "hops", "word", "bits")
+    counted = _each_source(placed).groupBy("nth", "community", "hops").agg(F.count("*").alias("n"))
+    means = counted.groupBy("nth", "community").agg(F.min("hops").alias("min_hops"), (F.sum(F.col("hops") * F.col("n")) / F.sum("n")).alias("mean_hops"))
+    return means.join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "community", "min_hops", "mean_hops")
 
 
 def community_matrix(hops: DataFrame, centroids: DataFrame) -> DataFrame:

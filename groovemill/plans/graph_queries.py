@@ -93,7 +93,9 @@ def bfs_distances(spark, sf_dir):
 
 def community_distances(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.community_distances(bfs_distances(spark, sf_dir), t.memberships()).select("source", "community", "min_hops", *_r("mean_hops"))
+    edges = checkpointed(_edges(t))
+    found = graph.community_distances(edges, _centroids(t, edges).select("artist"), t.memberships(), CUTOFF)
+    return found.select("source", "community", "min_hops", *_r("mean_hops"))
 
 
 def community_distance_matrix(spark, sf_dir):

@@ -161,3 +161,28 @@ def test_edges_are_dealt_out_once_for_all_levels(spark, monkeypatch):
     steps = [x for x in plans if "Join" in x]
     assert len(steps) == 4 and all(x.count("Exchange hashpartitioning(src") == 1 for x in steps)
     assert len(spark.catalog.listTables()) == tables
+
+
+def _above_the_bits(df):
+    """Lines of the plan over and under the one that gives each source a row."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    return lines[:at], lines[at + 1 :]
+
+
+def test_community_distances_count_before_sources_are_dealt_out(spark, sf_dir):
+    over, under = _above_the_bits(graph_queries.community_distances(spark, sf_dir))
+    assert sum("Join" in x for x in over) == 1 and any("Join Inner" in x for x in under)
+    pairs = [(f"a{i:02}", f"a{i + 1:02}") for i in range(12)] + [("a03", "b"), ("x", "y")]
+    edges = spark.createDataFrame([(*p, 1.0) for p in pairs], "src string, dst string, weight double")
+    members = {x: f"C{i % 3}" for i, x in enumerate(sorted({x for p in pairs for x in p}))}
+    sources = ["a00", "a07", "y", "nowhere"]
+    wanted = {}
+    for x in sources:
+        hops = defaultdict(list)
+        for y, h in _distances(pairs, x).items():
+            if y in members:
+                hops[members[y]].append(h)
+        wanted |= {(x, c): (min(h), sum(h) / len(h)) for c, h in hops.items()}
+    got = graph.community_distances(edges, spark.createDataFrame([(x,) for x in sources], "artist string"), spark.createDataFrame(list(members.items()), "artist string, community string"))
+    assert {(r["source"], r["community"]): (r["min_hops"], r["mean_hops"]) for r in got.collect()} == wanted
