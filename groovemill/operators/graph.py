@@ -198,10 +198,15 @@ def _each_source(reached: DataFrame) -> DataFrame:
     return reached.withColumn("bit", F.explode(set_)).withColumn("nth", F.col("word") * 64 + F.col("bit")).drop("word", "bits", "bit")
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10) -> DataFrame:
-    """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set."""
+def hop_distances(edges: DataFrame, sources: DataFrame, cutoff: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """source, artist, hops over undirected edges, as far as ``cutoff``; sources (artist) are a stated, small set.
+
+    among: artists (artist) that distances are asked for, if not for all.
+    """
     named = _numbered(sources)
     reached = reached_bits(edges, named, cutoff)
+    if among is not None:
+        reached = reached.join(among.select("artist"), "artist", "left_semi")
     return _each_source(reached).join(named.select("nth", F.col("artist").alias("source")), "nth").select("source", "artist", "hops")
 
 

@@ -102,7 +102,8 @@ def community_distance_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
     edges = checkpointed(_edges(t))
     centroids = _centroids(t, edges)
-    return graph.community_matrix(graph.hop_distances(edges, centroids.select("artist"), CUTOFF), centroids)
+    ends = centroids.select("artist")
+    return graph.community_matrix(graph.hop_distances(edges, ends, CUTOFF, ends), centroids)
 
 
 def modular_communities(spark, sf_dir):

@@ -186,3 +186,12 @@ def test_community_distances_count_before_sources_are_dealt_out(spark, sf_dir):
         wanted |= {(x, c): (min(h), sum(h) / len(h)) for c, h in hops.items()}
     got = graph.community_distances(edges, spark.createDataFrame([(x,) for x in sources], "artist string"), spark.createDataFrame(list(members.items()), "artist string, community string"))
     assert {(r["source"], r["community"]): (r["min_hops"], r["mean_hops"]) for r in got.collect()} == wanted
+
+
+def test_community_matrix_asks_for_centroids_alone(spark, sf_dir):
+    _, under = _above_the_bits(graph_queries.community_distance_matrix(spark, sf_dir))
+    assert any("Join LeftSemi" in x for x in under)
+    edges = spark.createDataFrame([(f"a{i}", f"a{i + 1}", 1.0) for i in range(5)], "src string, dst string, weight double")
+    ends = spark.createDataFrame([("a0",), ("a3",), ("nowhere",)], "artist string")
+    got = {tuple(r) for r in graph.hop_distances(edges, ends, 10, ends).select("source", "artist", "hops").collect()}
+    assert got == {("a0", "a0", 0), ("a0", "a3", 3), ("a3", "a0", 3), ("a3", "a3", 0), ("nowhere", "nowhere", 0)}
