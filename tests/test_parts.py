@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groovemill.operators import batches, lookups, pages
 from groovemill.plans import graph_queries, lookup_queries
-from groovemill.sources import parts
+from groovemill.sources import graph_files, parts
 from tests.comparison import connect, spark_rows, sql_rows
 
 
@@ -57,3 +57,13 @@ def test_no_lookup_is_nested_in_a_filter_of_reviews(spark):
     assert [tuple(r) for r in df.select("page_id", "artist", "album", "text").collect()] == [(1, "Band", "Record", "Text")]
     filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "- Filter " in x]
     assert all(x.count("lambdafunction") <= 1 for x in filters)
+
+
+def test_graph_files_hold_a_bounded_number_of_edges(spark, tmp_path):
+    n = 600_000
+    edges = spark.range(n).repartition(1).selectExpr("concat('a', id) AS src", "concat('b', id % 7) AS dst", "id / 2D AS weight")
+    graph_files.write_edges(edges, str(tmp_path / "graph"))
+    found = graph_files.read_edges(spark, str(tmp_path / "graph"))
+    per_file = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == n and max(per_file) <= 1 << 18
+    assert found.agg(F.sum("weight"), F.countDistinct("src")).first() == (n * (n - 1) / 4, n)
