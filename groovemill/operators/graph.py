@@ -12,19 +12,29 @@ from groovemill.sources.checkpoints import bucketed, stored
 from groovemill.sources.parts import dealt, parts_of
 
 
+def _mentions(reviews: DataFrame, refs: DataFrame) -> DataFrame:
+    """src, dst, w, n_albums: the position weight of dst's first mention in each album of src, and how many albums src has."""
+    firsts = refs.groupBy("review_id", F.col("artist").alias("dst")).agg(F.min("pos").alias("pos"), F.max("n_refs").alias("n_refs"))
+    albums = reviews.groupBy("artist").agg(F.count("*").alias("n_albums"))
+    # the number of albums goes along with each album, as there are fewer of these than of pairs
+    counted = reviews.select("review_id", "artist").join(albums, "artist").select("review_id", F.col("artist").alias("src"), "n_albums")
+    return firsts.join(counted, "review_id").select("src", "dst", position_weight(F.col("pos"), F.col("n_refs")).alias("w"), "n_albums")
+
+
 def artist_edges(reviews: DataFrame, refs: DataFrame, parts: int = 0) -> DataFrame:
     """src, dst, weight: the position weights of dst's first mention in each album of src, over all albums of src.
 
     parts: partitions that the pairs of artists are dealt into, if more than Spark's own number.
     """
-    firsts = refs.groupBy("review_id", F.col("artist").alias("dst")).agg(F.min("pos").alias("pos"), F.max("n_refs").alias("n_refs"))
-    albums = reviews.groupBy("artist").agg(F.count("*").alias("n_albums"))
-    # the number of albums goes along with each album, as there are fewer of these than of pairs
-    counted = reviews.select("review_id", "artist").join(albums, "artist").select("review_id", F.col("artist").alias("src"), "n_albums")
-    mentions = firsts.join(counted, "review_id").select("src", "dst", position_weight(F.col("pos"), F.col("n_refs")).alias("w"), "n_albums")
+    mentions = _mentions(reviews, refs)
     return dealt(mentions, parts, "src", "dst").groupBy("src", "dst").agg((F.sum("w") / F.max("n_albums")).alias("weight"))
 
 
+def artist_degrees(reviews: DataFrame, refs: DataFrame) -> DataFrame:
+    """``weighted_degrees`` of ``artist_edges`` where nothing else needs the edges: mentions are summed by artist, without a row for each pair."""
+    return weighted_degrees(_mentions(reviews, refs).select("src", "dst", (F.col("w") / F.col("n_albums")).alias("weight")))
+
+
 def undirected_edges(edges: DataFrame, parts: int = 0) -> DataFrame:
     """a <= b, weight of both directions together."""
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")

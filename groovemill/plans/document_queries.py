@@ -33,9 +33,8 @@ def affinities_document(spark, sf_dir):
 
 def communities_document(spark, sf_dir):
     t, path = Tables(spark, sf_dir), _path(spark, documents.res_file(10))
-    edges = checkpointed(graph_queries._edges(t))
     sizes = t.memberships().groupBy("community").agg(F.count("*").alias("size"))
-    documents.write_communities(taste_queries._communities(t, edges).join(sizes, "community"), path, 10)
+    documents.write_communities(taste_queries._communities(t).join(sizes, "community"), path, 10)
     return documents.read_communities(spark, path, strict=True).select("community", "centroid", "size", F.array_join("top_artists", ",").alias("top_artists"), "resolution")
 
 

@@ -26,8 +26,8 @@ def _albums(t: Tables):
     return t.reviews().withColumn("labels", F.array_compact(F.array("label", second)))
 
 
-def _communities(t: Tables, edges):
-    top = graph.community_centroids(graph.weighted_degrees(edges), t.memberships(), 8)
+def _communities(t: Tables):
+    top = graph.community_centroids(graph.artist_degrees(t.reviews(), t.refs()), t.memberships(), 8)
     return top.groupBy("community").agg(F.max(F.when(F.col("place") == 1, F.col("artist"))).alias("centroid"), F.transform(F.array_sort(F.collect_list(F.struct("place", "artist"))), lambda x: x["artist"]).alias("top_artists"))
 
 
@@ -76,8 +76,7 @@ def selection_categories(spark, sf_dir):
 
 def taste_communities(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    edges = checkpointed(graph_queries._edges(t))
-    options = taste.taste_communities(_communities(t, edges), _community_labels(t), _categories(t))
+    options = taste.taste_communities(_communities(t), _community_labels(t), _categories(t))
     return options.select("community", "label", F.array_join("categories", ",").alias("categories"), F.array_join("example_artists", ",").alias("example_artists"))
 
 

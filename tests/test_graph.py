@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from groovemill.operators import communities, graph
-from groovemill.plans import album_queries, graph_queries
+from groovemill.plans import album_queries, document_queries, graph_queries
 from groovemill.sources.domain import Tables
 
 
@@ -195,3 +195,16 @@ def test_community_matrix_asks_for_centroids_alone(spark, sf_dir):
     ends = spark.createDataFrame([("a0",), ("a3",), ("nowhere",)], "artist string")
     got = {tuple(r) for r in graph.hop_distances(edges, ends, 10, ends).select("source", "artist", "hops").collect()}
     assert got == {("a0", "a0", 0), ("a0", "a3", 3), ("a3", "a0", 3), ("a3", "a3", 0), ("nowhere", "nowhere", 0)}
+
+
+def test_communities_document_makes_no_pairs(spark, sf_dir, monkeypatch):
+    t = Tables(spark, sf_dir)
+    wanted = {r["artist"]: r["degree"] for r in graph.weighted_degrees(graph.artist_edges(t.reviews(), t.refs())).collect()}
+    got = {r["artist"]: r["degree"] for r in graph.artist_degrees(t.reviews(), t.refs()).collect()}
+    assert set(got) == set(wanted) and all(abs(got[x] - wanted[x]) < 1e-9 for x in wanted)
+
+    def none(*_):
+        raise AssertionError("edges")
+
+    monkeypatch.setattr(graph, "artist_edges", none)
+    assert document_queries.communities_document(spark, sf_dir).count() == 25
