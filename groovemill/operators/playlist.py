@@ -104,7 +104,10 @@ def _shuffled(values: Iterable, seed: int) -> list:
 
 
 class _Shelf:
-    """Albums' tracks as filling asks for them: a few lists here, the whole pool in Spark's table ``ranked`` (place, cap, nth, key, title, source).
+    """Albums' tracks as filling asks for them: a few lists here, the whole pool in Spark's ``ranked`` (place, review_id, cap, nth, key, title, source).
+
+    Tracks of given albums are asked for by the albums' ids (``ids``: place, review_id), so that Spark ranks these alone; the whole
+    pool is ranked and stored when a slot passes on for the first time.
 
     An album that is closed once, as it has given all that it may or all its tracks are used, stays closed. So albums that were
     asked for after a place need to be asked for again only when all of them are closed.
@@ -112,6 +115,8 @@ class _Shelf:
 
     def __init__(self, ranked: DataFrame, at_once: int):
         self.ranked, self.at_once = ranked, at_once
+        self.ids: DataFrame | None = None
+        self.stored: DataFrame | None = None
         self.tracks: dict[int, deque] = {}
         self.left: dict[int, int] = {}
         self.after: dict[int, list[int]] = {}
@@ -120,10 +125,26 @@ class _Shelf:
     def fetch(self, places: list[int]) -> None:
         new = [p for p in places if p not in self.tracks]
         self.tracks |= {p: deque() for p in new}
-        for r in self.ranked.where(F.col("place").isin(new)).orderBy("place", "nth").collect() if new else []:
+        for r in self._of(new).orderBy("place", "nth").collect() if new else []:
             self.tracks[r["place"]].append(r)
             self.left.setdefault(r["place"], r["cap"])
 
+    def _of(self, places: list[int]) -> DataFrame:
+        found = (self.ranked if self.stored is None else self.stored).where(F.col("place").isin(places))
+        if self.stored is not None or self.ids is None:
+            return found
+        # as numbers these go below the windows and joins that rank an album's tracks
+        return found.where(F.col("review_id").isin([r["review_id"] for r in self.ids.where(F.col("place").isin(places)).select("review_id").distinct().collect()]))
+
+    def whole(self) -> DataFrame:
+        if self.stored is None:
+            self.stored = stored(self.ranked, "ranked")
+        return self.stored
+
+    def forget(self) -> None:
+        if self.stored is not None:
+            forget(self.stored)
+
     def first(self, place: int):
         """The album's first track that isn't used yet, None if it is closed; used ones are dropped for good."""
         if not self.left.get(place):
@@ -145,7 +166,7 @@ class _Shelf:
         while True:
             if asked:
                 full = [p for p, n in self.left.items() if not n]
-                open_ = self.ranked.where((F.col("cap") > 0) & (F.col("place") != place) & ~F.col("place").isin(full) & ~F.col("key").isin(list(self.used)))
+                open_ = self.whole().where((F.col("cap") > 0) & (F.col("place") != place) & ~F.col("place").isin(full) & ~F.col("key").isin(list(self.used)))
                 found = open_.groupBy("place").agg(F.count("*").alias("n")).orderBy(F.col("place") < place, "place").limit(self.at_once).select("place").collect()
                 self.after[place] = [r["place"] for r in found]
                 self.fetch(self.after[place])
@@ -167,12 +188,13 @@ def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int
     the caps are cut without being dealt out again.
 
     A slot depends on all slots before it, but a playlist has at most MOST_TRACKS tracks and MOST_SLOTS slots: the driver follows
-    these, and asks Spark for the tracks of the slots' albums, and for the next albums with an unused track where a slot
-    passes on. Of each album as many tracks can matter as can be taken or used before (cap and target): its highlights
+    these, and asks Spark for the tracks of the slots' albums, and, of the whole pool, for the next albums with an unused track where
+    a slot passes on. Of each album as many tracks can matter as can be taken or used before (cap and target): its highlights
     first, then others, both in an order by chance. The pool and its tracks, of any size, stay in tables.
     """
     if target > MOST_TRACKS:
         raise ValueError(f"a playlist has at most {MOST_TRACKS} tracks")
+    pool = stored(pool.select("review_id", "artist", "place", "quota", "cap"), "pool")  # read several times
     quotas = pool.select("place", F.least("quota", "cap").alias("quota")).where("quota > 0").orderBy("place").limit(MOST_SLOTS + 1).collect()
     slots = deque(_shuffled((r["place"] for r in quotas for _ in range(int(r["quota"]))), seed))
     if len(slots) > MOST_SLOTS:
@@ -182,9 +204,8 @@ def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int
     order = Window.partitionBy("review_id").orderBy((F.col("source") != "highlight").cast("int"), chance, "key", "number")
     once = keyed.withColumn("same", F.row_number().over(Window.partitionBy("review_id", "key").orderBy((F.col("source") != "highlight").cast("int"), "number"))).where("same = 1")
     first = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("cap") + target)
-    ranked = stored(first.select("place", "review_id", "cap", "nth", "key", "title", "source"), "ranked")
-
-    shelf = _Shelf(ranked, max(1, target))
+    shelf = _Shelf(first.select("place", "review_id", "cap", "nth", "key", "title", "source"), max(1, target))
+    shelf.ids = pool.select("place", "review_id")
     shelf.fetch(sorted(set(slots)))
     picks, tries = [], TRIES * target
     while slots and tries > 0:
@@ -199,7 +220,8 @@ def fill_playlist(pool: DataFrame, candidates: DataFrame, target: int, seed: int
             tries -= 1
         track = shelf.take(album)
         picks.append((len(picks) + 1, track["review_id"], track["title"], track["source"]))
-    forget(ranked)
+    shelf.forget()
+    forget(pool)
     return pool.sparkSession.createDataFrame(picks, "position long, review_id long, title string, source string")
 
 

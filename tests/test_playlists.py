@@ -159,3 +159,29 @@ def test_label_sets(spark):
     assert passed(None) == passed(["A", "B", "C"]) == {1, 2, 3, 4, 5}
     assert passed([]) == {2, 3, 5} and passed([" B"]) == {1, 2, 3, 5} and passed(["Z"]) == {2, 3, 5}
     assert {r["review_id"] for r in taste.label_set_filter(albums.where("review_id IN (2, 3)"), ["Z"]).collect()} == {2, 3}
+
+
+def test_fill_ranks_the_tracks_of_its_slots_alone(spark, tmp_path, monkeypatch):
+    path, names, asked, real, of = str(tmp_path / "tracks"), [], [], playlist.stored, playlist._Shelf._of
+
+    def kept(df, name):
+        names.append(name)
+        return real(df, name)
+
+    def plan(self, places):
+        found = of(self, places)
+        asked.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(playlist, "stored", kept)
+    monkeypatch.setattr(playlist._Shelf, "_of", plan)
+    spark.range(200).selectExpr("id DIV 4 AS review_id", "id % 4 + 1 AS number", "concat('t', id) AS title", "id % 3 = 0 AS is_highlight").write.parquet(path)
+    albums = [(i, f"artist{i}", i, 2 if i in (7, 30) else 0, 3) for i in range(50)]
+    pool = spark.createDataFrame(albums, "review_id long, artist string, place long, quota long, cap long")
+    candidates = playlist.track_candidates(spark.read.parquet(path))
+    got = [(r["review_id"], r["title"], r["source"]) for r in sorted(playlist.fill_playlist(pool, candidates, 4, 1).collect())]
+    tracks = defaultdict(list)
+    for r in candidates.collect():
+        tracks[r["review_id"]].append((f"artist{r['review_id']}::{r['title']}", r["title"], r["source"], r["number"]))
+    assert got == _plain_fill([(a[0], a[2], a[3], a[4]) for a in albums], tracks, 4, 1) and len(got) == 4
+    assert "ranked" not in names and len(asked) == 1 and "In(review_id, [30,7])" in asked[0].replace("[7,30]", "[30,7]")
