@@ -208,3 +208,56 @@ def test_communities_document_makes_no_pairs(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(graph, "artist_edges", none)
     assert document_queries.communities_document(spark, sf_dir).count() == 25
+
+
+def test_communities_compute_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(BLOCKS, "src string, dst string, weight double")
+    tables = len(spark.catalog.listTables())
+    assert communities.modular_communities(edges.mapInArrow(counted, edges.schema)).count() == 21
+    assert seen.value == len(BLOCKS) and len(spark.catalog.listTables()) == tables
+
+
+def _chance(spark):
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(300)})
+    return spark.createDataFrame([(f"a{a:02}", f"a{b:02}", rng.random()) for a, b in pairs], "src string, dst string, weight double")
+
+
+def test_ties_stay_in_their_buckets(spark):
+    ties, nodes = communities.first_level(_chance(spark))
+    for everyone in (True, False):
+        plan = communities.best_moves(ties, nodes.withColumn("slack", F.lit(0.0)), 1.0, 1.0, everyone)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(label" in plan and "Exchange hashpartitioning(u" not in plan and "Exchange hashpartitioning(v" not in plan
+
+
+def test_rounds_that_look_at_some_nodes_move_the_same_ones(spark, monkeypatch):
+    ties, nodes = communities.first_level(_chance(spark))
+    weight = nodes.agg(F.sum("k")).first()[0]
+    looks, real = [], communities.best_moves
+
+    def seen(ties, nodes, weight, resolution, everyone):
+        looks.append((everyone, nodes.where(f"slack <= {communities.MARGIN}").count() if not everyone else nodes.count()))
+        return real(ties, nodes, weight, resolution, everyone)
+
+    def rounds():
+        return [{r["u"]: r["label"] for r in x.collect()} for x in communities.moves(ties, nodes, weight, 1.0, 0.001)]
+
+    wanted = rounds()
+    monkeypatch.setattr(communities, "MANY", 0)
+    monkeypatch.setattr(communities, "FEW", 0)
+    monkeypatch.setattr(communities, "best_moves", seen)
+    assert len(wanted) > 3 and rounds() == wanted
+    assert not any(everyone for everyone, _ in looks[1:]) and min(n for _, n in looks) < 60
+
+
+def test_names_are_numbered_in_their_order(spark):
+    names = [f"n{i * 7919 % 1000:03}" for i in range(1000)]
+    found = communities.numbered(spark.createDataFrame([(x,) for x in names], "u string").repartition(7))
+    assert {r["u"]: r["id"] for r in found.collect()} == {x: i for i, x in enumerate(sorted(names))}
